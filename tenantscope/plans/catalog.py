@@ -790,3 +790,312 @@ FROM database_stats GROUP BY database_id
 """)
 def q_stats_rollup(spark, d):
     return ops.stats_rollup(Fleet(spark, d).database_stats)
+
+
+# ---------------------------------------------------------------------------
+# Text feeds
+# ---------------------------------------------------------------------------
+from tenantscope.operators import text_vector as TV, windows as W  # noqa: E402
+from tenantscope.sources import control, logs  # noqa: E402
+
+_SL = logs.SERVER_LOG_PATTERN
+
+
+def _server_log_sql(where: str = "") -> str:
+    names = ", ".join(f"'g{i}'" for i in range(1, 11))
+    return f"""
+SELECT CAST(m.g1 AS TIMESTAMP) AS ts, m.g2 AS tz, CAST(m.g3 AS BIGINT) AS pid,
+  CAST(m.g4 AS BIGINT) AS line_no, m.g5 AS usr, m.g6 AS db, m.g7 AS app,
+  m.g8 AS client, m.g9 AS level, m.g10 AS message,
+  TRY_CAST(regexp_extract(m.g10, '{logs.DURATION_PATTERN}', 1) AS DOUBLE) AS duration_ms
+FROM (SELECT regexp_extract(value, '{_SL}', [{names}]) AS m FROM server_log
+      WHERE regexp_matches(value, '{_SL}')) {where}"""
+
+
+@query("server_log_parsed", _server_log_sql())
+def q_server_log_parsed(spark, d):
+    return logs.parse_server_log(Fleet(spark, d).server_log)[0]
+
+
+@query("slow_statements", "SELECT * FROM (" + _server_log_sql() + ") WHERE duration_ms >= 1000")
+def q_slow_statements(spark, d):
+    return ops.slow(logs.parse_server_log(Fleet(spark, d).server_log)[0], "duration_ms",
+                    ops.SLOW_STATEMENT_MS)
+
+
+def access_log_lines(audit_df: DataFrame) -> DataFrame:
+    """The API's access log as it would have been printed for the audit
+    trail's requests (one ``ISO METHOD path`` line per event)."""
+    a = F.col("action")
+    rid = F.col("resource_id")
+    method = (F.when(a.isin("database_created", "ip_whitelist_added"), "POST")
+              .when(a.isin("database_deleted", "ip_whitelist_removed"), "DELETE").otherwise("GET"))
+    path = (F.when(a == "database_created", F.lit("/api/databases"))
+            .when(a == "database_deleted", F.concat(F.lit("/api/databases/"), rid))
+            .when(a == "ip_whitelist_added", F.concat(F.lit("/api/databases/"), rid, F.lit("/whitelist")))
+            .when(a == "ip_whitelist_removed",
+                  F.concat(F.lit("/api/databases/"), rid, F.lit("/whitelist/"), F.col("id").cast("string")))
+            .otherwise(F.concat(F.lit("/api/databases/"), rid, F.lit("/stats"))))
+    ts = F.date_format(F.col("created_at"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return audit_df.select(F.concat_ws(" ", ts, method, path).alias("value"))
+
+
+@query("api_routes", """
+SELECT CAST(created_at AS DATE) AS date,
+  CASE WHEN action IN ('database_created', 'ip_whitelist_added') THEN 'POST'
+       WHEN action IN ('database_deleted', 'ip_whitelist_removed') THEN 'DELETE' ELSE 'GET' END AS method,
+  CASE action WHEN 'database_created' THEN '/api/databases'
+              WHEN 'database_deleted' THEN '/api/databases/:id'
+              WHEN 'ip_whitelist_added' THEN '/api/databases/:id/whitelist'
+              WHEN 'ip_whitelist_removed' THEN '/api/databases/:id/whitelist/:id'
+              ELSE '/api/databases/:id/stats' END AS route,
+  COUNT(*) AS requests
+FROM audit_logs GROUP BY 1, 2, 3
+""")
+def q_api_routes(spark, d):
+    parsed = logs.parse_access_log(access_log_lines(Fleet(spark, d).audit_logs))
+    return parsed.groupBy(F.to_date("ts").alias("date"), "method", "route") \
+                 .agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("pool_table", """
+SELECT pool_database, pool_user, cl_active, cl_waiting, sv_active, sv_idle, sv_used
+FROM pool_snapshot
+""")
+def q_pool_table(spark, d):
+    lines = control.render_pools(Fleet(spark, d).pool_snapshot)
+    head = spark.createDataFrame(
+        [(" " + " | ".join(control.POOL_COLUMNS),), ("-" * 20 + "+" + "-" * 10,)], "value string")
+    return control.parse_pools(head.unionByName(lines))
+
+
+def cache_info_lines(cache: DataFrame) -> DataFrame:
+    """INFO-style ``name:value`` lines per cache host (one host per cache
+    database), as the monitor reads them."""
+    agg = cache.groupBy(F.concat(F.lit("cache-"), F.col("db").cast("string")).alias("host")) \
+               .agg(F.count_if("hit").alias("h"), F.count_if(~F.col("hit")).alias("m"))
+    return agg.select("host", F.explode(F.array(
+        F.concat(F.lit("keyspace_hits:"), F.col("h").cast("string")),
+        F.concat(F.lit("keyspace_misses:"), F.col("m").cast("string")),
+        F.lit("# Stats"))).alias("value"))
+
+
+@query("cache_info_hit_rate", """
+SELECT 'cache-' || CAST(db AS VARCHAR) AS host, count_if(hit) AS keyspace_hits,
+  count_if(NOT hit) AS keyspace_misses,
+  round(CAST(100.0 AS DOUBLE) * count_if(hit) / COUNT(*), 2) AS hit_rate
+FROM cache_requests GROUP BY db
+""")
+def q_cache_info_hit_rate(spark, d):
+    info = logs.parse_cache_info(cache_info_lines(Fleet(spark, d).cache_requests))
+    h, m = F.col("keyspace_hits"), F.col("keyspace_misses")
+    return info.filter((h + m) > 0).select(
+        "host", h.cast("bigint").alias("keyspace_hits"), m.cast("bigint").alias("keyspace_misses"),
+        F.round(F.lit(100.0) * h / (h + m), 2).alias("hit_rate"))
+
+
+@query("rules_file_lines", f"""
+WITH rules AS ({Q.ACCESS_RULES}),
+heads AS (SELECT DISTINCT database_name FROM rules)
+SELECT database_name, rule_no, line FROM rules
+UNION ALL SELECT database_name, -1, '' FROM heads
+UNION ALL SELECT database_name, 0, '# Rules for ' || database_name FROM heads
+""")
+def q_rules_file_lines(spark, d):
+    f = Fleet(spark, d)
+    return access.rules_text(access.generate_rules(f.databases, f.ip_whitelist)) \
+                 .orderBy("database_name", "rule_no")
+
+
+# ---------------------------------------------------------------------------
+# Windows (R66-R68)
+# ---------------------------------------------------------------------------
+_STATS_W = "PARTITION BY database_id ORDER BY recorded_at, total_queries, seq, size_bytes"
+
+
+@query("size_growth", f"""
+SELECT database_id, recorded_at, total_queries, seq, size_bytes, prev_size, prev_at,
+  size_bytes - prev_size AS size_change, days,
+  CASE WHEN days > 0 THEN round((size_bytes - prev_size) / days, 4) END AS bytes_per_day
+FROM (SELECT *, date_diff('day', CAST(prev_at AS DATE), CAST(recorded_at AS DATE)) AS days
+      FROM (SELECT *, lag(size_bytes) OVER ({_STATS_W}) AS prev_size,
+                   lag(recorded_at) OVER ({_STATS_W}) AS prev_at
+            FROM database_stats))
+""")
+def q_size_growth(spark, d):
+    return W.size_growth(Fleet(spark, d).database_stats).withColumn("days", F.col("days").cast("bigint"))
+
+
+@query("rolling_connections", f"""
+SELECT database_id, recorded_at, total_queries, seq, size_bytes, active_connections,
+  round(AVG(active_connections) OVER w, 4) AS rolling_avg,
+  MAX(active_connections) OVER w AS rolling_max, COUNT(*) OVER w AS window_rows
+FROM database_stats
+WINDOW w AS ({_STATS_W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+""")
+def q_rolling_connections(spark, d):
+    return W.rolling_connections(Fleet(spark, d).database_stats)
+
+
+@query("chat_history_last3", """
+SELECT conv_id, turn, role, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
+WHERE r <= 3
+""")
+def q_chat_history_last3(spark, d):
+    return W.chat_history(Fleet(spark, d).raw("conversations"), 3)
+
+
+# ---------------------------------------------------------------------------
+# Text and vector
+# ---------------------------------------------------------------------------
+_CENTROIDS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pos AS (SELECT label, i, AVG(x) AS m FROM (
+          SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e) GROUP BY label, i),
+c AS (SELECT label AS qid, list(m ORDER BY i) AS cv FROM pos GROUP BY label),
+s AS (SELECT qid, vec_id, list_dot_product(cv, v) / (sqrt(list_dot_product(cv, cv))
+             * sqrt(list_dot_product(v, v))) AS score FROM c, e)"""
+
+
+def _centroid_queries(spark, d) -> DataFrame:
+    return TV.centroids(Fleet(spark, d).raw("embeddings"), "label").withColumnRenamed("label", "qid")
+
+
+@query("vector_topk_centroids", f"""
+WITH {_CENTROIDS}
+SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 3
+""")
+def q_vector_topk_centroids(spark, d):
+    r = TV.vector_topk(_centroid_queries(spark, d), Fleet(spark, d).raw("embeddings"), k=3)
+    return r.withColumn("score", F.round("score", 6))
+
+
+@query("semantic_lookup_centroids", f"""
+WITH {_CENTROIDS},
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r
+                     FROM s) WHERE r = 1)
+SELECT qid, CASE WHEN score >= 0.5 THEN vec_id END AS vec_id, round(score, 6) AS score,
+  COALESCE(score >= 0.5, false) AS hit
+FROM b
+""")
+def q_semantic_lookup_centroids(spark, d):
+    r = TV.semantic_lookup(_centroid_queries(spark, d), Fleet(spark, d).raw("embeddings"), 0.5)
+    return r.withColumn("score", F.round("score", 6))
+
+
+@query("ilike_license", """
+SELECT doc_id, lang, source, n_chars FROM documents WHERE text ILIKE '%license%'
+""")
+def q_ilike_license(spark, d):
+    return TV.ilike_search(Fleet(spark, d).raw("documents"), "text", "%license%") \
+             .select("doc_id", "lang", "source", "n_chars")
+
+
+def _grams_sql(table: str, id_col: str) -> str:
+    return f"""(SELECT DISTINCT {id_col} AS rid, substring(pw, i, 3) AS g FROM (
+  SELECT {id_col}, '  ' || word || ' ' AS pw FROM (
+    SELECT {id_col}, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word
+    FROM {table}) WHERE length(word) > 0), range(1, length(pw) - 1) r(i))"""
+
+
+TRGM_BENCH_T = 0.1
+
+
+@query("trigram_benchmark_docs", f"""
+WITH ga AS {_grams_sql('benchmark', 'item_id')},
+gb AS {_grams_sql('documents', 'doc_id')},
+na AS (SELECT rid, COUNT(*) AS n FROM ga GROUP BY rid),
+nb AS (SELECT rid, COUNT(*) AS n FROM gb GROUP BY rid),
+sh AS (SELECT ga.rid AS a, gb.rid AS b, COUNT(*) AS shared FROM ga JOIN gb ON ga.g = gb.g
+       GROUP BY 1, 2)
+SELECT sh.a AS item_id, sh.b AS doc_id, shared, na.n AS a_grams, nb.n AS b_grams,
+  round(shared / (na.n + nb.n - shared), 6) AS similarity
+FROM sh JOIN na ON na.rid = sh.a JOIN nb ON nb.rid = sh.b
+WHERE shared / (na.n + nb.n - shared) >= {TRGM_BENCH_T}
+""")
+def q_trigram_benchmark_docs(spark, d):
+    f = Fleet(spark, d)
+    return TV.trigram_join(f.raw("benchmark"), f.raw("documents"), "item_id", "text",
+                           "doc_id", "text", TRGM_BENCH_T)
+
+
+@query("trigram_near_duplicates", None)
+def q_trigram_near_duplicates(spark, d):
+    docs = Fleet(spark, d).raw("documents")
+    return TV.trigram_join(docs, docs, "doc_id", "text", "doc_id", "text", 0.8, self_join=True)
+
+
+_WORDS_SQL = """(SELECT doc_id, word FROM (
+  SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents)
+  WHERE length(word) > 0)"""
+
+
+@query("word_counts_ci", f"""
+SELECT word, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS records FROM {_WORDS_SQL} GROUP BY word
+""")
+def q_word_counts_ci(spark, d):
+    return TV.word_counts_ci(Fleet(spark, d).raw("documents"), "doc_id", "text")
+
+
+def _unaccent_sql(x: str) -> str:
+    from tenantscope.functions.scalars import ACCENTED, LIGATURES, UNACCENTED
+    out = f"translate({x}, '{ACCENTED}', '{UNACCENTED}')"
+    for a, b in LIGATURES:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+@query("unaccent_digest", f"""
+SELECT doc_id, sha256({_unaccent_sql('text')}) AS text_key,
+  length(text) - length(regexp_replace(text, '[{__import__('tenantscope.functions.scalars', fromlist=['x']).ACCENTED}ßÆæŒœ]', '', 'g')) AS accented_chars
+FROM documents
+""")
+def q_unaccent_digest(spark, d):
+    from tenantscope.functions.scalars import ACCENTED
+    docs = Fleet(spark, d).raw("documents")
+    return TV.unaccent(docs, "text", "u").select(
+        "doc_id", F.sha2("u", 256).alias("text_key"),
+        (F.length("text") - F.length(F.regexp_replace("text", f"[{ACCENTED}ßÆæŒœ]", ""))).cast("bigint")
+        .alias("accented_chars"))
+
+
+@query("owner_digest", """
+SELECT id, sha256(owner_email) AS owner_digest FROM databases
+""")
+def q_owner_digest(spark, d):
+    from tenantscope.functions.scalars import digest
+    return Fleet(spark, d).databases.select("id", digest("owner_email").alias("owner_digest"))
+
+
+@query("owner_groups_ci", """
+SELECT lower(owner_email) AS owner_email_ci, COUNT(*) AS n, COUNT(DISTINCT id) AS records
+FROM databases GROUP BY 1
+""")
+def q_owner_groups_ci(spark, d):
+    return TV.ci_group(Fleet(spark, d).databases, "owner_email", "id")
+
+
+@query("kv_metadata", """
+SELECT id, json_exists(details, '$.k') AS has_key, key,
+  json_extract_string(details, '$."' || key || '"') AS value
+FROM audit_logs, unnest(json_keys(details)) t(key)
+UNION ALL
+SELECT id, json_exists(details, '$.k'), 'source', 'audit' FROM audit_logs
+""")
+def q_kv_metadata(spark, d):
+    return TV.kv_ops(Fleet(spark, d).audit_logs, "id", "details", {"source": "audit"}, key="k")
+
+
+@query("path_rollup", """
+WITH p AS (SELECT list_filter(string_split(regexp_extract(url,
+             '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: length(s) > 0) AS segs
+           FROM pages),
+d AS (SELECT segs, unnest(range(0, len(segs) + 1)) AS depth FROM p)
+SELECT CASE WHEN depth = 0 THEN '/' ELSE '/' || array_to_string(segs[1:depth], '/') END AS prefix,
+  depth, COUNT(*) AS records
+FROM d GROUP BY 1, 2
+""")
+def q_path_rollup(spark, d):
+    return TV.path_rollup(Fleet(spark, d).raw("pages"), "url").withColumn("depth", F.col("depth").cast("bigint"))
