@@ -1099,3 +1099,67 @@ FROM d GROUP BY 1, 2
 """)
 def q_path_rollup(spark, d):
     return TV.path_rollup(Fleet(spark, d).raw("pages"), "url").withColumn("depth", F.col("depth").cast("bigint"))
+
+
+# ---------------------------------------------------------------------------
+# Stream batch twins (R79-R82); the streams themselves run in tests
+# ---------------------------------------------------------------------------
+from tenantscope.streaming import streams as ST  # noqa: E402
+
+
+@query("audit_summary_windows", """
+SELECT CAST(created_at AS DATE) AS date, action, COUNT(*) AS count FROM audit_logs GROUP BY 1, 2
+""")
+def q_audit_summary_windows(spark, d):
+    return ST.audit_summary_windows(Fleet(spark, d).audit_logs)
+
+
+@query("connection_rate_windows", """
+WITH b AS (SELECT database_id,
+             make_timestamp(CAST(floor(epoch_us(ts) / 300000000) * 300000000 AS BIGINT)) AS s0
+           FROM conn_log),
+w AS (SELECT database_id, unnest([s0 - INTERVAL 5 MINUTE, s0]) AS window_start FROM b)
+SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, database_id,
+  COUNT(*) AS connections
+FROM w GROUP BY 1, 2, 3
+""")
+def q_connection_rate_windows(spark, d):
+    return ST.connection_rate(Fleet(spark, d).conn_log)
+
+
+@query("client_sessions", """
+WITH o AS (SELECT database_id, ts,
+             CASE WHEN lag(ts) OVER (PARTITION BY database_id ORDER BY ts) IS NULL
+                    OR ts >= lag(ts) OVER (PARTITION BY database_id ORDER BY ts) + INTERVAL 30 MINUTE
+                  THEN 1 ELSE 0 END AS new_s
+           FROM conn_log),
+n AS (SELECT *, SUM(new_s) OVER (PARTITION BY database_id ORDER BY ts
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM o)
+SELECT database_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end,
+  COUNT(*) AS events
+FROM n GROUP BY database_id, sid
+""")
+def q_client_sessions(spark, d):
+    return ST.sessions(Fleet(spark, d).conn_log)
+
+
+@query("cache_ttl_hits", """
+SELECT r.* FROM cache_requests r
+WHERE EXISTS (SELECT 1 FROM cache_requests w
+              WHERE NOT w.hit AND w.cache_key = r.cache_key AND w.ts < r.ts
+                AND w.ts >= r.ts - INTERVAL 3600 SECOND)
+""")
+def q_cache_ttl_hits(spark, d):
+    c = Fleet(spark, d).cache_requests
+    return ST.ttl_hits(c, ST.cache_fills(c))
+
+
+@query("cache_ttl_hits_split4", """
+SELECT r.* FROM cache_requests r
+WHERE EXISTS (SELECT 1 FROM cache_requests w
+              WHERE NOT w.hit AND w.cache_key = r.cache_key AND w.ts < r.ts
+                AND w.ts >= r.ts - INTERVAL 3600 SECOND)
+""")
+def q_cache_ttl_hits_split4(spark, d):
+    c = Fleet(spark, d).cache_requests
+    return ST.ttl_hits(c, ST.cache_fills(c), splits=4)
