@@ -174,3 +174,13 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def run_available_to(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
+    """Run a streaming DataFrame over everything available into a file sink
+    (append, exactly-once through the sink's commit log; restartable from
+    ``checkpoint``)."""
+    q = (df.writeStream.format(fmt).outputMode("append").option("path", path)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
