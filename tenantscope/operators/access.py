@@ -262,11 +262,11 @@ def add_ips(req: DataFrame, wl: DataFrame, db: DataFrame, as_of: str,
     accepted_req = fresh.filter(F.col(order_col) == F.col("_first")).drop("_first")
     dup = (fresh.filter(F.col(order_col) != F.col("_first")).drop("_first")
            .withColumn("reason", F.lit("duplicate_in_batch")))
-    base = F.broadcast(wl.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-                       .withColumn("_one", F.lit(1)))
+    # Highest existing id as a scalar subquery (runs once; no join).
+    base = wl.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     ts = F.lit(as_of).cast("timestamp_ntz")
-    added = (accepted_req.withColumn("_one", F.lit(1)).join(base, "_one")
-             .select((F.col("_base") + F.col(order_col)).alias("id"), "database_id",
+    added = (accepted_req
+             .select((base + F.col(order_col)).alias("id"), "database_id",
                      "ip_address", "description", ts.alias("added_at")))
     audit = audit_rows(added, "ip_whitelist_added", "database_id",
                        {"ip_address": "ip_address"}, as_of)

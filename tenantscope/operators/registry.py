@@ -161,13 +161,11 @@ def register(req: DataFrame, db: DataFrame, as_of: str,
     fresh = fresh.join(first, "database_name")
     accepted_req = fresh.filter(F.col(order_col) == F.col("_first")).drop("_first")
     dup = fresh.filter(F.col(order_col) != F.col("_first")).drop("_first")
-    # One-row aggregate joined on a constant key: a broadcast hash join of
-    # exactly one row, no nested-loop join.
-    base = F.broadcast(db.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-                       .withColumn("_one", F.lit(1)))
+    # Highest existing id as a scalar subquery (runs once; no join).
+    base = db.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     ts = F.lit(as_of).cast("timestamp_ntz")
-    accepted = (accepted_req.withColumn("_one", F.lit(1)).join(base, "_one")
-                .select((F.col("_base") + F.col(order_col)).alias("id"), "database_name",
+    accepted = (accepted_req
+                .select((base + F.col(order_col)).alias("id"), "database_name",
                         "username", F.sha2(F.col("username"), 256).alias("password_hash"),
                         "owner_email", "friendly_name", "max_connections",
                         F.lit("active").alias("status"), ts.alias("created_at"),

@@ -125,63 +125,123 @@ def words(c) -> Column:
 
 def trigrams(c) -> Column:
     """Distinct trigrams of a text: each word is padded with two spaces
-    before and one after, then cut into every 3-character window."""
+    before and one after, then cut into every 3-character window.
+
+    Windows are cut per word, never over the whole text: ``substring`` on
+    UTF-8 text walks from the start of the string, so windows over a long
+    text would cost quadratic time."""
     padded = F.transform(words(c), lambda w: F.concat(F.lit(TRGM_PAD_BEFORE), w, F.lit(TRGM_PAD_AFTER)))
     grams = F.transform(padded, lambda p: F.transform(
         F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, 3)))
     return F.array_distinct(F.flatten(grams))
 
 
+def _gram_sets(df: DataFrame, id_col: str, text_col: str, side: str) -> DataFrame:
+    """One row per record: id, gram count and the sorted distinct grams."""
+    return (df.select(F.col(id_col).alias(f"_{side}"),
+                      F.coalesce(F.array_sort(trigrams(text_col)), F.array().cast("array<string>"))
+                      .alias(f"_{side}g"))
+            .select(f"_{side}", F.size(f"_{side}g").alias(f"_{side}n"), f"_{side}g"))
+
+
 def _gram_rows(df: DataFrame, id_col: str, text_col: str, side: str) -> DataFrame:
-    g = df.select(F.col(id_col).alias(f"_{side}"), trigrams(text_col).alias("_g"))
-    return g.select(f"_{side}", F.size("_g").alias(f"_{side}n"), F.explode("_g").alias("g"))
+    """One row per (record, distinct gram) with the record's gram count.
+
+    The grams are computed once, inside the generator: filters placed
+    after this (size windows, inferred not-null checks) apply to generated
+    columns and never copy the trigram expression into a pushed-down
+    filter."""
+    arr = F.coalesce(trigrams(text_col), F.array().cast("array<string>"))
+    g = df.select(F.col(id_col).alias(f"_{side}"), arr.alias("_arr"))
+    return g.select(f"_{side}", F.inline(F.transform(
+        "_arr", lambda x: F.struct(x.alias("g"), F.size("_arr").alias(f"_{side}n")))))
+
+
+def _result(pairs: DataFrame, a_id: str, b_id: str, t: float) -> DataFrame:
+    sim = F.col("shared") / (F.col("_an") + F.col("_bn") - F.col("shared"))
+    same = a_id == b_id
+    return (pairs.filter(sim >= F.lit(t))
+            .select(F.col("_a").alias(f"a_{a_id}" if same else a_id),
+                    F.col("_b").alias(f"b_{b_id}" if same else b_id),
+                    F.col("shared").cast("bigint").alias("shared"),
+                    F.col("_an").cast("bigint").alias("a_grams"),
+                    F.col("_bn").cast("bigint").alias("b_grams"),
+                    F.round(sim, 6).alias("similarity")))
 
 
 def trigram_join(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str, b_text: str,
-                 threshold: float = DEFAULT_TRGM_THRESHOLD, self_join: bool = False) -> DataFrame:
+                 threshold: float = DEFAULT_TRGM_THRESHOLD, self_join: bool = False,
+                 method: str = "auto") -> DataFrame:
     """All (a, b) pairs whose trigram sets have Jaccard similarity
-    >= ``threshold`` (> 0), exactly.
-
-    Prefix filtering: order grams globally by how many b-records hold them
-    (rarest first). Two sets with Jaccard >= t must share a gram among the
-    first ``n - ceil(t*n) + 1`` grams of each, so candidates come from a
-    join on those prefix grams only (rare grams: small groups), plus the
-    size filter ``t*|a| <= |b| <= |a|/t``. Candidates are then verified by
-    an exact intersection count over their full gram sets. With
+    >= ``threshold`` (> 0), exactly. Two plans give the same rows:
+
+    ``probe`` (default when ``a`` is a query set, e.g. passages or search
+    strings): gram rows of ``b`` records whose gram count cannot reach the
+    threshold against any record of ``a`` (``t*min|a| <= |b| <= max|a|/t``,
+    bounds from scalar subqueries) are dropped as they are generated; the
+    rest join ``a``'s grams on
+    the gram (``a`` is broadcast when Spark measures it small) and shared
+    grams are counted per pair with a map-side partial aggregate.
+
+    ``prefix`` (default for self-joins): prefix filtering. Grams are ordered
+    globally by how many ``b`` records hold them (rarest first); pairs with
+    Jaccard >= t must share one of the first ``n - ceil(t*n) + 1`` grams of
+    each record, so candidates come from a join on prefix grams only (rare
+    grams, small groups) plus the size filter. Each candidate is verified by
+    ``array_intersect`` of its two sorted gram arrays, in the JVM. With
     ``self_join`` (a is b) pairs are reported once with a < b.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    ga = _gram_rows(a, a_id, a_text, "a")
-    gb = _gram_rows(b, b_id, b_text, "b")
-    freq = gb.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
+    if method == "auto":
+        method = "prefix" if self_join else "probe"
     t = F.lit(threshold)
 
-    def prefix(gr, side):
+    if method == "probe":
+        ea = _gram_rows(a, a_id, a_text, "a")
+        eb = _gram_rows(b, b_id, b_text, "b")
+        # Size window over all of a, as scalar subqueries (run once, no join).
+        lo, hi = ea.agg(F.min("_an")).scalar(), ea.agg(F.max("_an")).scalar()
+        eb = eb.filter((F.col("_bn") >= t * lo) & (F.col("_bn") * t <= hi))
+        j = ea.join(eb, "g").filter((F.col("_bn") >= t * F.col("_an")) & (F.col("_bn") * t <= F.col("_an")))
+        if self_join:
+            j = j.filter(F.col("_a") < F.col("_b"))
+        pairs = j.groupBy("_a", "_b", "_an", "_bn").agg(F.count(F.lit(1)).alias("shared"))
+        return _result(pairs, a_id, b_id, threshold)
+
+    if method != "prefix":
+        raise ValueError(method)
+    sa = _gram_sets(a, a_id, a_text, "a")
+    sb = sa.select(F.col("_a").alias("_b"), F.col("_an").alias("_bn"), F.col("_ag").alias("_bg")) \
+        if self_join else _gram_sets(b, b_id, b_text, "b")
+    rows_b = _gram_rows(b, b_id, b_text, "b")
+    freq = rows_b.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
+
+    def prefix(rows, side):
         n = F.col(f"_{side}n")
-        ranked = gr.join(freq, "g", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+        e = rows
+        ranked = e.join(freq, "g", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
         w = Window.partitionBy(f"_{side}").orderBy("_df", "g")
         plen = n - F.ceil(t * n) + 1
-        return (ranked.withColumn("_r", F.row_number().over(w))
-                .filter(F.col("_r") <= plen).select(f"_{side}", f"_{side}n", "g"))
-
-    pa, pb = prefix(ga, "a"), prefix(gb, "b")
-    cand = (pa.join(pb, "g")
-            .filter((F.col("_bn") >= t * F.col("_an")) & (F.col("_bn") * t <= F.col("_an")))
-            .select("_a", "_b", "_an", "_bn").distinct())
+        return (ranked.withColumn(f"_{side}p", F.row_number().over(w))
+                .filter(F.col(f"_{side}p") <= plen).select(f"_{side}", f"_{side}n", f"_{side}p", "g"))
+
+    pa = prefix(_gram_rows(a, a_id, a_text, "a"), "a")
+    pb = (pa.select(F.col("_a").alias("_b"), F.col("_an").alias("_bn"), F.col("_ap").alias("_bp"), "g")
+          if self_join else prefix(rows_b, "b"))
+    # Size filter, and the positional filter: the overlap of a pair is at
+    # most 1 + min(|a| - i, |b| - j) for its first shared gram at ranks
+    # (i, j), and it needs ceil(t / (1 + t) * (|a| + |b|)) shared grams.
+    need = F.ceil(t / (F.lit(1.0) + t) * (F.col("_an") + F.col("_bn")))
+    cond = ((F.col("_bn") >= t * F.col("_an")) & (F.col("_bn") * t <= F.col("_an"))
+            & (F.lit(1) + F.least(F.col("_an") - F.col("_ap"), F.col("_bn") - F.col("_bp")) >= need))
     if self_join:
-        cand = cand.filter(F.col("_a") < F.col("_b"))
-    inter = (cand.join(ga.select("_a", "g"), "_a")
-             .join(gb.select("_b", "g"), ["_b", "g"])
-             .groupBy("_a", "_b", "_an", "_bn").agg(F.count(F.lit(1)).alias("shared")))
-    sim = F.col("shared") / (F.col("_an") + F.col("_bn") - F.col("shared"))
-    return (inter.withColumn("similarity", F.round(sim, 6))
-            .filter(sim >= t)
-            .select(F.col("_a").alias(f"a_{a_id}" if a_id == b_id else a_id),
-                    F.col("_b").alias(f"b_{b_id}" if a_id == b_id else b_id),
-                    F.col("shared").cast("bigint").alias("shared"),
-                    F.col("_an").cast("bigint").alias("a_grams"),
-                    F.col("_bn").cast("bigint").alias("b_grams"), "similarity"))
+        cond = cond & (F.col("_a") < F.col("_b"))
+    cand = pa.join(pb, "g").filter(cond).select("_a", "_b").distinct()
+    verified = (cand.join(sa, "_a").join(sb, "_b")
+                .withColumn("shared", F.size(F.array_intersect("_ag", "_bg")))
+                .select("_a", "_b", "_an", "_bn", "shared"))
+    return _result(verified, a_id, b_id, threshold)
 
 
 def trigram_search(df: DataFrame, id_col: str, text_col: str, q: str,

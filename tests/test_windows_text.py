@@ -63,18 +63,20 @@ def test_trigram_join_equals_brute_force(spark):
     texts = ["the quick brown fox", "the quick brown fax", "a lazy dog sleeps", "lazy dogs sleep",
              "Quick brown foxes", "zebra", "zebras", "", "the the the"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    for t in (0.2, 0.5, 0.8):
-        got = {(r["a_id"], r["b_id"]): r["similarity"]
-               for r in TV.trigram_join(df, df, "id", "text", "id", "text", t, self_join=True).collect()}
-        want = {}
-        g = [_py_trigrams(x) for x in texts]
-        for i in range(len(texts)):
-            for j in range(i + 1, len(texts)):
-                if g[i] and g[j]:
-                    s = len(g[i] & g[j]) / len(g[i] | g[j])
-                    if s >= t:
-                        want[(i, j)] = round(s, 6)
-        assert got == want, t
+    g = [_py_trigrams(x) for x in texts]
+    for t in (0.1, 0.2, 0.5, 0.8, 1.0):
+        for self_join in (True, False):
+            want = {}
+            for i in range(len(texts)):
+                for j in range(len(texts)):
+                    if (j > i or not self_join) and g[i] and g[j]:
+                        s = len(g[i] & g[j]) / len(g[i] | g[j])
+                        if s >= t:
+                            want[(i, j)] = round(s, 6)
+            for method in ("probe", "prefix"):
+                got = {(r["a_id"], r["b_id"]): r["similarity"] for r in TV.trigram_join(
+                    df, df, "id", "text", "id", "text", t, self_join=self_join, method=method).collect()}
+                assert got == want, (t, self_join, method)
 
 
 def test_trigram_plan_has_no_cross_join(spark):
