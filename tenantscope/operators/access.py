@@ -147,14 +147,8 @@ def rule_drift(current: DataFrame, wanted: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Admission
 # ---------------------------------------------------------------------------
-def _prefix_lengths(rules: DataFrame) -> list[int]:
-    # At most 33 distinct values (0..32): a bounded collect.
-    return sorted(r[0] for r in rules.filter(F.col("kind") == "allow")
-                  .select("prefix_len").distinct().collect())
-
-
 def admit(conn: DataFrame, rules: DataFrame, mode: str = "intended",
-          private_networks: bool = False, prefix_lengths: list[int] | None = None) -> DataFrame:
+          private_networks: bool = False) -> DataFrame:
     """Does each connection get in?
 
     ``conn`` has conn_id, database_name, client_ip, is_ssl; ``rules`` is the
@@ -170,7 +164,8 @@ def admit(conn: DataFrame, rules: DataFrame, mode: str = "intended",
     The CIDR match is an equi-join, not a range join: CIDR blocks are
     aligned, so an address is inside ``lo/n`` exactly when its address with
     the low ``32-n`` bits cleared equals ``lo``. Each SSL connection is
-    expanded once per prefix length in use (at most 33) and joined on
+    expanded once per prefix length its tenant uses (at most 33, through an
+    equi-join with the small (tenant, prefix length) table) and joined on
     (tenant, prefix, masked address); a tenant with many connections and
     many CIDRs is a large equi-join that AQE can split, never a band join.
     """
@@ -203,23 +198,20 @@ def admit(conn: DataFrame, rules: DataFrame, mode: str = "intended",
 
     if mode != "intended":
         raise ValueError(f"unknown mode {mode!r}")
-    lens = prefix_lengths if prefix_lengths is not None else _prefix_lengths(rules)
     allow = rules.filter(F.col("kind") == "allow").select(
         F.col("database_name").alias("_rt"), F.col("prefix_len").alias("_pl"),
         F.col("lo").alias("_lo"), "rule_no")
-    best = None
-    if lens:
-        cand = (c.filter(has_rules & F.col("is_ssl") & F.col("_ip").isNotNull())
-                .select("conn_id", "database_name",
-                        F.explode(F.array(*[F.struct(F.lit(n).alias("pl"),
-                                                     (F.col("_ip") - F.pmod(F.col("_ip"), F.lit(1 << (32 - n)))).alias("masked"))
-                                            for n in lens])).alias("k")))
-        hit = cand.join(allow, (cand["database_name"] == allow["_rt"])
-                        & (F.col("k.pl") == allow["_pl"]) & (F.col("k.masked") == allow["_lo"]))
-        best = hit.groupBy(F.col("conn_id").alias("_cid")).agg(F.min("rule_no").alias("_allow_no"))
-        c = c.join(best, c["conn_id"] == best["_cid"], "left").drop("_cid")
-    else:
-        c = c.withColumn("_allow_no", F.lit(None).cast("int"))
+    lens = allow.select(F.col("_rt").alias("_lt"), F.col("_pl").alias("_ll")).distinct()
+    ssl = c.filter(has_rules & F.col("is_ssl") & F.col("_ip").isNotNull()) \
+           .select("conn_id", "database_name", "_ip")
+    cand = (ssl.join(lens, ssl["database_name"] == lens["_lt"])
+            .select("conn_id", "database_name", F.col("_ll").alias("_pl"),
+                    (F.col("_ip") - F.pmod(F.col("_ip"), F.pow(F.lit(2), F.lit(32) - F.col("_ll"))
+                                          .cast("bigint"))).alias("_lo")))
+    hit = cand.join(allow, (cand["database_name"] == allow["_rt"]) & (cand["_pl"] == allow["_pl"])
+                    & (cand["_lo"] == allow["_lo"]))
+    best = hit.groupBy(F.col("conn_id").alias("_cid")).agg(F.min("rule_no").alias("_allow_no"))
+    c = c.join(best, c["conn_id"] == best["_cid"], "left").drop("_cid")
     matched = (F.when(has_rules & F.col("_allow_no").isNotNull(), "tenant_allow")
                .when(has_rules, "tenant_reject")
                .when(F.col("is_ssl"), "default_ssl").otherwise("no_rule"))

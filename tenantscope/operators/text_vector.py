@@ -275,8 +275,11 @@ def word_counts_ci(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Case-insensitive word frequencies over whole texts (partial
     aggregation merges a hot word map-side)."""
     w = df.select(id_col, F.explode(words(text_col)).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"),
-                                 F.count_distinct(id_col).alias("records"))
+    # Two plain aggregates instead of a distinct count (no Expand): per
+    # (word, record), then per word.
+    per = w.groupBy("word", id_col).agg(F.count(F.lit(1)).alias("_n"))
+    return per.groupBy("word").agg(F.sum("_n").cast("bigint").alias("n"),
+                                   F.count(F.lit(1)).alias("records"))
 
 
 # ---------------------------------------------------------------------------

@@ -19,27 +19,25 @@ def _with_halo(df: DataFrame, part: str, chunk: Column, order_cols: list[str],
                k: int) -> DataFrame:
     """Rows with ``_chunk`` and ``_halo`` (False for own rows). Each chunk
     also gets, as halo rows, the last ``k`` rows that precede it in the
-    tenant's order (taken from up to ``k`` earlier non-empty chunks)."""
+    tenant's order (taken from up to ``k`` earlier non-empty chunks). Own
+    rows are never joined; only the chunk tails (at most ``k`` rows per
+    chunk) travel, through the small table of non-empty chunks."""
     t = df.withColumn("_chunk", chunk)
-    chunks = t.select(part, "_chunk").distinct()
-    idx = chunks.withColumn("_ci", F.row_number().over(
-        Window.partitionBy(part).orderBy("_chunk")))
-    t = t.join(idx, [part, "_chunk"])
     desc = [F.col(c).desc() for c in order_cols]
     tails = (t.withColumn("_r", F.row_number().over(
-                Window.partitionBy(part, "_ci").orderBy(*desc)))
+                Window.partitionBy(part, "_chunk").orderBy(*desc)))
              .filter(F.col("_r") <= k).drop("_r"))
-    shipped = (tails.withColumn("_to", F.explode(F.sequence(F.col("_ci") + 1, F.col("_ci") + k)))
-               .join(idx.select(part, F.col("_ci").alias("_to"), F.col("_chunk").alias("_tchunk")),
-                     [part, "_to"]))
+    idx = (tails.select(part, "_chunk").distinct()
+           .withColumn("_ci", F.row_number().over(Window.partitionBy(part).orderBy("_chunk"))))
+    shipped = (tails.join(idx, [part, "_chunk"])
+               .withColumn("_to", F.explode(F.sequence(F.col("_ci") + 1, F.col("_ci") + k)))
+               .drop("_chunk", "_ci")
+               .join(idx.select(part, F.col("_ci").alias("_to"), "_chunk"), [part, "_to"]))
     halo = (shipped.withColumn("_r", F.row_number().over(
-                Window.partitionBy(part, "_to").orderBy(*desc)))
-            .filter(F.col("_r") <= k)
-            .drop("_r", "_chunk", "_ci")
-            .withColumnRenamed("_to", "_ci").withColumnRenamed("_tchunk", "_chunk")
+                Window.partitionBy(part, "_chunk").orderBy(*desc)))
+            .filter(F.col("_r") <= k).drop("_r", "_to")
             .withColumn("_halo", F.lit(True)))
-    own = t.withColumn("_halo", F.lit(False))
-    return own.unionByName(halo)
+    return t.withColumn("_halo", F.lit(False)).unionByName(halo)
 
 
 def size_growth(stats: DataFrame, order_cols: list[str] = STATS_ORDER,
@@ -49,7 +47,7 @@ def size_growth(stats: DataFrame, order_cols: list[str] = STATS_ORDER,
     day)."""
     chunk = chunk if chunk is not None else F.date_trunc("DAY", F.col("recorded_at"))
     h = _with_halo(stats, "database_id", chunk, order_cols, 1)
-    w = Window.partitionBy("database_id", "_ci").orderBy(*[F.col(c) for c in order_cols])
+    w = Window.partitionBy("database_id", "_chunk").orderBy(*[F.col(c) for c in order_cols])
     out = (h.withColumn("prev_size", F.lag("size_bytes").over(w))
            .withColumn("prev_at", F.lag("recorded_at").over(w))
            .filter(~F.col("_halo")))
@@ -68,7 +66,7 @@ def rolling_connections(stats: DataFrame, rows: int = 7, order_cols: list[str] =
     samples of the tenant (the current one included)."""
     chunk = chunk if chunk is not None else F.date_trunc("DAY", F.col("recorded_at"))
     h = _with_halo(stats, "database_id", chunk, order_cols, rows - 1)
-    w = (Window.partitionBy("database_id", "_ci").orderBy(*[F.col(c) for c in order_cols])
+    w = (Window.partitionBy("database_id", "_chunk").orderBy(*[F.col(c) for c in order_cols])
          .rowsBetween(-(rows - 1), 0))
     return (h.withColumn("rolling_avg", F.round(F.avg("active_connections").over(w), 4))
             .withColumn("rolling_max", F.max("active_connections").over(w))

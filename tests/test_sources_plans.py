@@ -16,7 +16,9 @@ def test_read_control_uses_fixed_schema(spark, fleet, tmp_path):
                                 "status", "created_at", "updated_at")
     db.write.parquet(base + "/databases")
     got = control.read_control(spark, base, "databases")
-    assert got.schema == schemas.DATABASES
+    # file sources read every column as nullable; names and types are fixed
+    assert [(f.name, f.dataType) for f in got.schema] == \
+        [(f.name, f.dataType) for f in schemas.DATABASES]
     assert got.count() == db.count()
     fleet.activity.write.parquet(base + "/activity")
     a = control.read_activity(spark, base + "/activity", snapshot_ts="2024-04-15 00:00:00")
@@ -35,7 +37,7 @@ def test_active_databases_aggregates_before_join(spark):
     df = E.queries()["active_databases"](spark, SF_SMALL)
     p = df._jdf.queryExecution().optimizedPlan().toString()
     # the allow list is aggregated per tenant below the join
-    agg_pos = p.find("Aggregate [_tid")
+    agg_pos = p.find("Aggregate [database_id")
     join_pos = p.find("Join LeftOuter")
     assert agg_pos > join_pos > -1
 
@@ -46,3 +48,17 @@ def test_main_jobs_have_no_nested_loop_join(spark):
                  "cache_ttl_hits", "size_growth", "rolling_connections"):
         p = plan_text(E.queries()[name](spark, SF_SMALL))
         assert "NestedLoopJoin" not in p and "CartesianProduct" not in p, name
+
+
+def test_status_filter_pushed_on_stored_registry(spark, fleet, tmp_path):
+    from tenantscope.operators import registry
+    base = str(tmp_path / "ctl")
+    fleet.databases.withColumn("id", F.col("id").cast("string")).write.parquet(base + "/databases")
+    fleet.ip_whitelist.withColumn("database_id", F.col("database_id").cast("string")) \
+        .write.parquet(base + "/ip_whitelist")
+    fleet.db_catalog.write.parquet(base + "/db_catalog")
+    db = control.read_control(spark, base, "databases")
+    wl = control.read_control(spark, base, "ip_whitelist")
+    cat = control.read_control(spark, base, "db_catalog")
+    p = plan_text(registry.active_databases(db, wl, cat))
+    assert "EqualTo(status,active)" in p
