@@ -15,8 +15,28 @@ BASE_TS = "2024-01-01 00:00:00"
 AS_OF = "2024-04-15 00:00:00"
 
 
+# Tables whose rows carry whole texts: their jobs do heavy per-row work
+# (tokenising, trigrams, regexes) before the first shuffle.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one driver table.
+
+    A text table stored as a single file with a single row group scans as
+    one task, so its per-row text work would use one core until the first
+    shuffle. Such a scan is hash-spread on its key (first) column over the
+    session's default parallelism (a hash exchange needs no local sort,
+    unlike round-robin). Filters and column pruning still reach the scan;
+    both are pushed through a repartition. Inputs with enough splits (many
+    files or row groups, as on a cluster) and the narrow relational tables
+    are read as they are."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            df = df.repartition(want, df.columns[0])
+    return df
 
 
 def _pad8(c: Column) -> Column:
