@@ -41,7 +41,7 @@ def centroids(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame
 
 def vector_topk(q: DataFrame, v: DataFrame, k: int = 3, metric: str = "cosine",
                 q_id: str = "qid", v_id: str = "vec_id", vec: str = "embedding",
-                blocks: int = 64) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """Exact top-k nearest vectors for every query vector.
 
     Every (query, vector) score is computed, as exact search requires, but
@@ -50,8 +50,11 @@ def vector_topk(q: DataFrame, v: DataFrame, k: int = 3, metric: str = "cosine",
     side only when its measured size is under the broadcast threshold;
     otherwise it is a shuffled join. ``row_number() <= k`` is planned with
     a partial group limit, so each map task ships at most ``k`` rows per
-    query before the final ranking. Ties go to the smaller id.
+    query before the final ranking. Ties go to the smaller id. ``blocks``
+    defaults to the session's default parallelism, so a shuffled plan
+    spreads the scoring over the whole cluster.
     """
+    blocks = blocks or max(1, q.sparkSession.sparkContext.defaultParallelism)
     qq = (q.select(F.col(q_id).alias("_qid"), F.col(vec).alias("_qv"))
           .withColumn("_qn", norm(F.col("_qv")))
           .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
@@ -89,12 +92,17 @@ def semantic_lookup(q: DataFrame, cache: DataFrame, threshold: float,
         # Time-bounded: pair queries and entries on the TTL band first.
         qq = q.select(F.col(q_id).alias("_qid"), F.col(vec).alias("_qv"), F.col(q_ts).alias("_qts"))
         cc = cache.select(F.col(v_id).alias("_vid"), F.col(vec).alias("_vv"), F.col(c_ts).alias("_cts"))
-        # Equi-key on the TTL bucket (current and previous), then the exact band.
-        qq = qq.withColumn("_bk", F.explode(F.array(
-            F.floor(F.unix_timestamp(F.col("_qts").cast("timestamp")) / F.lit(ttl_seconds)),
-            F.floor(F.unix_timestamp(F.col("_qts").cast("timestamp")) / F.lit(ttl_seconds)) - 1)))
-        cc = cc.withColumn("_bk", F.floor(F.unix_timestamp(F.col("_cts").cast("timestamp")) / F.lit(ttl_seconds)))
-        j = qq.join(cc, "_bk").filter(
+        # Equi-key on (TTL bucket, corpus block): queries are copied to
+        # their bucket and the one before, and to every block, so a busy
+        # bucket is split over ``blocks`` tasks; then the exact band.
+        blocks = kw.get("blocks") or max(1, q.sparkSession.sparkContext.defaultParallelism)
+        qb = F.floor(F.unix_timestamp(F.col("_qts").cast("timestamp")) / F.lit(ttl_seconds))
+        qq = (qq.withColumn("_bk", F.explode(F.array(qb, qb - 1)))
+              .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+        cc = (cc.withColumn("_bk", F.floor(F.unix_timestamp(F.col("_cts").cast("timestamp"))
+                                           / F.lit(ttl_seconds)))
+              .withColumn("_blk", F.pmod(F.xxhash64("_vid"), F.lit(blocks)).cast("int")))
+        j = qq.join(cc, ["_bk", "_blk"]).filter(
             (F.col("_cts") <= F.col("_qts"))
             & (F.col("_cts") >= F.col("_qts") - F.make_interval(secs=F.lit(ttl_seconds))))
         s = j.select("_qid", "_vid", (dot(F.col("_qv"), F.col("_vv"))

@@ -24,7 +24,8 @@ def backup_snapshot(dfs: dict[str, DataFrame], out_dir: str, as_of: str,
     return base
 
 
-def write_rules(rules: DataFrame, out_dir: str, num_files: int | None = None) -> None:
+def write_rules(rules: DataFrame, out_dir: str, num_files: int | None = None,
+                mode: str = "errorifexists") -> None:
     """The access rules as text in file order (database_name, rule_no)
     with per-tenant header lines. Range partitioning keeps the part files
     in global order and splits a tenant with very many rules over several
@@ -33,7 +34,7 @@ def write_rules(rules: DataFrame, out_dir: str, num_files: int | None = None) ->
     n = num_files or max(1, lines.sparkSession.sparkContext.defaultParallelism)
     (lines.repartitionByRange(n, "database_name", "rule_no")
      .sortWithinPartitions("database_name", "rule_no")
-     .select("line").write.mode("errorifexists").text(out_dir))
+     .select("line").write.mode(mode).text(out_dir))
 
 
 def export_json(df: DataFrame, out_dir: str, mode: str = "errorifexists") -> int:

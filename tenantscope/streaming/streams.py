@@ -155,13 +155,14 @@ def rules_stream(changes: DataFrame, load_tables: Callable[[], tuple[DataFrame,
     """On every micro-batch of whitelist changes, recompute the full rule
     set from the current table version (as the API does on each change)
     and write it to ``{out_dir}/batch={id}``; an empty batch writes
-    nothing. Each batch's output directory is written once (idempotent
-    retry replaces nothing)."""
+    nothing. A batch id is stable across retries, so a retried batch
+    overwrites its own directory: the output is idempotent."""
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         db, wl = load_tables()
-        write_rules(access.generate_rules(db, wl), f"{out_dir.rstrip('/')}/batch={batch_id}")
+        write_rules(access.generate_rules(db, wl), f"{out_dir.rstrip('/')}/batch={batch_id}",
+                    mode="overwrite")
 
     return (changes.writeStream.foreachBatch(on_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
