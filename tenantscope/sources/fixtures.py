@@ -15,9 +15,12 @@ BASE_TS = "2024-01-01 00:00:00"
 AS_OF = "2024-04-15 00:00:00"
 
 
-# Tables whose rows carry whole texts: their jobs do heavy per-row work
-# (tokenising, trigrams, regexes) before the first shuffle.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+# Tables whose rows carry whole texts (their jobs do heavy per-row work,
+# tokenising, trigrams, regexes, before the first shuffle), with their
+# unique keys. Spreading on a unique key never gathers a group (e.g. one
+# conversation) into one task.
+TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"],
+               "conversations": ["conv_id", "turn"], "benchmark": ["item_id"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     A text table stored as a single file with a single row group scans as
     one task, so its per-row text work would use one core until the first
-    shuffle. Such a scan is hash-spread on its key (first) column over the
+    shuffle. Such a scan is hash-spread on its unique key over the
     session's default parallelism (a hash exchange needs no local sort,
     unlike round-robin). Filters and column pruning still reach the scan;
     both are pushed through a repartition. Inputs with enough splits (many
@@ -35,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TEXT_TABLES:
         want = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want, df.columns[0])
+            df = df.repartition(want, *TEXT_TABLES[name])
     return df
 
 

@@ -62,3 +62,11 @@ def test_status_filter_pushed_on_stored_registry(spark, fleet, tmp_path):
     cat = control.read_control(spark, base, "db_catalog")
     p = plan_text(registry.active_databases(db, wl, cat))
     assert "EqualTo(status,active)" in p
+
+
+def test_top_n_per_group_limits_before_shuffle(spark):
+    # row_number() <= n: a partial WindowGroupLimit runs before the exchange,
+    # so a hot group ships at most n rows per map task.
+    for name in ("last_slow_cache", "chat_history_last3", "vector_topk_centroids"):
+        p = plan_text(E.queries()[name](spark, SF_SMALL))
+        assert p.count("WindowGroupLimit") >= 2, name
