@@ -129,19 +129,26 @@ def rules_text(rules: DataFrame) -> DataFrame:
     heads = rules.select("database_name").distinct()
     header = heads.select("database_name", F.explode(F.array(
         F.struct(F.lit(-1).alias("rule_no"), F.lit("").alias("line")),
-        F.struct(F.lit(0).alias("rule_no"),
-                 F.concat(F.lit("# Rules for "), F.col("database_name")).alias("line"))
+        F.struct(F.lit(0).alias("rule_no"), _line(HEADER_LINE).alias("line"))
     )).alias("h")).select("database_name", "h.rule_no", "h.line")
     return rules.select("database_name", "rule_no", "line").unionByName(header)
 
 
 def rule_drift(current: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rule lines present on one side only, with multiplicity
-    (``exceptAll`` both ways)."""
+    """Rule lines present on one side only, with multiplicity (the
+    rows of ``exceptAll`` both ways). Each side is counted once per line
+    (partial aggregates) and the counts meet in one full outer join, so
+    each input is computed once."""
     cols = ["database_name", "rule_no", "line"]
-    c, w = current.select(*cols), wanted.select(*cols)
-    return (c.exceptAll(w).withColumn("side", F.lit("only_current"))
-            .unionByName(w.exceptAll(c).withColumn("side", F.lit("only_wanted"))))
+    c = current.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    w = wanted.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+    diff = (c.join(w, cols, "full_outer")
+            .withColumn("_d", F.coalesce("_c", F.lit(0)) - F.coalesce("_w", F.lit(0)))
+            .filter(F.col("_d") != 0))
+    out = diff.select(*cols, F.when(F.col("_d") > 0, "only_current").otherwise("only_wanted")
+                      .alias("side"),
+                      F.explode(F.array_repeat(F.lit(1), F.abs(F.col("_d")).cast("int"))).alias("_x"))
+    return out.drop("_x")
 
 
 # ---------------------------------------------------------------------------

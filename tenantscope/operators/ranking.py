@@ -11,7 +11,7 @@ exactly the plain row number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK = 1 << 16
@@ -31,7 +31,10 @@ def row_number_within(df: DataFrame, part_cols: list[str], order_col: str,
     tagged = df.withColumn(ck, chunk)
     local = tagged.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*part_cols, ck).orderBy(key)))
-    sizes = tagged.groupBy(*part_cols, ck).agg(F.count(F.lit(1)).alias("_n"))
+    # Sizes come from the numbered rows: the aggregate and the join below
+    # reuse the window's (group, chunk) partitioning, so the input is
+    # scanned and shuffled once.
+    sizes = local.groupBy(*part_cols, ck).agg(F.max("_local").alias("_n"))
     before = Window.partitionBy(*part_cols).orderBy(ck) \
                    .rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*part_cols, ck,
@@ -44,7 +47,3 @@ def row_number_within(df: DataFrame, part_cols: list[str], order_col: str,
 def group_sizes(df: DataFrame, part_cols: list[str], out: str = "n") -> DataFrame:
     """Rows per group (partial aggregation before the shuffle)."""
     return df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias(out))
-
-
-def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c

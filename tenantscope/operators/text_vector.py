@@ -256,8 +256,7 @@ def trigram_search(df: DataFrame, id_col: str, text_col: str, q: str,
                    threshold: float = DEFAULT_TRGM_THRESHOLD) -> DataFrame:
     """R72 against one query string (``similarity(text, q) >= t``)."""
     qdf = df.sparkSession.createDataFrame([(0, q)], "qid int, qtext string")
-    return trigram_join(qdf, df, "qid", "qtext", id_col, text_col, threshold) \
-        .drop("qid").withColumnRenamed(id_col, id_col)
+    return trigram_join(qdf, df, "qid", "qtext", id_col, text_col, threshold).drop("qid")
 
 
 def unaccent(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

@@ -104,9 +104,6 @@ SELECT CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END AS friendly_name,
 FROM customer""",
 }
 
-_DRIVER_TABLES = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
-                  "conversations"}
 
 
 def with_views(body: str) -> str:

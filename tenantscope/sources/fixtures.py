@@ -35,10 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     files or row groups, as on a cluster) and the narrow relational tables
     are read as they are."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
+    keys = TEXT_TABLES.get(name)
+    if keys:
         want = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want, *TEXT_TABLES[name])
+            df = df.repartition(want, *keys)
     return df
 
 
