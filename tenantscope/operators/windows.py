@@ -1,10 +1,13 @@
 """Ordered per-tenant windows (R66-R68), skew-safe.
 
-``Window.partitionBy(tenant)`` puts a whole tenant in one task. Here each
-tenant's rows are cut into time chunks (``chunk``); windows run per
-(tenant, chunk), and the few rows a window needs from earlier chunks (the
-"halo": the last ``k`` rows before the chunk) are copied in first and
-dropped after. Results equal the plain per-tenant window.
+``Window.partitionBy(tenant)`` puts a whole tenant in one task. Tenants
+with more than ``hot_rows`` rows are therefore split off (one partial
+aggregate finds them; there are at most ``rows / hot_rows`` of them, so the
+set is broadcast) and their rows are cut into time chunks (``chunk``):
+windows run per (tenant, chunk), and the few rows a window needs from
+earlier chunks (the "halo": the last ``k`` rows before the chunk) are
+copied in first and dropped after. All other tenants use the plain window.
+Results equal the plain per-tenant window.
 """
 
 from __future__ import annotations
@@ -13,6 +16,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATS_ORDER = ["recorded_at", "total_queries", "seq", "size_bytes"]
+# Rows above which one tenant's window is split into chunks (ours).
+HOT_ROWS = 1_000_000
+
+
+def split_hot(df: DataFrame, part: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary groups, rows of groups holding more than
+    ``hot_rows`` rows). The hot-key set has at most ``count / hot_rows``
+    entries, a proven bound, so it is broadcast to both semi/anti joins."""
+    hot = (df.groupBy(part).agg(F.count(F.lit(1)).alias("_cnt"))
+           .filter(F.col("_cnt") > F.lit(hot_rows)).select(part))
+    hot = F.broadcast(hot)
+    return df.join(hot, part, "left_anti"), df.join(hot, part, "left_semi")
 
 
 def _with_halo(df: DataFrame, part: str, chunk: Column, order_cols: list[str],
@@ -40,17 +55,11 @@ def _with_halo(df: DataFrame, part: str, chunk: Column, order_cols: list[str],
     return t.withColumn("_halo", F.lit(False)).unionByName(halo)
 
 
-def size_growth(stats: DataFrame, order_cols: list[str] = STATS_ORDER,
-                chunk: Column | None = None) -> DataFrame:
-    """For each sample, the previous sample of the same tenant and the
-    change, whole days between them and bytes per day (NULL on the same
-    day)."""
-    chunk = chunk if chunk is not None else F.date_trunc("DAY", F.col("recorded_at"))
-    h = _with_halo(stats, "database_id", chunk, order_cols, 1)
-    w = Window.partitionBy("database_id", "_chunk").orderBy(*[F.col(c) for c in order_cols])
-    out = (h.withColumn("prev_size", F.lag("size_bytes").over(w))
-           .withColumn("prev_at", F.lag("recorded_at").over(w))
-           .filter(~F.col("_halo")))
+def _growth_cols(df: DataFrame, w: Window, order_cols: list[str]) -> DataFrame:
+    out = (df.withColumn("prev_size", F.lag("size_bytes").over(w))
+           .withColumn("prev_at", F.lag("recorded_at").over(w)))
+    if "_halo" in df.columns:
+        out = out.filter(~F.col("_halo"))
     days = F.datediff(F.to_date("recorded_at"), F.to_date("prev_at"))
     return out.select(
         "database_id", *[c for c in order_cols if c != "database_id"], "prev_size", "prev_at",
@@ -60,20 +69,44 @@ def size_growth(stats: DataFrame, order_cols: list[str] = STATS_ORDER,
          .alias("bytes_per_day"))
 
 
+def size_growth(stats: DataFrame, order_cols: list[str] = STATS_ORDER,
+                chunk: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """For each sample, the previous sample of the same tenant and the
+    change, whole days between them and bytes per day (NULL on the same
+    day)."""
+    chunk = chunk if chunk is not None else F.date_trunc("DAY", F.col("recorded_at"))
+    order = [F.col(c) for c in order_cols]
+    cold, hot = split_hot(stats, "database_id", hot_rows)
+    plain = _growth_cols(cold, Window.partitionBy("database_id").orderBy(*order), order_cols)
+    h = _with_halo(hot, "database_id", chunk, order_cols, 1)
+    chunked = _growth_cols(h, Window.partitionBy("database_id", "_chunk").orderBy(*order),
+                           order_cols)
+    return plain.unionByName(chunked)
+
+
+def _rolling_cols(df: DataFrame, w: Window, order_cols: list[str]) -> DataFrame:
+    out = (df.withColumn("rolling_avg", F.round(F.avg("active_connections").over(w), 4))
+           .withColumn("rolling_max", F.max("active_connections").over(w))
+           .withColumn("window_rows", F.count(F.lit(1)).over(w)))
+    if "_halo" in df.columns:
+        out = out.filter(~F.col("_halo"))
+    return out.select("database_id", *[c for c in order_cols if c != "database_id"],
+                      "active_connections", "rolling_avg", "rolling_max", "window_rows")
+
+
 def rolling_connections(stats: DataFrame, rows: int = 7, order_cols: list[str] = STATS_ORDER,
-                        chunk: Column | None = None) -> DataFrame:
+                        chunk: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mean and peak of active connections over the last ``rows``
     samples of the tenant (the current one included)."""
     chunk = chunk if chunk is not None else F.date_trunc("DAY", F.col("recorded_at"))
-    h = _with_halo(stats, "database_id", chunk, order_cols, rows - 1)
-    w = (Window.partitionBy("database_id", "_chunk").orderBy(*[F.col(c) for c in order_cols])
-         .rowsBetween(-(rows - 1), 0))
-    return (h.withColumn("rolling_avg", F.round(F.avg("active_connections").over(w), 4))
-            .withColumn("rolling_max", F.max("active_connections").over(w))
-            .withColumn("window_rows", F.count(F.lit(1)).over(w))
-            .filter(~F.col("_halo"))
-            .select("database_id", *[c for c in order_cols if c != "database_id"],
-                    "active_connections", "rolling_avg", "rolling_max", "window_rows"))
+    order = [F.col(c) for c in order_cols]
+    cold, hot = split_hot(stats, "database_id", hot_rows)
+    plain = _rolling_cols(cold, Window.partitionBy("database_id").orderBy(*order)
+                          .rowsBetween(-(rows - 1), 0), order_cols)
+    h = _with_halo(hot, "database_id", chunk, order_cols, rows - 1)
+    chunked = _rolling_cols(h, Window.partitionBy("database_id", "_chunk").orderBy(*order)
+                            .rowsBetween(-(rows - 1), 0), order_cols)
+    return plain.unionByName(chunked)
 
 
 def chat_history(turns: DataFrame, n: int, session: str = "conv_id",

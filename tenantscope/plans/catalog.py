@@ -270,8 +270,8 @@ def q_retention_kept(spark, d):
 
 
 @query("retention_counts", f"""
-SELECT count_if(COALESCE(created_at < TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY, false)) AS expired,
-  count_if(NOT COALESCE(created_at < TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY, false)) AS kept,
+SELECT CAST(count_if(COALESCE(created_at < TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY, false)) AS BIGINT) AS expired,
+  CAST(count_if(NOT COALESCE(created_at < TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY, false)) AS BIGINT) AS kept,
   COUNT(*) AS total
 FROM audit_logs
 """)
@@ -623,16 +623,16 @@ def q_unique_whitelist_pair(spark, d):
 
 @query("column_violations", """
 SELECT 'databases' AS "table", "column", rule, violations FROM (
-  SELECT 'id' AS "column", 'not_null' AS rule, count_if(id IS NULL) AS violations FROM databases
-  UNION ALL SELECT 'database_name', 'not_null', count_if(database_name IS NULL) FROM databases
-  UNION ALL SELECT 'username', 'not_null', count_if(username IS NULL) FROM databases
-  UNION ALL SELECT 'password_hash', 'not_null', count_if(password_hash IS NULL) FROM databases
-  UNION ALL SELECT 'database_name', 'max_length_255', count_if(length(database_name) > 255) FROM databases
-  UNION ALL SELECT 'username', 'max_length_255', count_if(length(username) > 255) FROM databases
-  UNION ALL SELECT 'password_hash', 'max_length_255', count_if(length(password_hash) > 255) FROM databases
-  UNION ALL SELECT 'owner_email', 'max_length_255', count_if(length(owner_email) > 255) FROM databases
-  UNION ALL SELECT 'friendly_name', 'max_length_255', count_if(length(friendly_name) > 255) FROM databases
-  UNION ALL SELECT 'status', 'max_length_50', count_if(length(status) > 50) FROM databases
+  SELECT 'id' AS "column", 'not_null' AS rule, CAST(count_if(id IS NULL) AS BIGINT) AS violations FROM databases
+  UNION ALL SELECT 'database_name', 'not_null', CAST(count_if(database_name IS NULL) AS BIGINT) FROM databases
+  UNION ALL SELECT 'username', 'not_null', CAST(count_if(username IS NULL) AS BIGINT) FROM databases
+  UNION ALL SELECT 'password_hash', 'not_null', CAST(count_if(password_hash IS NULL) AS BIGINT) FROM databases
+  UNION ALL SELECT 'database_name', 'max_length_255', CAST(count_if(length(database_name) > 255) AS BIGINT) FROM databases
+  UNION ALL SELECT 'username', 'max_length_255', CAST(count_if(length(username) > 255) AS BIGINT) FROM databases
+  UNION ALL SELECT 'password_hash', 'max_length_255', CAST(count_if(length(password_hash) > 255) AS BIGINT) FROM databases
+  UNION ALL SELECT 'owner_email', 'max_length_255', CAST(count_if(length(owner_email) > 255) AS BIGINT) FROM databases
+  UNION ALL SELECT 'friendly_name', 'max_length_255', CAST(count_if(length(friendly_name) > 255) AS BIGINT) FROM databases
+  UNION ALL SELECT 'status', 'max_length_50', CAST(count_if(length(status) > 50) AS BIGINT) FROM databases
 )
 """)
 def q_column_violations(spark, d):
@@ -657,17 +657,17 @@ def q_registry_drift(spark, d):
 
 @query("cascade_delete_counts", """
 WITH del AS (SELECT id FROM databases WHERE status = 'suspended')
-SELECT 'databases' AS "table", count_if(id IN (SELECT id FROM del)) AS deleted,
-  count_if(id NOT IN (SELECT id FROM del)) AS remaining FROM databases
+SELECT 'databases' AS "table", CAST(count_if(id IN (SELECT id FROM del)) AS BIGINT) AS deleted,
+  CAST(count_if(id NOT IN (SELECT id FROM del)) AS BIGINT) AS remaining FROM databases
 UNION ALL
-SELECT 'ip_whitelist', count_if(database_id IN (SELECT id FROM del)),
-  count_if(database_id IS NULL OR database_id NOT IN (SELECT id FROM del)) FROM ip_whitelist
+SELECT 'ip_whitelist', CAST(count_if(database_id IN (SELECT id FROM del)) AS BIGINT),
+  CAST(count_if(database_id IS NULL OR database_id NOT IN (SELECT id FROM del)) AS BIGINT) FROM ip_whitelist
 UNION ALL
-SELECT 'database_stats', count_if(database_id IN (SELECT id FROM del)),
-  count_if(database_id IS NULL OR database_id NOT IN (SELECT id FROM del)) FROM database_stats
+SELECT 'database_stats', CAST(count_if(database_id IN (SELECT id FROM del)) AS BIGINT),
+  CAST(count_if(database_id IS NULL OR database_id NOT IN (SELECT id FROM del)) AS BIGINT) FROM database_stats
 UNION ALL
-SELECT 'shadow_databases', count_if(parent_database_id IN (SELECT id FROM del)),
-  count_if(parent_database_id IS NULL OR parent_database_id NOT IN (SELECT id FROM del)) FROM shadow_databases
+SELECT 'shadow_databases', CAST(count_if(parent_database_id IN (SELECT id FROM del)) AS BIGINT),
+  CAST(count_if(parent_database_id IS NULL OR parent_database_id NOT IN (SELECT id FROM del)) AS BIGINT) FROM shadow_databases
 """)
 def q_cascade_delete_counts(spark, d):
     f = Fleet(spark, d)
@@ -697,8 +697,8 @@ def q_cascade_delete_whitelist(spark, d):
 # ---------------------------------------------------------------------------
 @query("hit_rate_by_site", """
 SELECT site, hits, misses, round(CAST(100.0 AS DOUBLE) * hits / (hits + misses), 2) AS hit_rate
-FROM (SELECT split_part(cache_key, ':', 2) AS site, count_if(hit) AS hits,
-             count_if(NOT hit) AS misses
+FROM (SELECT split_part(cache_key, ':', 2) AS site, CAST(count_if(hit) AS BIGINT) AS hits,
+             CAST(count_if(NOT hit) AS BIGINT) AS misses
       FROM cache_requests GROUP BY 1)
 WHERE hits + misses > 0
 """)
@@ -708,7 +708,7 @@ def q_hit_rate_by_site(spark, d):
 
 @query("hit_rate_by_db", """
 SELECT db, hits, misses, round(CAST(100.0 AS DOUBLE) * hits / (hits + misses), 2) AS hit_rate
-FROM (SELECT db, count_if(hit) AS hits, count_if(NOT hit) AS misses
+FROM (SELECT db, CAST(count_if(hit) AS BIGINT) AS hits, CAST(count_if(NOT hit) AS BIGINT) AS misses
       FROM cache_requests GROUP BY 1)
 WHERE hits + misses > 0
 """)
@@ -738,7 +738,7 @@ def q_cache_key_parts(spark, d):
 
 @query("cache_by_site", """
 SELECT split_part(cache_key, ':', 2) AS site, split_part(cache_key, ':', 3) AS type,
-  COUNT(DISTINCT cache_key) AS keys, COUNT(*) AS requests, count_if(hit) AS hits
+  COUNT(DISTINCT cache_key) AS keys, COUNT(*) AS requests, CAST(count_if(hit) AS BIGINT) AS hits
 FROM cache_requests GROUP BY 1, 2
 """)
 def q_cache_by_site(spark, d):
@@ -746,10 +746,11 @@ def q_cache_by_site(spark, d):
 
 
 @query("cache_savings", """
-SELECT date, requests, misses, round(requests * 0.03, 4) AS cost_all,
-  round(misses * 0.03, 4) AS cost_miss, round((requests - misses) * 0.03, 4) AS saved,
+SELECT date, requests, misses, round(requests * CAST(0.03 AS DOUBLE), 4) AS cost_all,
+  round(misses * CAST(0.03 AS DOUBLE), 4) AS cost_miss,
+  round((requests - misses) * CAST(0.03 AS DOUBLE), 4) AS saved,
   round(CAST(100.0 AS DOUBLE) * (requests - misses) / requests, 2) AS saved_pct
-FROM (SELECT CAST(ts AS DATE) AS date, COUNT(*) AS requests, count_if(NOT hit) AS misses
+FROM (SELECT CAST(ts AS DATE) AS date, COUNT(*) AS requests, CAST(count_if(NOT hit) AS BIGINT) AS misses
       FROM cache_requests GROUP BY 1)
 """)
 def q_cache_savings(spark, d):
@@ -773,7 +774,8 @@ SELECT pool_database, COUNT(*) AS snapshots,
   MAX(cl_active) AS peak_cl_active, MAX(sv_active) AS peak_sv_active,
   CAST(SUM(cl_waiting) AS BIGINT) AS waiting,
   CASE WHEN SUM(cl_active + cl_waiting) > 0
-       THEN round(1.0 - CAST(SUM(sv_active + sv_idle + sv_used) AS DOUBLE) / SUM(cl_active + cl_waiting), 4)
+       THEN round(CAST(1.0 AS DOUBLE) - CAST(SUM(sv_active + sv_idle + sv_used) AS DOUBLE)
+                  / SUM(cl_active + cl_waiting), 4)
   END AS multiplex_ratio
 FROM pool_snapshot GROUP BY pool_database
 """)
@@ -881,9 +883,9 @@ def cache_info_lines(cache: DataFrame) -> DataFrame:
 
 
 @query("cache_info_hit_rate", """
-SELECT 'cache-' || CAST(db AS VARCHAR) AS host, count_if(hit) AS keyspace_hits,
-  count_if(NOT hit) AS keyspace_misses,
-  round(CAST(100.0 AS DOUBLE) * count_if(hit) / COUNT(*), 2) AS hit_rate
+SELECT 'cache-' || CAST(db AS VARCHAR) AS host, CAST(count_if(hit) AS BIGINT) AS keyspace_hits,
+  CAST(count_if(NOT hit) AS BIGINT) AS keyspace_misses,
+  round(CAST(100.0 AS DOUBLE) * CAST(count_if(hit) AS BIGINT) / COUNT(*), 2) AS hit_rate
 FROM cache_requests GROUP BY db
 """)
 def q_cache_info_hit_rate(spark, d):

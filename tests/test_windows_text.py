@@ -43,10 +43,14 @@ def test_size_growth_and_rolling_equal_plain_windows(spark):
                       F.round(F.avg("active_connections").over(w.rowsBetween(-6, 0)), 4).alias("ra"),
                       F.max("active_connections").over(w.rowsBetween(-6, 0)).alias("rm"))
     want = {r[0]: tuple(r[1:]) for r in plain.collect()}
-    g = {r["total_queries"]: r["prev_size"] for r in W.size_growth(df).collect()}
-    rc = {r["total_queries"]: (r["rolling_avg"], r["rolling_max"]) for r in W.rolling_connections(df).collect()}
-    assert g == {k: v[0] for k, v in want.items()}
-    assert rc == {k: (v[1], v[2]) for k, v in want.items()}
+    # hot_rows=100: tenant 1 (two thirds of the rows) takes the chunked
+    # path, the others the plain window; 0: every tenant is chunked.
+    for hot_rows in (100, 0, 10 ** 6):
+        g = {r["total_queries"]: r["prev_size"] for r in W.size_growth(df, hot_rows=hot_rows).collect()}
+        rc = {r["total_queries"]: (r["rolling_avg"], r["rolling_max"])
+              for r in W.rolling_connections(df, hot_rows=hot_rows).collect()}
+        assert g == {k: v[0] for k, v in want.items()}, hot_rows
+        assert rc == {k: (v[1], v[2]) for k, v in want.items()}, hot_rows
 
 
 def _py_trigrams(text):
