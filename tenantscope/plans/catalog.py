@@ -1041,8 +1041,12 @@ def q_word_counts_ci(spark, d):
     return TV.word_counts_ci(Fleet(spark, d).raw("documents"), "doc_id", "text")
 
 
+from tenantscope.functions.scalars import ACCENTED, LIGATURES, UNACCENTED  # noqa: E402
+
+_FOLDED_CHARS = ACCENTED + "".join(a for a, _ in LIGATURES)
+
+
 def _unaccent_sql(x: str) -> str:
-    from tenantscope.functions.scalars import ACCENTED, LIGATURES, UNACCENTED
     out = f"translate({x}, '{ACCENTED}', '{UNACCENTED}')"
     for a, b in LIGATURES:
         out = f"replace({out}, '{a}', '{b}')"
@@ -1051,15 +1055,14 @@ def _unaccent_sql(x: str) -> str:
 
 @query("unaccent_digest", f"""
 SELECT doc_id, sha256({_unaccent_sql('text')}) AS text_key,
-  length(text) - length(regexp_replace(text, '[{__import__('tenantscope.functions.scalars', fromlist=['x']).ACCENTED}ßÆæŒœ]', '', 'g')) AS accented_chars
+  length(text) - length(regexp_replace(text, '[{_FOLDED_CHARS}]', '', 'g')) AS accented_chars
 FROM documents
 """)
 def q_unaccent_digest(spark, d):
-    from tenantscope.functions.scalars import ACCENTED
     docs = Fleet(spark, d).raw("documents")
     return TV.unaccent(docs, "text", "u").select(
         "doc_id", F.sha2("u", 256).alias("text_key"),
-        (F.length("text") - F.length(F.regexp_replace("text", f"[{ACCENTED}ßÆæŒœ]", ""))).cast("bigint")
+        (F.length("text") - F.length(F.regexp_replace("text", f"[{_FOLDED_CHARS}]", ""))).cast("bigint")
         .alias("accented_chars"))
 
 
