@@ -148,7 +148,7 @@ def register(req: DataFrame, db: DataFrame, as_of: str,
     Returns ``accepted``, ``audit`` and ``rejected``.
 
     New ids are ``max(id) + request number``: unique and increasing without
-    a global window. The max is a one-row aggregate (broadcast is safe).
+    a global window. The max is a scalar subquery (run once, no join).
     """
     ok, bad = split_required(req, ["friendly_name", "owner_email"])
     named = tenant_names(apply_defaults(ok), ["owner_email", "friendly_name", order_col])
