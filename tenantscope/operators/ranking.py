@@ -15,13 +15,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK = 1 << 16
+# Rows above which one group is split into chunks (ours).
+HOT_ROWS = 1_000_000
+
+
+def split_hot(df: DataFrame, part_cols: list[str] | str,
+              hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary groups, rows of groups holding more than
+    ``hot_rows`` rows). The hot-key set has at most ``count / hot_rows``
+    entries, a proven bound, so it is broadcast to both semi/anti joins."""
+    cols = [part_cols] if isinstance(part_cols, str) else list(part_cols)
+    hot = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_cnt"))
+           .filter(F.col("_cnt") > F.lit(hot_rows)).select(*cols))
+    hot = F.broadcast(hot)
+    return df.join(hot, cols, "left_anti"), df.join(hot, cols, "left_semi")
 
 
 def row_number_within(df: DataFrame, part_cols: list[str], order_col: str,
                       out: str = "rn", chunk_width: int = DEFAULT_CHUNK,
-                      descending: bool = False) -> DataFrame:
+                      descending: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``out`` = 1-based position of the row inside ``part_cols`` ordered
-    by the integer column ``order_col`` (unique within a group)."""
+    by the integer column ``order_col`` (unique within a group). Ordinary
+    groups use a plain ``row_number``; groups above ``hot_rows`` rows are
+    numbered in chunks (see the module note)."""
+    cold, hot = split_hot(df, part_cols, hot_rows)
+    key = F.col(order_col).desc() if descending else F.col(order_col)
+    plain = cold.withColumn(out, F.row_number().over(
+        Window.partitionBy(*part_cols).orderBy(key)).cast("int"))
+    return plain.unionByName(_chunked_row_number(hot, part_cols, order_col, out,
+                                                 chunk_width, descending))
+
+
+def _chunked_row_number(df: DataFrame, part_cols: list[str], order_col: str, out: str,
+                        chunk_width: int, descending: bool) -> DataFrame:
     ck = "_chunk"
     key = F.col(order_col)
     chunk = F.floor(key / F.lit(chunk_width))

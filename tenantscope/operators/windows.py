@@ -15,21 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STATS_ORDER = ["recorded_at", "total_queries", "seq", "size_bytes"]
-# Rows above which one tenant's window is split into chunks (ours).
-HOT_ROWS = 1_000_000
-
-
-def split_hot(df: DataFrame, part: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of groups holding more than
-    ``hot_rows`` rows). The hot-key set has at most ``count / hot_rows``
-    entries, a proven bound, so it is broadcast to both semi/anti joins."""
-    hot = (df.groupBy(part).agg(F.count(F.lit(1)).alias("_cnt"))
-           .filter(F.col("_cnt") > F.lit(hot_rows)).select(part))
-    hot = F.broadcast(hot)
-    return df.join(hot, part, "left_anti"), df.join(hot, part, "left_semi")
-
+from tenantscope.operators.ranking import HOT_ROWS, split_hot
 
+STATS_ORDER = ["recorded_at", "total_queries", "seq", "size_bytes"]
 def _with_halo(df: DataFrame, part: str, chunk: Column, order_cols: list[str],
                k: int) -> DataFrame:
     """Rows with ``_chunk`` and ``_halo`` (False for own rows). Each chunk

@@ -28,11 +28,13 @@ def _skewed_stats(spark):
 
 def test_row_number_within_equals_plain(spark):
     df = _skewed_stats(spark)
-    got = ranking.row_number_within(df, ["database_id"], "total_queries", out="rn", chunk_width=16)
     want = df.withColumn("rn", F.row_number().over(
         Window.partitionBy("database_id").orderBy("total_queries")))
-    assert sorted(map(tuple, got.select("total_queries", "rn").collect())) == \
-        sorted(map(tuple, want.select("total_queries", "rn").collect()))
+    for hot_rows in (100, 0, 10 ** 6):  # tenant 1 hot / all chunked / none
+        got = ranking.row_number_within(df, ["database_id"], "total_queries", out="rn",
+                                        chunk_width=16, hot_rows=hot_rows)
+        assert sorted(map(tuple, got.select("total_queries", "rn").collect())) == \
+            sorted(map(tuple, want.select("total_queries", "rn").collect())), hot_rows
 
 
 def test_size_growth_and_rolling_equal_plain_windows(spark):
