@@ -19,6 +19,7 @@ HEADER_LINE = "# Rules for {db}"
 REJECT_CIDRS = ["0.0.0.0/0", "::/0"]
 # Server-wide rules that stand before the managed section (file order).
 LOCALHOST_CIDR = "127.0.0.1/32"
+LOCALHOST_V6 = "::1"
 PRIVATE_NETWORKS = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"]
 
 
@@ -178,29 +179,33 @@ def admit(conn: DataFrame, rules: DataFrame, mode: str = "intended",
     """
     ip = S.ipv4_to_long("client_ip")
     ip_ok = S.cidr_valid("client_ip")
-    c = conn.withColumn("_ip", F.when(ip_ok, ip))
+    c = (conn.withColumn("_ip", F.when(ip_ok, ip))
+         .withColumn("_v6", F.coalesce(F.instr(F.col("client_ip"), ":") > 0, F.lit(False))))
     tenants = (rules.filter(F.col("kind") == "reject")
                .groupBy(F.col("database_name").alias("_tn"))
                .agg(F.min("rule_no").cast("int").alias("_reject_no")))
     c = c.join(tenants, c["database_name"] == tenants["_tn"], "left").drop("_tn")
     has_rules = F.col("_reject_no").isNotNull()
+    # An IPv6 client meets the tenant's ``::/0`` reject, the rule after the
+    # IPv4 one.
+    reject_no = F.col("_reject_no") + F.when(F.col("_v6"), F.lit(1)).otherwise(F.lit(0))
 
     if mode == "file_order":
-        local = F.col("client_ip") == F.lit(LOCALHOST_CIDR.split("/")[0])
+        local = F.col("client_ip").isin(LOCALHOST_CIDR.split("/")[0], LOCALHOST_V6)
         private = F.lit(False)
         if private_networks:
             for net in PRIVATE_NETWORKS:
                 private = private | ((F.col("_ip") >= S.cidr_lo(F.lit(net)))
                                      & (F.col("_ip") <= S.cidr_hi(F.lit(net))))
         matched = (F.when(local, "localhost").when(private, "private_network")
-                   .when(F.col("is_ssl") & F.col("_ip").isNotNull(), "blanket_ssl")
+                   .when(F.col("is_ssl") & (F.col("_ip").isNotNull() | F.col("_v6")), "blanket_ssl")
                    .when(has_rules, "tenant_reject").otherwise("no_rule"))
         out = c.withColumn("matched", matched)
         return out.select(
             "conn_id", "database_name", "client_ip", "is_ssl",
             F.when(F.col("matched").isin("localhost", "private_network", "blanket_ssl"), "allow")
              .otherwise("reject").alias("decision"),
-            F.when(F.col("matched") == "tenant_reject", F.col("_reject_no")).alias("rule_no"),
+            F.when(F.col("matched") == "tenant_reject", reject_no).cast("int").alias("rule_no"),
             "matched")
 
     if mode != "intended":
@@ -229,7 +234,7 @@ def admit(conn: DataFrame, rules: DataFrame, mode: str = "intended",
          .when(F.col("matched") == "default_ssl", "allow_default")
          .otherwise("reject").alias("decision"),
         F.when(F.col("matched") == "tenant_allow", F.col("_allow_no"))
-         .when(F.col("matched") == "tenant_reject", F.col("_reject_no")).cast("int").alias("rule_no"),
+         .when(F.col("matched") == "tenant_reject", reject_no).cast("int").alias("rule_no"),
         "matched")
 
 

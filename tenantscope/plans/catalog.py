@@ -374,7 +374,8 @@ allow_hit AS (
 SELECT conn_id, database_name, client_ip, is_ssl,
   CASE matched WHEN 'tenant_allow' THEN 'allow' WHEN 'default_ssl' THEN 'allow_default'
        ELSE 'reject' END AS decision,
-  CAST(CASE matched WHEN 'tenant_allow' THEN allow_no WHEN 'tenant_reject' THEN reject_no END AS INT)
+  CAST(CASE matched WHEN 'tenant_allow' THEN allow_no
+       WHEN 'tenant_reject' THEN reject_no + CASE WHEN contains(client_ip, ':') THEN 1 ELSE 0 END END AS INT)
     AS rule_no,
   matched
 FROM m
@@ -389,14 +390,16 @@ def q_admit_intended(spark, d):
 WITH {_CONN},
 m AS (
   SELECT c.*, x.reject_no,
-    CASE WHEN c.client_ip = '127.0.0.1' THEN 'localhost'
-         WHEN c.is_ssl AND c.ip IS NOT NULL THEN 'blanket_ssl'
+    CASE WHEN c.client_ip IN ('127.0.0.1', '::1') THEN 'localhost'
+         WHEN c.is_ssl AND (c.ip IS NOT NULL OR contains(c.client_ip, ':')) THEN 'blanket_ssl'
          WHEN x.reject_no IS NOT NULL THEN 'tenant_reject' ELSE 'no_rule' END AS matched
   FROM conn c LEFT JOIN rejects x ON x.database_name = c.database_name
 )
 SELECT conn_id, database_name, client_ip, is_ssl,
   CASE WHEN matched IN ('localhost', 'blanket_ssl') THEN 'allow' ELSE 'reject' END AS decision,
-  CAST(CASE WHEN matched = 'tenant_reject' THEN reject_no END AS INT) AS rule_no, matched
+  CAST(CASE WHEN matched = 'tenant_reject'
+            THEN reject_no + CASE WHEN contains(client_ip, ':') THEN 1 ELSE 0 END END AS INT) AS rule_no,
+  matched
 FROM m
 """)
 def q_admit_file_order(spark, d):
@@ -409,16 +412,18 @@ def q_admit_file_order(spark, d):
 WITH {_CONN},
 m AS (
   SELECT c.*, x.reject_no,
-    CASE WHEN c.client_ip = '127.0.0.1' THEN 'localhost'
+    CASE WHEN c.client_ip IN ('127.0.0.1', '::1') THEN 'localhost'
          WHEN (c.ip BETWEEN 167772160 AND 184549375) OR (c.ip BETWEEN 2886729728 AND 2887778303)
               OR (c.ip BETWEEN 3232235520 AND 3232301055) THEN 'private_network'
-         WHEN c.is_ssl AND c.ip IS NOT NULL THEN 'blanket_ssl'
+         WHEN c.is_ssl AND (c.ip IS NOT NULL OR contains(c.client_ip, ':')) THEN 'blanket_ssl'
          WHEN x.reject_no IS NOT NULL THEN 'tenant_reject' ELSE 'no_rule' END AS matched
   FROM conn c LEFT JOIN rejects x ON x.database_name = c.database_name
 )
 SELECT conn_id, database_name, client_ip, is_ssl,
   CASE WHEN matched IN ('localhost', 'private_network', 'blanket_ssl') THEN 'allow' ELSE 'reject' END AS decision,
-  CAST(CASE WHEN matched = 'tenant_reject' THEN reject_no END AS INT) AS rule_no, matched
+  CAST(CASE WHEN matched = 'tenant_reject'
+            THEN reject_no + CASE WHEN contains(client_ip, ':') THEN 1 ELSE 0 END END AS INT) AS rule_no,
+  matched
 FROM m
 """)
 def q_admit_file_order_private(spark, d):

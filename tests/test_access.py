@@ -113,3 +113,22 @@ def test_remove_and_add_ips(spark):
     reasons = {r["request_no"]: r["reason"] for r in res["rejected"].collect()}
     assert reasons == {2: "duplicate_in_batch", 3: "already_listed", 4: "database_not_found", 5: "invalid_ip"}
     assert res["table"].count() == 3
+
+
+def test_ipv6_clients(spark):
+    rules = spark.createDataFrame(
+        [("tenant_a", "user_a", 1, "allow", "10.0.0.0/8", 8, 167772160, 184549375),
+         ("tenant_a", "user_a", 2, "reject", "0.0.0.0/0", None, None, None),
+         ("tenant_a", "user_a", 3, "reject", "::/0", None, None, None)],
+        "database_name string, username string, rule_no int, kind string, cidr string, "
+        "prefix_len int, lo long, hi long")
+    conns = spark.createDataFrame(
+        [(1, "tenant_a", "2001:db8::1", True), (2, "tenant_a", "2001:db8::1", False),
+         (3, "tenant_a", "::1", False), (4, "tenant_b", "2001:db8::1", True)],
+        "conn_id long, database_name string, client_ip string, is_ssl boolean")
+    fo = {r["conn_id"]: (r["decision"], r["rule_no"], r["matched"])
+          for r in access.admit(conns, rules, "file_order").collect()}
+    assert fo == {1: ("allow", None, "blanket_ssl"), 2: ("reject", 3, "tenant_reject"),
+                  3: ("allow", None, "localhost"), 4: ("allow", None, "blanket_ssl")}
+    it = {r["conn_id"]: (r["decision"], r["rule_no"]) for r in access.admit(conns, rules, "intended").collect()}
+    assert it == {1: ("reject", 3), 2: ("reject", 3), 3: ("reject", 3), 4: ("allow_default", None)}
