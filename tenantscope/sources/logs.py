@@ -17,7 +17,7 @@ SERVER_LOG_PATTERN = (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?) (\S+) \
 DURATION_PATTERN = r"duration: ([0-9]+(?:\.[0-9]+)?) ms"
 # API access log: ``<ISO-8601 time> <METHOD> <path>``.
 ACCESS_LOG_PATTERN = r"^(\S+) ([A-Z]+) (\S+)$"
-# Path segments that are ids (UUIDs, numbers, 8-hex keys) become ``:id``.
+# Path segments that are ids (UUIDs or numbers) become ``:id``.
 ID_SEGMENT = r"/([0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]+)(?=/|$)"
 # Cache INFO counters read by the monitor.
 CACHE_COUNTERS = ["keyspace_hits", "keyspace_misses", "total_commands_processed",
