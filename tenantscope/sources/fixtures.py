@@ -23,19 +23,20 @@ TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"],
                "conversations": ["conv_id", "turn"], "benchmark": ["item_id"]}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread_on: list[str] | None = None) -> DataFrame:
     """Read one driver table.
 
     A text table stored as a single file with a single row group scans as
     one task, so its per-row text work would use one core until the first
     shuffle. Such a scan is hash-spread on its unique key over the
     session's default parallelism (a hash exchange needs no local sort,
-    unlike round-robin). Filters and column pruning still reach the scan;
+    unlike round-robin); ``spread_on`` asks for the same for another table.
+    Filters and column pruning still reach the scan;
     both are pushed through a repartition. Inputs with enough splits (many
     files or row groups, as on a cluster) and the narrow relational tables
     are read as they are."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    keys = TEXT_TABLES.get(name)
+    keys = spread_on or TEXT_TABLES.get(name)
     if keys:
         try:
             want = spark.sparkContext.defaultParallelism
@@ -173,7 +174,8 @@ def conn_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def server_log(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    # Log lines are text: spread like the text tables before parsing.
+    e = table(spark, d, "events", spread_on=["event_id"])
     line = F.concat(
         F.substring(e.ts.cast("string"), 1, 19), F.lit(" UTC ["), e.event_id.cast("string"),
         F.lit("]: [1-1] user=user_"), _pad8(e.user_id),
