@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,8 +53,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local runs and tests) a scratch directory is created and registered.
+    ``spark.checkpoint.dir`` is read from the session. Only in a local session
+    (runs on one machine and tests) that leaves it unset, a scratch directory
+    is created and registered; on a cluster an unset folder is an error,
+    because a machine's own folder is lost to the other executors.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -61,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return d
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     d = tempfile.mkdtemp(prefix="tenantscope-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
@@ -72,8 +77,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     (sinks, stream checkpoints) so that it survives executor loss."""
     base = ensure_checkpoint_dir(spark)
     if "://" in base and not base.startswith("file:"):
-        import uuid
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     base = base.replace("file:", "")
     os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path (not yet made) under the shared checkpoint folder, with the
+    folder's scheme, for files and tables that one job writes and another reads."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
