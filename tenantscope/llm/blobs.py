@@ -85,3 +85,11 @@ def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     raw = a.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     return off - off[0], data[off[0]:off[-1]]
+
+
+def filesystem(path: str):
+    """The store of a path or URI, as executors open it, and the name in it."""
+    from pyarrow import fs
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path

@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import (ann, decontam, html_text, language_id, packing, secret_scan,
+               suffix_dedup, token_output, url_filters)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _over(name: str, fn):
-    return lambda spark, sf_dir: fn(table(spark, sf_dir, name))
+def _over(fn, *names: str):
+    """A query over whole tables."""
+    return lambda spark, sf_dir: fn(*(table(spark, sf_dir, n) for n in names))
 
 
 QUERIES = {
-    "op1_suffix_array_dedup": (_over("documents", suffix_dedup.op1_suffix_array_dedup), None),
+    "op1_suffix_array_dedup": (_over(suffix_dedup.op1_suffix_array_dedup, "documents"), None),
+    "op3_token_output": (_over(token_output.op3_token_output, "documents"), None),
+    "op4_url_filters": (_over(url_filters.op4_url_filters, "pages"), url_filters.ORACLE),
+    "op5_nearest_neighbours": (_over(ann.op5_nearest_neighbours, "embeddings"), None),
+    "op6_secret_scan": (_over(secret_scan.op6_secret_scan, "documents"), None),
+    "op7_best_fit_packing": (_over(packing.op7_best_fit_packing, "documents"), None),
+    "op8_html_extraction": (_over(html_text.op8_html_extraction, "pages"), None),
+    "op9_language_id": (_over(language_id.op9_language_id, "documents"), None),
+    "op10_decontamination": (_over(decontam.op10_decontamination, "documents", "benchmark"), None),
 }
