@@ -8,12 +8,13 @@ Rows of a bucket meet in one group; the number of buckets follows the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKED = "bucket long, part long, body binary"
 #: Bytes of text that one part of a partitioned corpus holds on average.
@@ -59,6 +60,35 @@ def split_by_bucket(bucket: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(b[cuts].tolist(), np.split(order, cuts[1:]), strict=True))
 
 
+#: What goes back to a part about its records: record number, answer.
+REPLY = ("<u4", "<u4")
+
+
+def statuses(replies: pa.Table | None, bucket: np.ndarray, n: int) -> np.ndarray:
+    """The answer to each of a part's ``n`` records (0: none came), given the
+    bucket that each was sent to."""
+    out = np.zeros(n, np.uint32)
+    if replies is None or not replies.num_rows:
+        return out
+    at = split_by_bucket(bucket)
+    row, (number, answer) = unpack(replies, REPLY)
+    cuts = np.searchsorted(row, np.arange(replies.num_rows + 1))
+    for k, b in enumerate(replies.column("bucket").to_pylist()):
+        out[at[b][number[cuts[k]:cuts[k + 1]]]] = answer[cuts[k]:cuts[k + 1]]
+    return out
+
+
+def replies_to(table: pa.Table, row: np.ndarray, answer: np.ndarray) -> pa.Table:
+    """Send each record with an answer back to the part it came from. ``row``:
+    the row of ``table`` that each record came in, ascending."""
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    hit = np.flatnonzero(answer)
+    out = pack(row[hit], 0, (number[hit].astype("<u4"), answer[hit].astype("<u4")))
+    rows = out.column("bucket").to_numpy()
+    return pa.table({"bucket": pa.array(table.column("bucket").to_numpy()[rows]),
+                     "part": pa.array(table.column("part").to_numpy()[rows]), "body": out.column("body")})
+
+
 def n_parts(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> int:
     """How many parts of about ``part_bytes`` the texts fill (one aggregate row)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
@@ -93,3 +123,24 @@ def filesystem(path: str):
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
+
+
+def with_text_columns(docs: DataFrame, text: str, schema: str, make: Callable[[np.ndarray, np.ndarray], list[pa.Array]],
+                      slices: Callable[[np.ndarray], Iterable[tuple[int, int]]], keep_text: bool = True) -> DataFrame:
+    """``docs`` and the columns of ``schema``, which replace columns of their
+    names. ``make`` gets the byte offsets and UTF-8 bytes of a slice of rows
+    (null: empty) and returns the new columns; ``slices`` cuts a batch."""
+    new = T.StructType.fromDDL(schema).fields
+    src = docs.drop(*(f.name for f in new if f.name != text))
+    kept = [f for f in src.schema if keep_text or f.name != text]
+    names = [f.name for f in kept + new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, data = text_buffer(b.column(b.schema.get_field_index(text)))
+            rest = b.select([f.name for f in kept])
+            for lo, hi in slices(offsets):
+                made = make(offsets[lo:hi + 1] - offsets[lo], data[offsets[lo]:offsets[hi]])
+                yield pa.RecordBatch.from_arrays([*rest.slice(lo, hi - lo).columns, *made], names=names)
+
+    return src.mapInArrow(run, T.StructType(kept + new))

@@ -17,7 +17,6 @@ in blocks of that size, and every index is asked one block after the other.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tenantscope.session import shared_path
 
-from .blobs import filesystem, text_buffer
+from .blobs import filesystem, text_buffer, with_text_columns
 from .words import ALNUM, doc_slices, word_table
 
 WINDOW = 10
@@ -39,7 +38,7 @@ NEAR_TERMS = 4
 MAX_BENCHMARK_BYTES = 8 << 20
 #: Document text that one index covers.
 INDEX_BYTES = 8 << 20
-_OUT = "doc_id long, n_words long, hits array<struct<start: long, end: long>>, items array<string>, near_items array<string>"
+_OUT = "n_words long, hits array<struct<start: long, end: long>>, items array<string>, near_items array<string>"
 
 
 class Phrases(NamedTuple):
@@ -120,7 +119,7 @@ def _search(blocks: list, slop: int, near_terms: int):
     """A function from a batch of documents to its rows. ``blocks``: Phrases, or
     the paths of files that hold them, read one at a time."""
 
-    def hits(ids: pa.Array, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    def hits(offsets: np.ndarray, data: np.ndarray) -> list[pa.Array]:
         parts = [word_table(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], ALNUM)
                  for a, b in doc_slices(offsets)]
         n = len(offsets) - 1
@@ -155,7 +154,7 @@ def _search(blocks: list, slop: int, near_terms: int):
                     for d in np.unique(doc_at[start]).tolist():
                         items[d].update(q.items[k])
             hit |= (np.cumsum(cover[:-1]) > 0)[ix.place_of_word]
-        return _rows(ids, n_words, doc, hit, items, near_items)
+        return _columns(n_words, doc, hit, items, near_items)
 
     return hits
 
@@ -195,7 +194,7 @@ def _blocks(benchmark: DataFrame, window: int, max_bytes: int) -> list:
     return made
 
 
-def _rows(ids, n_words, doc, hit, items, near_items) -> pa.RecordBatch:
+def _columns(n_words, doc, hit, items, near_items) -> list[pa.Array]:
     n = len(n_words)
     base = np.cumsum(n_words) - n_words
     first = np.zeros(len(hit), bool)
@@ -209,40 +208,31 @@ def _rows(ids, n_words, doc, hit, items, near_items) -> pa.RecordBatch:
         pa.array(np.searchsorted(d, np.arange(n + 1)).astype(np.int32)),
         pa.StructArray.from_arrays([pa.array(start - base[d]), pa.array(end - base[d])], ["start", "end"]))
     text = pa.list_(pa.string())
-    return pa.record_batch([ids, pa.array(n_words.astype(np.int64)), spans,
-                            pa.array([sorted(x) for x in items], text), pa.array([sorted(x) for x in near_items], text)],
-                           names=["doc_id", "n_words", "hits", "items", "near_items"])
+    return [pa.array(n_words.astype(np.int64)), spans,
+            pa.array([sorted(x) for x in items], text), pa.array([sorted(x) for x in near_items], text)]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, slop: int = SLOP,
-                   near_terms: int = NEAR_TERMS, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *, slop: int = SLOP, text: str = "text",
+                   keep_text: bool = True, near_terms: int = NEAR_TERMS, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """Find every window of the benchmark's items in the documents.
 
     Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and
-    non-ASCII characters. Returns ``doc_id, n_words, hits
+    non-ASCII characters. Adds ``n_words, hits
     array<struct<start, end>>`` (maximal runs of words inside an occurrence of a
     window), ``items array<string>`` (items with occurring windows, sorted) and
     ``near_items`` (items with a proximity match: the ``near_terms`` rarest terms
     of a window, each within ``slop`` words of its place; ``near_terms=0``
-    leaves it empty). One row per input row. Null and empty texts have no words
+    leaves it empty), which replace columns of these names. One row per input
+    row. Null and empty texts have no words
     and no hits; a null item_id is the item ``null``; repeated items are
-    searched once; an empty benchmark hits nothing; other columns are ignored.
+    searched once; an empty benchmark hits nothing.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     search = _search(_blocks(benchmark, window, max_bytes), slop, near_terms)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            offsets, data = text_buffer(b.column(1))
-            for lo, hi in doc_slices(offsets, INDEX_BYTES):
-                yield search(b.column(0).slice(lo, hi - lo), offsets[lo:hi + 1] - offsets[lo],
-                             data[offsets[lo]:offsets[hi]])
-
-    return src.mapInArrow(run, _OUT)
+    return with_text_columns(docs, text, _OUT, search, lambda offsets: doc_slices(offsets, INDEX_BYTES), keep_text)
 
 
 def op10_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    h = benchmark_hits(docs, benchmark)
+    h = benchmark_hits(docs.select("doc_id", "text"), benchmark, keep_text=False)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return h.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),

@@ -18,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blobs import text_buffer
+from .blobs import text_buffer, with_text_columns
 from .rolling import mix
 from .words import doc_slices
 
 #: N-grams in a profile and in a document's list.
 SIZE = 400
 UNKNOWN = "und"
+#: Beyond this distance a text is unlike every learned language.
+REJECT_DISTANCE = 0.9
 _BITS = np.uint64(40)
 #: Documents and n-grams of one slice that fit beside a count in 64 bits.
 _MAX_DOCS, _COUNT_BITS, _PLACE_BITS = 1 << 12, 24, 27
@@ -161,7 +163,8 @@ def profiles(docs: DataFrame, size: int = SIZE) -> dict[str, list[int]]:
     return out
 
 
-def predict(docs: DataFrame, learned: dict[str, list[int]], size: int = SIZE, *, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, learned: dict[str, list[int]], size: int = SIZE, *, text: str = "text",
+            keep_text: bool = True) -> DataFrame:
     """Adds ``lang_pred string, score double, distance double`` to ``docs``
     (replacing columns of these names). ``distance`` is the out-of-place
     distance to the nearest profile as a share of the largest possible;
@@ -202,33 +205,23 @@ def predict(docs: DataFrame, learned: dict[str, list[int]], size: int = SIZE, *,
             out[i] = np.bincount(doc, d, n) / np.maximum(used * size, 1)
         return out, n_letters
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            offsets, data = text_buffer(b.column(b.schema.names.index("__text")))
-            keep = pa.RecordBatch.from_arrays([c for c, f in zip(b.columns, b.schema, strict=True) if f.name != "__text"],
-                                              schema=pa.schema([f for f in b.schema if f.name != "__text"]))
-            for lo, hi in _slices(offsets):
-                lang = np.zeros(hi - lo, np.int64)
-                score, near = np.zeros(hi - lo), np.ones(hi - lo)
-                ok = np.zeros(hi - lo, bool)
-                if names:
-                    d, letters = distances(offsets[lo:hi + 1] - offsets[lo], data[offsets[lo]:offsets[hi]])
-                    lang, near = d.argmin(0), d.min(0)
-                    nxt = np.partition(d, 1, axis=0)[1] if len(names) > 1 else np.ones(hi - lo)
-                    ok = letters > 0
-                    score = np.where(nxt > 0, 1 - near / np.where(nxt > 0, nxt, 1), 0.0)
-                pred = [names[i] if o else UNKNOWN for i, o in zip(lang.tolist(), ok.tolist(), strict=True)]
-                rows = keep.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(pred, pa.string()), pa.array(np.where(ok, np.clip(score, 0, 1), 0.0)),
-                     pa.array(np.where(ok, near, 1.0))], names=[*rows.schema.names, "lang_pred", "score", "distance"])
-
-    src = docs.drop("lang_pred", "score", "distance").withColumn("__text", F.col(text))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"]
-    return src.mapInArrow(run, ", ".join([*schema, "lang_pred string, score double, distance double"]))
-
-
-def held_out() -> "F.Column":
+    def make(offsets: np.ndarray, data: np.ndarray) -> list[pa.Array]:
+        n = len(offsets) - 1
+        lang, ok = np.zeros(n, np.int64), np.zeros(n, bool)
+        score, near = np.zeros(n), np.ones(n)
+        if names:
+            d, letters = distances(offsets, data)
+            lang, near = d.argmin(0), d.min(0)
+            nxt = np.partition(d, 1, axis=0)[1] if len(names) > 1 else np.ones(n)
+            ok = letters > 0
+            score = np.where(nxt > 0, 1 - near / np.where(nxt > 0, nxt, 1), 0.0)
+        return [pa.array([names[i] if o else UNKNOWN for i, o in zip(lang.tolist(), ok.tolist(), strict=True)], pa.string()),
+                pa.array(np.where(ok, np.clip(score, 0, 1), 0.0)), pa.array(np.where(ok, near, 1.0))]
+
+    return with_text_columns(docs, text, "lang_pred string, score double, distance double", make, _slices, keep_text)
+
+
+def held_out() -> Column:
     """Documents kept from learning: crc32 of the id's text leaves 1 modulo 3.
     A null id is not held out, and not learned from either."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -239,5 +232,5 @@ def op9_language_id(docs: DataFrame) -> DataFrame:
     learned from the documents that are not held out."""
     learned = profiles(docs.where(~held_out()))
     rows = docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
-    return predict(rows.withColumnRenamed("text", "__t"), learned, text="__t") \
+    return predict(rows, learned, keep_text=False) \
         .select("doc_id", "held_out", "lang_pred", "score", "distance")

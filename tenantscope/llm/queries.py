@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (ann, decontam, html_text, language_id, packing, secret_scan,
+import corpus_pipeline
+
+from . import (ann, decontam, html_text, language_id, ngram_jaccard, packing, secret_scan,
                suffix_dedup, token_output, url_filters)
 
 
@@ -19,6 +21,7 @@ def _over(fn, *names: str):
 
 QUERIES = {
     "op1_suffix_array_dedup": (_over(suffix_dedup.op1_suffix_array_dedup, "documents"), None),
+    "op2_ngram_jaccard_join": (_over(ngram_jaccard.op2_ngram_jaccard_join, "documents"), None),
     "op3_token_output": (_over(token_output.op3_token_output, "documents"), None),
     "op4_url_filters": (_over(url_filters.op4_url_filters, "pages"), url_filters.ORACLE),
     "op5_nearest_neighbours": (_over(ann.op5_nearest_neighbours, "embeddings"), None),
@@ -27,4 +30,5 @@ QUERIES = {
     "op8_html_extraction": (_over(html_text.op8_html_extraction, "pages"), None),
     "op9_language_id": (_over(language_id.op9_language_id, "documents"), None),
     "op10_decontamination": (_over(decontam.op10_decontamination, "documents", "benchmark"), None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

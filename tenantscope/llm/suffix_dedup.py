@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import PACKED, n_parts, pack, part_of, split_by_bucket, text_buffer, unpack
+from .blobs import PACKED, n_parts, pack, part_of, replies_to, statuses, text_buffer, unpack
 from .rolling import ranges
 from .suffix_core import phrases, string_hashes
 
@@ -39,7 +39,6 @@ from .suffix_core import phrases, string_hashes
 GRAM = 50
 _PHRASE = ("<u8", "<u8", "<i8")  # trigger, mark (0: several in this part), doc
 _STRING = ("<u8", "<u4", "<i8")  # string, trigger (low half), doc
-_REPLY = ("<u4", "u1")           # record number, status
 REPEAT, COMPARE = 1, 2
 
 
@@ -78,7 +77,7 @@ class _Part:
 
     def settle(self, replies: pa.Table | None, buckets: int) -> None:
         """Apply the replies about this part's triggers."""
-        status = _status(replies, self.triggers % np.uint64(buckets), len(self.triggers))
+        status = statuses(replies, self.triggers % np.uint64(buckets), len(self.triggers))
         self.sent = status == COMPARE
         self.repeat |= status[self.trigger_of] == REPEAT
         self.open = np.flatnonzero((self.several | self.sent)[self.trigger_of] & ~self.repeat)
@@ -97,7 +96,7 @@ class _Part:
 
     def spans(self, replies: pa.Table | None, buckets: int) -> np.ndarray:
         """Which bytes of the part are covered by a repeated string."""
-        status = _status(replies, self.string[self.ask] % np.uint64(buckets), len(self.ask))
+        status = statuses(replies, self.string[self.ask] % np.uint64(buckets), len(self.ask))
         self.string_repeat[self.ask[status == REPEAT]] = True
         rep = np.flatnonzero(self.repeat)
         step = np.zeros(len(self.data) + 1, np.int32)
@@ -109,29 +108,6 @@ class _Part:
         return np.cumsum(step[:-1]) > 0
 
 
-def _status(replies: pa.Table | None, bucket: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.uint8)
-    if replies is None or not replies.num_rows:
-        return out
-    at = split_by_bucket(bucket)
-    row, (number, status) = unpack(replies, _REPLY)
-    cuts = np.searchsorted(row, np.arange(replies.num_rows + 1))
-    for k, b in enumerate(replies.column("bucket").to_pylist()):
-        out[at[b][number[cuts[k]:cuts[k + 1]]]] = status[cuts[k]:cuts[k + 1]]
-    return out
-
-
-def _replies(table: pa.Table, row: np.ndarray, status: np.ndarray) -> pa.Table:
-    """Send each record with a status back to the part it came from."""
-    number = np.arange(len(row)) - np.searchsorted(row, row)
-    hit = np.flatnonzero(status)
-    parts = table.column("part").to_numpy()
-    out = pack(row[hit], 0, (number[hit].astype("<u4"), status[hit]))
-    rows = out.column("bucket").to_numpy()
-    return pa.table({"bucket": pa.array(table.column("bucket").to_numpy()[rows]),
-                     "part": pa.array(parts[rows]), "body": out.column("body")})
-
-
 def _resolve_phrases(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     row, (trig, mark, doc) = unpack(table, _PHRASE)
@@ -147,7 +123,7 @@ def _resolve_phrases(table: pa.Table) -> pa.Table:
     status = np.zeros(len(t), np.uint8)
     status[order] = np.where(np.repeat(size == 1, size), 0,
                              np.where(np.repeat(one, size), np.where(new, 0, REPEAT), COMPARE))
-    return _replies(table, row, status)
+    return replies_to(table, row, status)
 
 
 def _resolve_strings(table: pa.Table) -> pa.Table:
@@ -159,7 +135,7 @@ def _resolve_strings(table: pa.Table) -> pa.Table:
     new = np.append(True, (s[1:] != s[:-1]) | (t[1:] != t[:-1]))[:len(s)]
     status = np.zeros(len(s), np.uint8)
     status[order[~new]] = REPEAT
-    return _replies(table, row, status)
+    return replies_to(table, row, status)
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM, *,
