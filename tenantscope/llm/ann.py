@@ -153,11 +153,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, *, confidence: f
     n_queries = q.count()
     blocks, q_blocks = (max(1, -(-n // per)) for n, per in ((size["n"], block_vectors), (n_queries, block_queries)))
     top_norm = float(size["m"] or 0) * (1 + 1e-12)
-    cells = v.select("vec_id", "x", F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"),
-                     F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"))
+    # Both sides of a cell need keys of one type (long) to meet.
+    long = lambda n: F.lit(n).cast("long")
+    every = lambda n: F.explode(F.sequence(long(0), long(n - 1)))
+    cells = v.select("vec_id", "x", F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id"), long(blocks)).alias("block"),
+                     every(q_blocks).alias("q_block"))
     key = F.xxhash64("vec_id", "x")
-    asks = q.select("vec_id", "x", key.alias("key"), F.size("x").alias("dim"), F.pmod(key, F.lit(q_blocks)).alias("q_block"),
-                    F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asks = q.select("vec_id", "x", key.alias("key"), F.size("x").alias("dim"), F.pmod(key, long(q_blocks)).alias("q_block"),
+                    every(blocks).alias("block"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

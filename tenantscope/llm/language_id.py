@@ -116,7 +116,7 @@ def _counts(group: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _slices(offsets: np.ndarray):
-    for lo, hi in doc_slices(offsets):
+    for lo, hi in doc_slices(offsets, _PIECE):
         for a in range(lo, hi, _MAX_DOCS):
             yield a, min(hi, a + _MAX_DOCS)
 

@@ -66,7 +66,7 @@ def test_matches_brute_force(spark):
     assert sorted((tuple(r) for r in op4_url_filters(pages).collect()), key=repr) == want
     verdict = {r[0]: r[4] for r in want}
     assert verdict[6] == "block" and verdict[8] == "allow" and verdict[5] == "block"
-    assert host_links(pages).count() == 8
+    assert host_links(pages).count() == 7
 
 
 def test_sql_and_sf(spark, sf_dir):
