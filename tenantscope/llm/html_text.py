@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math".split())
+FORMAT = frozenset("a b big code em font i nobr s small span strike strong tt u".split())
 #: Blocks set apart by a blank line, and other blocks.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog div dt fieldset figcaption footer form "
@@ -113,7 +114,10 @@ class TreeBuilder:
         for i in range(len(self.stack) - 1, 0, -1):
             t = self.stack[i].tag
             if t == tag:
-                del self.stack[i:]
+                if tag in FORMAT and any(n.tag in BLOCK for n in self.stack[i + 1:]):
+                    del self.stack[i]  # the blocks opened inside it go on
+                else:
+                    del self.stack[i:]
                 return
             if t in _WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                 return
