@@ -10,26 +10,74 @@ encoded text by text. Both give the ids of ``Tokenizer.encode``.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import re
+from array import array
 
 import numpy as np
-import regex
 
 #: Pre-tokeniser pattern of vocabularies whose tokens end at white space
 #: (fixed value of the vocabulary file).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of these characters are normalised by lower-casing alone.
-_PLAIN = regex.compile("[!-;=-~¡-į]+")
-_PIECES = regex.compile(WORD_PATTERN)
+#: Words of these characters have no white space or special token in them, and
+#: lower-casing alone normalises them (letters up to U+012F).
+_PLAIN = re.compile("[!-;=-~\u00a1-\u012f]+")
+#: ``WORD_PATTERN`` for lower-cased words of these characters.
+_LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 #: Words and word pieces kept per worker; beyond it a cache starts anew.
 CACHE_WORDS = 400_000
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary:
+    printable Latin-1 bytes stand for themselves, the others for U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Pieces(dict):
+    """Ids of word pieces (lower-cased), by the vocabulary's merges."""
+
+    def __init__(self, model, dtype: np.dtype):
+        self.model, self.letters = model, _byte_letters()
+        self.code = "H" if dtype.itemsize == 2 else "I"
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        ids = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        self[piece] = ids
+        return ids
+
+
+class _Words(dict):
+    """Ids of words."""
+
+    def __init__(self, tok, dtype: np.dtype):
+        self.tok, self.dtype, self.pieces = tok, dtype, _Pieces(tok.model, dtype)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if _PLAIN.fullmatch(word):
+            low = word.lower()
+            if low.isascii() and low.isalpha():
+                ids = self.pieces[low]
+            else:
+                ids = b"".join([self.pieces[p] for p in _PIECES.findall(low)])
+        else:
+            ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian bytes of ``dtype``."""
 
@@ -40,62 +88,14 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_word = _words_apart(spec)
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-        self.last = np.zeros(1, bool)
-        if self.by_word:
-            self.last = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
-            for t, i in self.tok.get_vocab().items():
-                self.last[i] = t.endswith("</w>")
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _learn_pieces(self, new: list[str]) -> None:
-        ids = self._ids(" ".join(new))
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(new) or (len(ends) and ends[-1] != len(ids)):
-            for p in new:
-                self.pieces[p] = self._ids(p).tobytes()
-            return
-        raw, w, at = ids.tobytes(), self.dtype.itemsize, 0
-        for p, e in zip(new, (ends * w).tolist(), strict=True):
-            self.pieces[p] = raw[at:e]
-            at = e
-
-    def _learn(self, new: Iterable[str]) -> None:
-        split, rest = {}, []
-        for w in new:
-            if _PLAIN.fullmatch(w):
-                split[w] = _PIECES.findall(w.lower())
-            else:
-                rest.append(w)
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        missing = list({p for ps in split.values() for p in ps} - self.pieces.keys())
-        for i in range(0, len(missing), 4096):
-            self._learn_pieces(missing[i:i + 4096])
-        get = self.pieces.__getitem__
-        for w, ps in split.items():
-            self.words[w] = b"".join(map(get, ps))
-        for w in rest:
-            self.words[w] = self._ids(w).tobytes()
+        self.words = _Words(self.tok, self.dtype)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         if not self.by_word:
-            return [self._ids(t or "").tobytes() for t in texts]
-        out = []
-        for group in _groups(texts):
-            lists = [t.replace("\n", " ").split(" ") if t else [] for t in group]
-            if len(self.words) > CACHE_WORDS:
-                self.words = {"": b""}
-            new = set().union(*lists) - self.words.keys()
-            if new:
-                self._learn(new)
-            get = self.words.__getitem__
-            out.extend(b"".join(map(get, ws)) for ws in lists)
-        return out
+            return [np.array(self.tok.encode(t or "", add_special_tokens=False).ids, self.dtype).tobytes() for t in texts]
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 def _words_apart(spec: dict) -> bool:
@@ -111,18 +111,6 @@ def _words_apart(spec: dict) -> bool:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])))
 
 
-def _groups(texts: list[str | None], limit: int = 2 << 20):
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t) if t else 0
-        if size >= limit:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 _encoders: dict[str, Encoder] = {}
 
 
