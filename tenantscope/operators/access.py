@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenantscope.functions import scalars as S
-from tenantscope.operators.ranking import group_sizes, row_number_within
+from tenantscope.operators.ranking import row_number_within
 
 # ---------------------------------------------------------------------------
 # The access-file line layout written per tenant (field
@@ -60,9 +60,11 @@ def get_ips(wl: DataFrame, keys: DataFrame) -> DataFrame:
     return wl.join(k, cond, "left_semi")
 
 
-def remove_ips(wl: DataFrame, keys: DataFrame) -> dict[str, DataFrame]:
+def remove_ips(wl: DataFrame, keys: DataFrame, as_of: str | None = None) -> dict[str, DataFrame]:
     """Delete entries by (id, database_id). Returns the remaining table,
-    the removed rows and the keys that matched nothing."""
+    the removed rows, their ``ip_whitelist_removed`` audit rows (R51) and the
+    keys that matched nothing."""
+    from tenantscope.operators.audit import audit_rows
     k = keys.select(F.col("id").alias("_id"), F.col("database_id").alias("_db")).distinct()
     cond = (wl["id"] == k["_id"]) & (wl["database_id"] == k["_db"])
     kept = wl.join(k, cond, "left_anti")
@@ -70,7 +72,8 @@ def remove_ips(wl: DataFrame, keys: DataFrame) -> dict[str, DataFrame]:
     w2 = wl.select(F.col("id").alias("_wid"), F.col("database_id").alias("_wdb"))
     missing = (k.join(w2, (k["_id"] == w2["_wid"]) & (k["_db"] == w2["_wdb"]), "left_anti")
                .select(F.col("_id").alias("id"), F.col("_db").alias("database_id")))
-    return {"kept": kept, "removed": removed, "missing": missing}
+    audit = audit_rows(removed, "ip_whitelist_removed", "database_id", {"ip_address": "ip_address"}, as_of)
+    return {"kept": kept, "removed": removed, "audit": audit, "missing": missing}
 
 
 def require_parent(child: DataFrame, fk: str, parent: DataFrame,
@@ -101,38 +104,33 @@ def generate_rules(db: DataFrame, wl: DataFrame) -> DataFrame:
                    S.cidr_prefix("ip_address").alias("prefix_len"),
                    S.cidr_lo("ip_address").alias("lo"), S.cidr_hi("ip_address").alias("hi")))
     allowed = ips.join(tenants, ips["_wdb"] == tenants["_tid"], "inner").drop("_wdb", "_tid")
-    allowed = row_number_within(allowed, ["database_name"], "wl_id", out="rule_no")
-    allow_rows = allowed.select(
-        "database_name", "username", "rule_no", F.lit("allow").alias("kind"), "cidr",
-        F.lit("scram-sha-256").alias("method"), "prefix_len", "lo", "hi",
-        _line(ALLOW_LINE).alias("line"))
-    counts = group_sizes(allowed, ["database_name", "username"], "n_allow")
-    rejects = counts.select(
-        "database_name", "username",
-        F.explode(F.array(
-            F.struct(F.lit(1).alias("i"), F.lit(REJECT_CIDRS[0]).alias("cidr")),
-            F.struct(F.lit(2).alias("i"), F.lit(REJECT_CIDRS[1]).alias("cidr")))).alias("r"),
-        "n_allow")
-    reject_rows = rejects.select(
-        "database_name", "username", (F.col("n_allow") + F.col("r.i")).cast("int").alias("rule_no"),
-        F.lit("reject").alias("kind"), F.col("r.cidr").alias("cidr"),
-        F.lit("reject").alias("method"), F.lit(None).cast("int").alias("prefix_len"),
-        F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"),
-        F.when(F.col("r.i") == 1,
-               _line(REJECT_V4_LINE.replace("{cidr}", ""))).otherwise(
-               _line(REJECT_V6_LINE.replace("{cidr}", ""))).alias("line"))
-    return allow_rows.unionByName(reject_rows)
+    allowed = row_number_within(allowed, ["database_name", "username"], "wl_id",
+                                out="rule_no", total="n_allow")
+    # A tenant's last allow row also gives its two rejects, so the rejects
+    # cost no second pass over the whitelist.
+    no_len, no_bound = F.lit(None).cast("int").alias("prefix_len"), F.lit(None).cast("bigint")
+
+    def reject(i: int, cidr: str, template: str):
+        return F.struct((F.col("n_allow") + i).cast("int").alias("rule_no"), F.lit("reject").alias("kind"),
+                        F.lit(cidr).alias("cidr"), F.lit("reject").alias("method"), no_len,
+                        no_bound.alias("lo"), no_bound.alias("hi"), _line(template).alias("line"))
+
+    allow = F.struct("rule_no", F.lit("allow").alias("kind"), "cidr", F.lit("scram-sha-256").alias("method"),
+                     "prefix_len", "lo", "hi", _line(ALLOW_LINE).alias("line"))
+    rows = F.when(F.col("rule_no") == F.col("n_allow"),
+                  F.array(allow, reject(1, REJECT_CIDRS[0], REJECT_V4_LINE),
+                          reject(2, REJECT_CIDRS[1], REJECT_V6_LINE))).otherwise(F.array(allow))
+    return allowed.select("database_name", "username", F.inline(rows))
 
 
 def rules_text(rules: DataFrame) -> DataFrame:
     """Rules plus the per-tenant header lines, keyed for ordered output:
     (database_name, rule_no) with -1 = blank line, 0 = comment."""
-    heads = rules.select("database_name").distinct()
-    header = heads.select("database_name", F.explode(F.array(
-        F.struct(F.lit(-1).alias("rule_no"), F.lit("").alias("line")),
-        F.struct(F.lit(0).alias("rule_no"), _line(HEADER_LINE).alias("line"))
-    )).alias("h")).select("database_name", "h.rule_no", "h.line")
-    return rules.select("database_name", "rule_no", "line").unionByName(header)
+    head = F.struct(F.lit(-1).alias("rule_no"), F.lit("").alias("line"))
+    title = F.struct(F.lit(0).alias("rule_no"), _line(HEADER_LINE).alias("line"))
+    own = F.struct("rule_no", "line")
+    lines = F.when(F.col("rule_no") == 1, F.array(head, title, own)).otherwise(F.array(own))
+    return rules.select("database_name", F.inline(lines))
 
 
 def rule_drift(current: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -179,11 +177,14 @@ def admit(conn: DataFrame, rules: DataFrame, mode: str = "intended",
     """
     ip = S.ipv4_to_long("client_ip")
     ip_ok = S.cidr_valid("client_ip")
-    c = (conn.withColumn("_ip", F.when(ip_ok, ip))
+    c = (conn.withColumn("_row", F.monotonically_increasing_id()).withColumn("_ip", F.when(ip_ok, ip))
          .withColumn("_v6", F.coalesce(F.instr(F.col("client_ip"), ":") > 0, F.lit(False))))
-    tenants = (rules.filter(F.col("kind") == "reject")
-               .groupBy(F.col("database_name").alias("_tn"))
-               .agg(F.min("rule_no").cast("int").alias("_reject_no")))
+    # One row per tenant: its IPv4 reject and, as an array of at most 33, the
+    # prefix lengths it uses. The rules are read once for it.
+    tenants = (rules.groupBy(F.col("database_name").alias("_tn"))
+               .agg(F.min(F.when(F.col("kind") == "reject", F.col("rule_no"))).cast("int").alias("_reject_no"),
+                    F.collect_set(F.when(F.col("kind") == "allow", F.col("prefix_len"))).alias("_lens"))
+               .filter(F.col("_reject_no").isNotNull()))
     c = c.join(tenants, c["database_name"] == tenants["_tn"], "left").drop("_tn")
     has_rules = F.col("_reject_no").isNotNull()
     # An IPv6 client meets the tenant's ``::/0`` reject, the rule after the
@@ -210,20 +211,22 @@ def admit(conn: DataFrame, rules: DataFrame, mode: str = "intended",
 
     if mode != "intended":
         raise ValueError(f"unknown mode {mode!r}")
-    allow = rules.filter(F.col("kind") == "allow").select(
-        F.col("database_name").alias("_rt"), F.col("prefix_len").alias("_pl"),
-        F.col("lo").alias("_lo"), "rule_no")
-    lens = allow.select(F.col("_rt").alias("_lt"), F.col("_pl").alias("_ll")).distinct()
-    ssl = c.filter(has_rules & F.col("is_ssl") & F.col("_ip").isNotNull()) \
-           .select("conn_id", "database_name", "_ip")
-    cand = (ssl.join(lens, ssl["database_name"] == lens["_lt"])
-            .select("conn_id", "database_name", F.col("_ll").alias("_pl"),
-                    (F.col("_ip") - F.pmod(F.col("_ip"), F.pow(F.lit(2), F.lit(32) - F.col("_ll"))
-                                          .cast("bigint"))).alias("_lo")))
-    hit = cand.join(allow, (cand["database_name"] == allow["_rt"]) & (cand["_pl"] == allow["_pl"])
-                    & (cand["_lo"] == allow["_lo"]))
-    best = hit.groupBy(F.col("conn_id").alias("_cid")).agg(F.min("rule_no").alias("_allow_no"))
-    c = c.join(best, c["conn_id"] == best["_cid"], "left").drop("_cid")
+    # Equal blocks of a tenant differ in their rule number only: the lowest
+    # decides, so a connection meets each block once.
+    allow = (rules.filter(F.col("kind") == "allow")
+             .groupBy(F.col("database_name").alias("_rt"), F.col("prefix_len").alias("_rl"), F.col("lo").alias("_lo"))
+             .agg(F.min("rule_no").alias("_no")))
+    # Each connection is expanded to its masked addresses; one that asks for
+    # no block (no rules, no SSL, no IPv4 address) keeps one row without. The
+    # best block is the minimum per connection, so nothing is joined back.
+    ask = F.when(has_rules & F.col("is_ssl") & F.col("_ip").isNotNull(), F.col("_lens"))
+    cand = c.withColumn("_l", F.explode_outer(ask)).withColumn(
+        "_m", F.col("_ip") - F.pmod(F.col("_ip"), F.pow(F.lit(2), F.lit(32) - F.col("_l")).cast("bigint")))
+    hit = cand.join(allow, (cand["database_name"] == allow["_rt"]) & (cand["_l"] == allow["_rl"])
+                    & (cand["_m"] == allow["_lo"]), "left")
+    keys = ["conn_id", "database_name", "client_ip", "is_ssl", "_v6", "_reject_no"]
+    # ``_row`` tells rows apart that share all of these.
+    c = hit.groupBy(*keys, "_row").agg(F.min("_no").alias("_allow_no"))
     matched = (F.when(has_rules & F.col("_allow_no").isNotNull(), "tenant_allow")
                .when(has_rules, "tenant_reject")
                .when(F.col("is_ssl"), "default_ssl").otherwise("no_rule"))
@@ -247,36 +250,33 @@ def add_ips(req: DataFrame, wl: DataFrame, db: DataFrame, as_of: str,
     the table or earlier in the batch (first request wins), then return the
     new table rows, their audit rows and the rejects with a reason.
 
-    Duplicate detection is an aggregate (min request number per pair), so
-    a pair repeated a million times is merged map-side, not in one task.
+    Every request is in exactly one of added and rejected; rejects carry the
+    request as it came. One pass: the parent and the listed pair are left joins
+    with a flag, duplicates an aggregate (min request number per pair), so a
+    pair repeated a million times is merged map-side, not in one task.
     New ids are ``max(id) + request number`` (unique, increasing)."""
     from tenantscope.operators.audit import audit_rows
-    from tenantscope.operators.registry import apply_defaults
-    r = apply_defaults(req.withColumn("_valid", S.cidr_valid("ip_address")))
-    invalid = r.filter(~F.col("_valid")).drop("_valid").withColumn("reason", F.lit("invalid_ip"))
-    r = r.filter(F.col("_valid")).drop("_valid")
-    with_parent, orphan = require_parent(r, "database_id", db)
-    orphan = orphan.withColumn("reason", F.lit("database_not_found"))
-    existing = wl.select(F.col("database_id").alias("_d"), F.col("ip_address").alias("_a"))
-    cond = (with_parent["database_id"] == existing["_d"]) & (with_parent["ip_address"] == existing["_a"])
-    present = with_parent.join(existing, cond, "left_semi").withColumn("reason", F.lit("already_listed"))
-    fresh = with_parent.join(existing, cond, "left_anti")
-    first = fresh.groupBy("database_id", "ip_address").agg(F.min(order_col).alias("_first"))
-    fresh = fresh.join(first, ["database_id", "ip_address"])
-    accepted_req = fresh.filter(F.col(order_col) == F.col("_first")).drop("_first")
-    dup = (fresh.filter(F.col(order_col) != F.col("_first")).drop("_first")
-           .withColumn("reason", F.lit("duplicate_in_batch")))
+    from tenantscope.operators.registry import apply_defaults, mark_duplicates
+    r = apply_defaults(req.withColumn("_raw", F.struct(*req.columns)))
+    parent = db.select(F.col("id").alias("_p")).distinct()
+    listed = wl.select(F.col("database_id").alias("_d"), F.col("ip_address").alias("_a")).distinct()
+    r = r.join(parent, r["database_id"] == parent["_p"], "left")
+    r = r.join(listed, (r["database_id"] == listed["_d"]) & (r["ip_address"] == listed["_a"]), "left")
+    reason = (F.when(~F.coalesce(S.cidr_valid("ip_address"), F.lit(False)), "invalid_ip")
+              .when(F.col("_p").isNull(), "database_not_found")
+              .when(F.col("_d").isNotNull(), "already_listed")
+              .when(F.col(order_col).isNull(), f"{order_col} is required"))
+    r = mark_duplicates(r.withColumn("_why", reason).withColumn("_ok", F.col("_why").isNull()),
+                        ["database_id", "ip_address"], order_col)
+    r = r.withColumn("reason", F.when(F.col("_dup"), "duplicate_in_batch").otherwise(F.col("_why")))
     # Highest existing id as a scalar subquery (runs once; no join).
     base = wl.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     ts = F.lit(as_of).cast("timestamp_ntz")
-    added = (accepted_req
+    added = (r.filter(F.col("reason").isNull())
              .select((base + F.col(order_col)).alias("id"), "database_id",
                      "ip_address", "description", ts.alias("added_at")))
     audit = audit_rows(added, "ip_whitelist_added", "database_id",
                        {"ip_address": "ip_address"}, as_of)
-    cols = req.columns
-    rejected = (invalid.select(*cols, "reason").unionByName(orphan.select(*cols, "reason"))
-                .unionByName(present.select(*cols, "reason"))
-                .unionByName(dup.select(*cols, "reason")))
+    rejected = r.filter(F.col("reason").isNotNull()).select("_raw.*", "reason")
     return {"added": added, "table": wl.unionByName(added), "audit": audit,
             "rejected": rejected}

@@ -60,21 +60,28 @@ def registry_drift(db: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def cascade_delete(tables: dict[str, tuple[DataFrame, str]], ids: DataFrame,
-                   id_col: str = "id") -> dict[str, DataFrame]:
+                   id_col: str = "id", as_of: str | None = None,
+                   registry: str = "databases") -> dict[str, DataFrame]:
     """Delete the given tenants and cascade to the child tables.
 
     ``tables`` maps a name to (DataFrame, key column referencing the
     tenant id); the registry itself is one of them with key ``id``. Audit
     rows are not in the cascade (their ``resource_id`` has no foreign key).
     Returns the remaining rows per table and ``counts`` (table, deleted,
-    remaining), each count one aggregate over a left join with a flag.
+    remaining), each count one aggregate over a left join with a flag, and,
+    where the ``registry`` table is among them, ``audit``: one
+    ``database_deleted`` row per tenant deleted (R51).
     """
+    from tenantscope.operators.audit import audit_rows
     keys = ids.select(F.col(id_col).alias("_del_id")).distinct().withColumn("_del", F.lit(True))
     out, counts = {}, []
     for name, (df, fk) in tables.items():
         flagged = df.join(keys, df[fk] == keys["_del_id"], "left")
         gone = F.coalesce(F.col("_del"), F.lit(False))
         out[name] = flagged.filter(~gone).drop("_del_id", "_del")
+        if name == registry:
+            out["audit"] = audit_rows(flagged.filter(gone), "database_deleted", "id",
+                                      {"database_name": "database_name", "username": "username"}, as_of)
         counts.append(flagged.agg(F.lit(name).alias("table"),
                                   F.count_if(gone).alias("deleted"),
                                   F.count_if(~gone).alias("remaining")))

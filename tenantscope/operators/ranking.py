@@ -2,11 +2,14 @@
 
 A plain ``row_number().over(Window.partitionBy(tenant))`` sends every row of
 a tenant to one task; a tenant that owns a third of all rows then sorts a
-third of the data alone. Here the group is split into chunks of an integer
+third of the data alone. Here every group is split into chunks of an integer
 order key: rows are numbered inside ``(group, chunk)`` (bounded by the
 chunk width), and each chunk's offset comes from a running sum over the
 per-chunk counts, a table with one row per non-empty chunk. The result is
-exactly the plain row number.
+exactly the plain row number, for every group and whatever its size.
+
+Group and chunk are kept as structs: a struct is never NULL itself, so NULL
+keys stay a group (or a chunk) of their own through the equi-join.
 """
 
 from __future__ import annotations
@@ -15,61 +18,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK = 1 << 16
-# Rows above which one group is split into chunks (ours).
-HOT_ROWS = 1_000_000
-
-
-def split_hot(df: DataFrame, part_cols: list[str] | str,
-              hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of groups holding more than
-    ``hot_rows`` rows). The hot-key set has at most ``count / hot_rows``
-    entries, a proven bound, so it is broadcast to both semi/anti joins."""
-    cols = [part_cols] if isinstance(part_cols, str) else list(part_cols)
-    hot = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_cnt"))
-           .filter(F.col("_cnt") > F.lit(hot_rows)).select(*cols))
-    hot = F.broadcast(hot)
-    return df.join(hot, cols, "left_anti"), df.join(hot, cols, "left_semi")
 
 
 def row_number_within(df: DataFrame, part_cols: list[str], order_col: str,
                       out: str = "rn", chunk_width: int = DEFAULT_CHUNK,
-                      descending: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+                      descending: bool = False, total: str | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of the row inside ``part_cols`` ordered
-    by the integer column ``order_col`` (unique within a group). Ordinary
-    groups use a plain ``row_number``; groups above ``hot_rows`` rows are
-    numbered in chunks (see the module note)."""
-    cold, hot = split_hot(df, part_cols, hot_rows)
-    key = F.col(order_col).desc() if descending else F.col(order_col)
-    plain = cold.withColumn(out, F.row_number().over(
-        Window.partitionBy(*part_cols).orderBy(key)).cast("int"))
-    return plain.unionByName(_chunked_row_number(hot, part_cols, order_col, out,
-                                                 chunk_width, descending))
-
-
-def _chunked_row_number(df: DataFrame, part_cols: list[str], order_col: str, out: str,
-                        chunk_width: int, descending: bool) -> DataFrame:
-    ck = "_chunk"
+    by the integer column ``order_col`` (unique within a group; NULLs first,
+    last when ``descending``), and, if named, ``total`` = rows of the group."""
     key = F.col(order_col)
     chunk = F.floor(key / F.lit(chunk_width))
-    if descending:
-        chunk = -chunk
-        key = key.desc()
-    tagged = df.withColumn(ck, chunk)
-    local = tagged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*part_cols, ck).orderBy(key)))
+    chunk = F.struct(key.isNull().cast("int").alias("n"), (-chunk).alias("c")) if descending \
+        else F.struct(key.isNotNull().cast("int").alias("n"), chunk.alias("c"))
+    w = Window.partitionBy("_g", "_c").orderBy(key.desc() if descending else key)
+    local = (df.withColumn("_g", F.struct(*part_cols)).withColumn("_c", chunk)
+             .withColumn("_local", F.row_number().over(w)))
     # Sizes come from the numbered rows: the aggregate and the join below
     # reuse the window's (group, chunk) partitioning, so the input is
-    # scanned and shuffled once.
-    sizes = local.groupBy(*part_cols, ck).agg(F.max("_local").alias("_n"))
-    before = Window.partitionBy(*part_cols).orderBy(ck) \
-                   .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*part_cols, ck,
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [*part_cols, ck], "inner")
-            .withColumn(out, (F.col("_off") + F.col("_local")).cast("int"))
-            .drop(ck, "_local", "_off"))
-
+    # computed and shuffled once.
+    sizes = local.groupBy("_g", "_c").agg(F.max("_local").alias("_n"))
+    group = Window.partitionBy("_g").orderBy("_c")
+    offsets = sizes.select(
+        "_g", "_c",
+        F.coalesce(F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    res = local.join(offsets, ["_g", "_c"], "inner").withColumn(out, (F.col("_off") + F.col("_local")).cast("int"))
+    if total:
+        res = res.withColumn(total, F.col("_total").cast("int"))
+    return res.drop("_g", "_c", "_local", "_off", "_total")
 
-def group_sizes(df: DataFrame, part_cols: list[str], out: str = "n") -> DataFrame:
-    """Rows per group (partial aggregation before the shuffle)."""
-    return df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias(out))

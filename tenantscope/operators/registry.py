@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenantscope.functions import scalars as S
@@ -138,6 +138,30 @@ def parse_connection(df: DataFrame, c: str) -> DataFrame:
     )
 
 
+def _new_ids(db: DataFrame, order_col: str, *key: str):
+    """Ids of new rows. Number keys: highest existing id (a scalar subquery,
+    run once) plus the request number, unique and increasing without a global
+    window. UUID keys (the stored registry): a UUID made from ``key``, so a
+    retried batch gets the same ids."""
+    if db.schema["id"].dataType.simpleString() != "string":
+        return db.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() + F.col(order_col)
+    h = F.sha2(F.concat_ws("|", *key, F.col(order_col).cast("string")), 256)
+    cut = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("8"), F.substring(h, 14, 3)),
+           F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12)]
+    return F.concat_ws("-", *cut)
+
+
+def mark_duplicates(r: DataFrame, keys: list[str], order_col: str) -> DataFrame:
+    """Add ``_dup``: a row with ``_ok`` whose keys an earlier ``_ok`` row (by
+    ``order_col``) holds too. The first number per key is a partial aggregate, so
+    a key repeated a million times is merged map-side; only rows that repeat
+    both key and number are ranked in a window."""
+    first = r.filter("_ok").groupBy(*keys).agg(F.min(order_col).alias("_first"))
+    same = Window.partitionBy(*keys, order_col, "_ok").orderBy(order_col)
+    return (r.join(first, keys, "left").withColumn("_same", F.row_number().over(same))
+            .withColumn("_dup", F.col("_ok") & ((F.col(order_col) != F.col("_first")) | (F.col("_same") > 1))))
+
+
 def register(req: DataFrame, db: DataFrame, as_of: str,
              order_col: str = "request_no") -> dict[str, DataFrame]:
     """Register a batch of tenants.
@@ -145,36 +169,33 @@ def register(req: DataFrame, db: DataFrame, as_of: str,
     Required check (R13) -> defaults (R12) -> names (R53) -> uniqueness of
     names against the registry and inside the batch (first request wins)
     -> new registry rows and their ``database_created`` audit rows (R51).
-    Returns ``accepted``, ``audit`` and ``rejected``.
-
-    New ids are ``max(id) + request number``: unique and increasing without
-    a global window. The max is a scalar subquery (run once, no join).
+    Returns ``accepted``, ``audit`` and ``rejected``; every request is in
+    exactly one of accepted and rejected. Rejects carry the request as it
+    came. ``password_hash`` is the request's, NULL if it brings none.
     """
-    ok, bad = split_required(req, ["friendly_name", "owner_email"])
-    named = tenant_names(apply_defaults(ok), ["owner_email", "friendly_name", order_col])
+    missing = F.lit(False)
+    for c in ("friendly_name", "owner_email"):
+        missing = missing | F.col(c).isNull() | (F.col(c).cast("string") == "")
+    named = tenant_names(apply_defaults(req.withColumn("_raw", F.struct(*req.columns))),
+                         ["owner_email", "friendly_name", order_col])
     # Names and user names come from the same key, so one check covers both.
-    taken = db.select(F.col("database_name").alias("_dn"))
-    clash = named.join(taken, named["database_name"] == taken["_dn"], "left_semi")
-    fresh = named.join(taken, named["database_name"] == taken["_dn"], "left_anti")
-    first = (fresh.groupBy("database_name")
-             .agg(F.min(order_col).alias("_first")))
-    fresh = fresh.join(first, "database_name")
-    accepted_req = fresh.filter(F.col(order_col) == F.col("_first")).drop("_first")
-    dup = fresh.filter(F.col(order_col) != F.col("_first")).drop("_first")
-    # Highest existing id as a scalar subquery (runs once; no join).
-    base = db.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    taken = db.select(F.col("database_name").alias("_dn")).distinct()
+    r = named.join(taken, named["database_name"] == taken["_dn"], "left")
+    reason = (F.when(missing, REQUIRED_MESSAGE).when(F.col(order_col).isNull(), f"{order_col} is required")
+              .when(F.col("_dn").isNotNull(), "name_taken"))
+    r = mark_duplicates(r.withColumn("_why", reason).withColumn("_ok", F.col("_why").isNull()),
+                        ["database_name"], order_col)
+    r = r.withColumn("reason", F.when(F.col("_dup"), "duplicate_in_batch").otherwise(F.col("_why")))
     ts = F.lit(as_of).cast("timestamp_ntz")
-    accepted = (accepted_req
-                .select((base + F.col(order_col)).alias("id"), "database_name",
-                        "username", F.sha2(F.col("username"), 256).alias("password_hash"),
+    given = F.col("password_hash") if "password_hash" in req.columns else F.lit(None).cast("string")
+    accepted = (r.filter(F.col("reason").isNull())
+                .select(_new_ids(db, order_col, "database_name").alias("id"), "database_name",
+                        "username", given.alias("password_hash"),
                         "owner_email", "friendly_name", "max_connections",
                         F.lit("active").alias("status"), ts.alias("created_at"),
                         ts.alias("updated_at")))
     from tenantscope.operators.audit import audit_rows
     audit = audit_rows(accepted, "database_created", "id",
                        {"database_name": "database_name", "username": "username"}, as_of)
-    req_cols = req.columns
-    rejected = (bad.select(*req_cols, "reason")
-                .unionByName(clash.select(*req_cols).withColumn("reason", F.lit("name_taken")))
-                .unionByName(dup.select(*req_cols).withColumn("reason", F.lit("duplicate_in_batch"))))
+    rejected = r.filter(F.col("reason").isNotNull()).select("_raw.*", "reason")
     return {"accepted": accepted, "audit": audit, "rejected": rejected}

@@ -4,6 +4,8 @@ expressions; no Python UDF."""
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def vector_topk(q: DataFrame, v: DataFrame, k: int = 3, metric: str = "cosine",
     j = qq.join(vv, "_b")
     d = dot(F.col("_qv"), F.col("_vv"))
     if metric == "cosine":
-        score = d / (F.col("_qn") * F.col("_vn"))
+        score = F.try_divide(d, F.col("_qn") * F.col("_vn"))
     elif metric == "dot":
         score = d
     elif metric == "l2":
@@ -72,7 +74,8 @@ def vector_topk(q: DataFrame, v: DataFrame, k: int = 3, metric: str = "cosine",
                                     F.lit(0.0).cast("double"), lambda acc, x: acc + x))
     else:
         raise ValueError(metric)
-    scored = j.select("_qid", "_vid", score.alias("score"))
+    # A missing or zero vector has no direction and so no score.
+    scored = j.select("_qid", "_vid", score.alias("score")).filter(F.col("score").isNotNull())
     w = Window.partitionBy("_qid").orderBy(F.col("score").desc(), F.col("_vid"))
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("_qid").alias(q_id), "rank", F.col("_vid").alias(v_id), "score"))
@@ -90,8 +93,10 @@ def semantic_lookup(q: DataFrame, cache: DataFrame, threshold: float,
     q_id, v_id, vec = kw.get("q_id", "qid"), kw.get("v_id", "vec_id"), kw.get("vec", "embedding")
     if ttl_seconds is not None and q_ts and c_ts:
         # Time-bounded: pair queries and entries on the TTL band first.
-        qq = q.select(F.col(q_id).alias("_qid"), F.col(vec).alias("_qv"), F.col(q_ts).alias("_qts"))
-        cc = cache.select(F.col(v_id).alias("_vid"), F.col(vec).alias("_vv"), F.col(c_ts).alias("_cts"))
+        qq = q.select(F.col(q_id).alias("_qid"), F.col(vec).alias("_qv"), F.col(q_ts).alias("_qts")) \
+            .withColumn("_qn", norm(F.col("_qv")))
+        cc = cache.select(F.col(v_id).alias("_vid"), F.col(vec).alias("_vv"), F.col(c_ts).alias("_cts")) \
+                  .withColumn("_vn", norm(F.col("_vv")))
         # Equi-key on (TTL bucket, corpus block): queries are copied to
         # their bucket and the one before, and to every block, so a busy
         # bucket is split over ``blocks`` tasks; then the exact band.
@@ -105,8 +110,8 @@ def semantic_lookup(q: DataFrame, cache: DataFrame, threshold: float,
         j = qq.join(cc, ["_bk", "_blk"]).filter(
             (F.col("_cts") <= F.col("_qts"))
             & (F.col("_cts") >= F.col("_qts") - F.make_interval(secs=F.lit(ttl_seconds))))
-        s = j.select("_qid", "_vid", (dot(F.col("_qv"), F.col("_vv"))
-                                     / (norm(F.col("_qv")) * norm(F.col("_vv")))).alias("score"))
+        s = j.select("_qid", "_vid", F.try_divide(dot(F.col("_qv"), F.col("_vv")), F.col("_qn") * F.col("_vn"))
+                     .alias("score")).filter(F.col("score").isNotNull())
         w = Window.partitionBy("_qid").orderBy(F.col("score").desc(), F.col("_vid"))
         best = (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") == 1)
                 .select(F.col("_qid").alias(q_id), F.col("_vid").alias(v_id), "score"))
@@ -165,10 +170,29 @@ def _gram_rows(df: DataFrame, id_col: str, text_col: str, side: str) -> DataFram
         "_arr", lambda x: F.struct(x.alias("g"), F.size("_arr").alias(f"_{side}n")))))
 
 
-def _result(pairs: DataFrame, a_id: str, b_id: str, t: float) -> DataFrame:
-    sim = F.col("shared") / (F.col("_an") + F.col("_bn") - F.col("shared"))
+def _ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as written, as a ratio of integers: 0.8 is 4/5, not the
+    nearest double, so a pair that reaches it exactly is kept."""
+    f = Fraction(str(threshold))
+    return f.numerator, f.denominator
+
+
+def _ceil_div(a: Column, b: int) -> Column:
+    """ceil(a / b) for integers a >= 0, without floating point."""
+    up = a + F.lit(b - 1)
+    return ((up - F.pmod(up, F.lit(b))) / F.lit(b)).cast("long")
+
+
+def _sizes_fit(num: int, den: int) -> Column:
+    return ((F.col("_bn") * F.lit(den) >= F.col("_an") * F.lit(num))
+            & (F.col("_bn") * F.lit(num) <= F.col("_an") * F.lit(den)))
+
+
+def _result(pairs: DataFrame, a_id: str, b_id: str, num: int, den: int) -> DataFrame:
+    union = F.col("_an") + F.col("_bn") - F.col("shared")
+    sim = F.col("shared") / union
     same = a_id == b_id
-    return (pairs.filter(sim >= F.lit(t))
+    return (pairs.filter((union > 0) & (F.col("shared") * F.lit(den) >= union * F.lit(num)))
             .select(F.col("_a").alias(f"a_{a_id}" if same else a_id),
                     F.col("_b").alias(f"b_{b_id}" if same else b_id),
                     F.col("shared").cast("bigint").alias("shared"),
@@ -203,19 +227,19 @@ def trigram_join(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str,
         raise ValueError("threshold must be in (0, 1]")
     if method == "auto":
         method = "prefix" if self_join else "probe"
-    t = F.lit(threshold)
+    num, den = _ratio(threshold)
 
     if method == "probe":
         ea = _gram_rows(a, a_id, a_text, "a")
         eb = _gram_rows(b, b_id, b_text, "b")
         # Size window over all of a, as scalar subqueries (run once, no join).
         lo, hi = ea.agg(F.min("_an")).scalar(), ea.agg(F.max("_an")).scalar()
-        eb = eb.filter((F.col("_bn") >= t * lo) & (F.col("_bn") * t <= hi))
-        j = ea.join(eb, "g").filter((F.col("_bn") >= t * F.col("_an")) & (F.col("_bn") * t <= F.col("_an")))
+        eb = eb.filter((F.col("_bn") * F.lit(den) >= lo * F.lit(num)) & (F.col("_bn") * F.lit(num) <= hi * F.lit(den)))
+        j = ea.join(eb, "g").filter(_sizes_fit(num, den))
         if self_join:
             j = j.filter(F.col("_a") < F.col("_b"))
         pairs = j.groupBy("_a", "_b", "_an", "_bn").agg(F.count(F.lit(1)).alias("shared"))
-        return _result(pairs, a_id, b_id, threshold)
+        return _result(pairs, a_id, b_id, num, den)
 
     if method != "prefix":
         raise ValueError(method)
@@ -230,7 +254,7 @@ def trigram_join(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str,
         e = rows
         ranked = e.join(freq, "g", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
         w = Window.partitionBy(f"_{side}").orderBy("_df", "g")
-        plen = n - F.ceil(t * n) + 1
+        plen = n - _ceil_div(n * F.lit(num), den) + 1
         return (ranked.withColumn(f"_{side}p", F.row_number().over(w))
                 .filter(F.col(f"_{side}p") <= plen).select(f"_{side}", f"_{side}n", f"_{side}p", "g"))
 
@@ -240,8 +264,8 @@ def trigram_join(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str,
     # Size filter, and the positional filter: the overlap of a pair is at
     # most 1 + min(|a| - i, |b| - j) for its first shared gram at ranks
     # (i, j), and it needs ceil(t / (1 + t) * (|a| + |b|)) shared grams.
-    need = F.ceil(t / (F.lit(1.0) + t) * (F.col("_an") + F.col("_bn")))
-    cond = ((F.col("_bn") >= t * F.col("_an")) & (F.col("_bn") * t <= F.col("_an"))
+    need = _ceil_div((F.col("_an") + F.col("_bn")) * F.lit(num), num + den)
+    cond = (_sizes_fit(num, den)
             & (F.lit(1) + F.least(F.col("_an") - F.col("_ap"), F.col("_bn") - F.col("_bp")) >= need))
     if self_join:
         cond = cond & (F.col("_a") < F.col("_b"))
@@ -249,7 +273,7 @@ def trigram_join(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str,
     verified = (cand.join(sa, "_a").join(sb, "_b")
                 .withColumn("shared", F.size(F.array_intersect("_ag", "_bg")))
                 .select("_a", "_b", "_an", "_bn", "shared"))
-    return _result(verified, a_id, b_id, threshold)
+    return _result(verified, a_id, b_id, num, den)
 
 
 def trigram_search(df: DataFrame, id_col: str, text_col: str, q: str,
@@ -298,7 +322,9 @@ def kv_ops(df: DataFrame, id_col: str, json_col: str, extra: dict[str, str] | No
     row per (id, key, value); ``has_key`` flags ``key`` in the source map."""
     m = F.from_json(F.col(json_col), "map<string,string>")
     if extra:
-        m2 = F.map_concat(m, F.create_map(*[x for kv in extra.items() for x in map(F.lit, kv)]))
+        right = F.create_map(*[x for kv in extra.items() for x in map(F.lit, kv)])
+        # The right side wins a shared key; map_concat itself refuses one.
+        m2 = F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(right, k)), right)
     else:
         m2 = m
     base = df.select(id_col, m.alias("_m"), m2.alias("_m2"))

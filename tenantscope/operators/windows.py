@@ -1,13 +1,11 @@
 """Ordered per-tenant windows (R66-R68), skew-safe.
 
-``Window.partitionBy(tenant)`` puts a whole tenant in one task. Tenants
-with more than ``hot_rows`` rows are therefore split off (one partial
-aggregate finds them; there are at most ``rows / hot_rows`` of them, so the
-set is broadcast) and their rows are cut into time chunks (``chunk``):
-windows run per (tenant, chunk), and the few rows a window needs from
-earlier chunks (the "halo": the last ``k`` rows before the chunk) are
-copied in first and dropped after. All other tenants use the plain window.
-Results equal the plain per-tenant window.
+``Window.partitionBy(tenant)`` puts a whole tenant in one task. Here every
+tenant's rows are cut into time chunks. A row's predecessors are those of
+its own (tenant, chunk), from a plain window, and the last rows of the
+chunks before, which travel as one short array per chunk. All tenants take
+this one path, and NULL keys or times are a group or chunk like any other,
+so the result is that of the plain per-tenant window.
 """
 
 from __future__ import annotations
@@ -15,86 +13,95 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenantscope.operators.ranking import HOT_ROWS, split_hot
-
 STATS_ORDER = ["recorded_at", "total_queries", "seq", "size_bytes"]
-def _with_halo(df: DataFrame, part: str, chunk: Column, order_cols: list[str],
-               k: int) -> DataFrame:
-    """Rows with ``_chunk`` and ``_halo`` (False for own rows). Each chunk
-    also gets, as halo rows, the last ``k`` rows that precede it in the
-    tenant's order (taken from up to ``k`` earlier non-empty chunks). Own
-    rows are never joined; only the chunk tails (at most ``k`` rows per
-    chunk) travel, through the small table of non-empty chunks."""
-    t = df.withColumn("_chunk", chunk)
-    desc = [F.col(c).desc() for c in order_cols]
-    tails = (t.withColumn("_r", F.row_number().over(
-                Window.partitionBy(part, "_chunk").orderBy(*desc)))
-             .filter(F.col("_r") <= k).drop("_r"))
-    idx = (tails.select(part, "_chunk").distinct()
-           .withColumn("_ci", F.row_number().over(Window.partitionBy(part).orderBy("_chunk"))))
-    shipped = (tails.join(idx, [part, "_chunk"])
-               .withColumn("_to", F.explode(F.sequence(F.col("_ci") + 1, F.col("_ci") + k)))
-               .drop("_chunk", "_ci")
-               .join(idx.select(part, F.col("_ci").alias("_to"), "_chunk"), [part, "_to"]))
-    halo = (shipped.withColumn("_r", F.row_number().over(
-                Window.partitionBy(part, "_chunk").orderBy(*desc)))
-            .filter(F.col("_r") <= k).drop("_r", "_to")
-            .withColumn("_halo", F.lit(True)))
-    return t.withColumn("_halo", F.lit(False)).unionByName(halo)
-
-
-def _growth_cols(df: DataFrame, w: Window, order_cols: list[str]) -> DataFrame:
-    out = (df.withColumn("prev_size", F.lag("size_bytes").over(w))
-           .withColumn("prev_at", F.lag("recorded_at").over(w)))
-    if "_halo" in df.columns:
-        out = out.filter(~F.col("_halo"))
+# The stored statistics table has a serial id instead of ``seq``.
+STORED_ORDER = ["recorded_at", "id"]
+
+
+def stats_order(stats: DataFrame, order_cols: list[str] | None) -> list[str]:
+    return order_cols or (STATS_ORDER if "seq" in stats.columns else STORED_ORDER)
+
+
+# Second key values that share a chunk when their times are equal.
+CHUNK_KEYS = 1 << 20
+
+
+def time_chunk(order_cols: list[str]) -> Column:
+    """Default chunk: the hour of the first order column. Times that stand
+    exactly on the hour (daily samples) may be many, so they are cut further
+    by ranges of the second order column (an integer). The struct sorts as
+    the rows do."""
+    at = F.col(order_cols[0])
+    hour = F.date_trunc("HOUR", at)
+    exact = at.cast("timestamp") == hour
+    key = F.when(exact, F.floor(F.col(order_cols[1]) / F.lit(CHUNK_KEYS))) if len(order_cols) > 1 \
+        else F.lit(None).cast("long")
+    return F.struct(hour.alias("h"), (~exact).alias("late"), key.alias("k"))
+
+
+def _last(a: Column, k: int) -> Column:
+    return F.slice(a, F.greatest(F.size(a) - F.lit(k - 1), F.lit(1)), F.lit(k))
+
+
+def with_preceding(df: DataFrame, part: str, order_cols: list[str], values: list[str], k: int,
+                   chunk: Column | None = None, out: str = "_prev") -> DataFrame:
+    """Add ``out``: the ``values`` (an array of structs) of up to ``k`` rows
+    that precede the row in its group's order, oldest first. ``chunk`` must
+    sort as ``order_cols`` do."""
+    asc, desc = [F.col(c) for c in order_cols], [F.col(c).desc() for c in order_cols]
+    t = (df.withColumn("_g", F.struct(part))
+         .withColumn("_c", F.struct((chunk if chunk is not None else time_chunk(order_cols)).alias("c")))
+         .withColumn("_v", F.struct(*values)))
+    near = Window.partitionBy("_g", "_c").orderBy(*asc).rowsBetween(-k, -1)
+    own = t.withColumn("_own", F.collect_list("_v").over(near))
+    # The last k rows of each chunk, oldest first.
+    tails = (t.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_c").orderBy(*desc)))
+             .filter(F.col("_r") <= k).groupBy("_g", "_c")
+             .agg(F.sort_array(F.collect_list(F.struct("_r", "_v")), asc=False).alias("_t")))
+    before = Window.partitionBy("_g").orderBy("_c").rowsBetween(-k, -1)
+    halo = tails.select("_g", "_c", _last(F.flatten(F.collect_list(
+        F.transform("_t", lambda x: x["_v"])).over(before)), k).alias("_halo"))
+    return (own.join(halo, ["_g", "_c"])
+            .withColumn(out, _last(F.concat("_halo", "_own"), k))
+            .drop("_g", "_c", "_v", "_own", "_halo"))
+
+
+def size_growth(stats: DataFrame, order_cols: list[str] | None = None,
+                chunk: Column | None = None) -> DataFrame:
+    """For each sample, the previous sample of the same tenant and the
+    change, whole days between them and bytes per day (NULL on the same
+    day)."""
+    order_cols = stats_order(stats, order_cols)
+    t = with_preceding(stats, "database_id", order_cols, ["size_bytes", "recorded_at"], 1, chunk)
+    prev = F.try_element_at("_prev", F.lit(1))
+    t = t.withColumn("prev_size", prev["size_bytes"]).withColumn("prev_at", prev["recorded_at"])
     days = F.datediff(F.to_date("recorded_at"), F.to_date("prev_at"))
-    return out.select(
-        "database_id", *[c for c in order_cols if c != "database_id"], "prev_size", "prev_at",
+    keep = list(dict.fromkeys([*(c for c in order_cols if c != "database_id"), "size_bytes", "recorded_at"]))
+    return t.select(
+        "database_id", *keep, "prev_size", "prev_at",
         (F.col("size_bytes") - F.col("prev_size")).alias("size_change"),
         days.alias("days"),
         F.when(days > 0, F.round((F.col("size_bytes") - F.col("prev_size")) / days, 4))
          .alias("bytes_per_day"))
 
 
-def size_growth(stats: DataFrame, order_cols: list[str] = STATS_ORDER,
-                chunk: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """For each sample, the previous sample of the same tenant and the
-    change, whole days between them and bytes per day (NULL on the same
-    day)."""
-    chunk = chunk if chunk is not None else F.date_trunc("DAY", F.col("recorded_at"))
-    order = [F.col(c) for c in order_cols]
-    cold, hot = split_hot(stats, "database_id", hot_rows)
-    plain = _growth_cols(cold, Window.partitionBy("database_id").orderBy(*order), order_cols)
-    h = _with_halo(hot, "database_id", chunk, order_cols, 1)
-    chunked = _growth_cols(h, Window.partitionBy("database_id", "_chunk").orderBy(*order),
-                           order_cols)
-    return plain.unionByName(chunked)
-
-
-def _rolling_cols(df: DataFrame, w: Window, order_cols: list[str]) -> DataFrame:
-    out = (df.withColumn("rolling_avg", F.round(F.avg("active_connections").over(w), 4))
-           .withColumn("rolling_max", F.max("active_connections").over(w))
-           .withColumn("window_rows", F.count(F.lit(1)).over(w)))
-    if "_halo" in df.columns:
-        out = out.filter(~F.col("_halo"))
-    return out.select("database_id", *[c for c in order_cols if c != "database_id"],
-                      "active_connections", "rolling_avg", "rolling_max", "window_rows")
-
-
-def rolling_connections(stats: DataFrame, rows: int = 7, order_cols: list[str] = STATS_ORDER,
-                        chunk: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rolling_connections(stats: DataFrame, rows: int = 7, order_cols: list[str] | None = None,
+                        chunk: Column | None = None) -> DataFrame:
     """Mean and peak of active connections over the last ``rows``
-    samples of the tenant (the current one included)."""
-    chunk = chunk if chunk is not None else F.date_trunc("DAY", F.col("recorded_at"))
-    order = [F.col(c) for c in order_cols]
-    cold, hot = split_hot(stats, "database_id", hot_rows)
-    plain = _rolling_cols(cold, Window.partitionBy("database_id").orderBy(*order)
-                          .rowsBetween(-(rows - 1), 0), order_cols)
-    h = _with_halo(hot, "database_id", chunk, order_cols, rows - 1)
-    chunked = _rolling_cols(h, Window.partitionBy("database_id", "_chunk").orderBy(*order)
-                            .rowsBetween(-(rows - 1), 0), order_cols)
-    return plain.unionByName(chunked)
+    samples of the tenant (the current one included; NULLs are samples
+    without a value)."""
+    if rows < 2:
+        raise ValueError("rows must be at least 2")
+    order_cols = stats_order(stats, order_cols)
+    t = with_preceding(stats, "database_id", order_cols, ["active_connections"], rows - 1, chunk)
+    t = t.withColumn("_all", F.concat(F.transform("_prev", lambda x: x["active_connections"]),
+                                      F.array("active_connections")))
+    known = F.filter("_all", lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x)
+    return t.select("database_id", *[c for c in order_cols if c != "database_id"], "active_connections",
+                    F.round(F.try_divide(total.cast("double"), F.size(known)), 4).alias("rolling_avg"),
+                    F.array_max("_all").alias("rolling_max"),
+                    F.size("_all").cast("long").alias("window_rows"))
 
 
 def chat_history(turns: DataFrame, n: int, session: str = "conv_id",

@@ -189,7 +189,7 @@ WITH ok AS (
                                           WHERE f2.database_name = fresh.database_name)
 )
 SELECT (SELECT COALESCE(MAX(id), 0) FROM databases) + request_no AS id, database_name, username,
-  sha256(username) AS password_hash, owner_email, friendly_name,
+  CAST(NULL AS VARCHAR) AS password_hash, owner_email, friendly_name,
   CAST(CASE WHEN max_connections IS NULL OR max_connections = 0 THEN 20 ELSE max_connections END AS INT)
     AS max_connections,
   'active' AS status, TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at
@@ -221,14 +221,32 @@ def q_register_audit(spark, d):
     return registry.register(f.tenant_requests, f.databases, AS_OF)["audit"]
 
 
+# A batch as it may arrive: some requests once more without their number, some
+# sent twice.
+_MESSY_SQL = """(SELECT friendly_name, owner_email, max_connections, request_no FROM tenant_requests
+  UNION ALL SELECT friendly_name, owner_email, max_connections, CAST(NULL AS BIGINT) FROM tenant_requests
+    WHERE request_no % 19 = 0
+  UNION ALL SELECT friendly_name, owner_email, max_connections, request_no FROM tenant_requests
+    WHERE request_no % 23 = 0)"""
+
+
+def _messy_requests(f: Fleet) -> DataFrame:
+    r = f.tenant_requests
+    return (r.unionByName(r.filter(r.request_no % 19 == 0).withColumn("request_no", F.lit(None).cast("bigint")))
+            .unionByName(r.filter(r.request_no % 23 == 0)))
+
+
 @query("register_rejected", f"""
 SELECT friendly_name, owner_email, max_connections, request_no,
-  'friendlyName and ownerEmail are required' AS reason
-FROM tenant_requests WHERE NOT {_TR_OK}
+  CASE WHEN NOT {_TR_OK} THEN 'friendlyName and ownerEmail are required'
+       WHEN request_no IS NULL THEN 'request_no is required' ELSE 'duplicate_in_batch' END AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY friendly_name, owner_email, request_no) AS copy
+      FROM {_MESSY_SQL})
+WHERE NOT {_TR_OK} OR request_no IS NULL OR copy > 1
 """)
 def q_register_rejected(spark, d):
     f = Fleet(spark, d)
-    return registry.register(f.tenant_requests, f.databases, AS_OF)["rejected"]
+    return registry.register(_messy_requests(f), f.databases, AS_OF)["rejected"]
 
 
 # ---------------------------------------------------------------------------
@@ -480,6 +498,18 @@ def q_remove_ips_missing(spark, d):
     return access.remove_ips(f.ip_whitelist, _removal_keys(f))["missing"]
 
 
+@query("remove_ips_audit", f"""
+SELECT 'ip_whitelist_removed' AS action, 'database' AS resource_type,
+  CAST(w.database_id AS VARCHAR) AS resource_id,
+  '{{"ip_address":"' || w.ip_address || '"}}' AS details, TIMESTAMP '{AS_OF}' AS created_at
+FROM ip_whitelist w
+WHERE EXISTS (SELECT 1 FROM {_KEYS_SQL} k WHERE k.id = w.id AND k.database_id = w.database_id)
+""")
+def q_remove_ips_audit(spark, d):
+    f = Fleet(spark, d)
+    return access.remove_ips(f.ip_whitelist, _removal_keys(f), AS_OF)["audit"]
+
+
 @query("rule_drift", f"""
 WITH cur AS ({Q.ACCESS_RULES}),
 kept AS (SELECT w.* FROM ip_whitelist w
@@ -685,6 +715,18 @@ def q_cascade_delete_counts(spark, d):
     return out["counts"]
 
 
+@query("cascade_delete_audit", f"""
+SELECT 'database_deleted' AS action, 'database' AS resource_type, CAST(id AS VARCHAR) AS resource_id,
+  '{{"database_name":"' || database_name || '","username":"' || username || '"}}' AS details,
+  TIMESTAMP '{AS_OF}' AS created_at
+FROM databases WHERE status = 'suspended'
+""")
+def q_cascade_delete_audit(spark, d):
+    f = Fleet(spark, d)
+    ids = f.databases.filter(F.col("status") == "suspended").select("id")
+    return checks.cascade_delete({"databases": (f.databases, "id")}, ids, as_of=AS_OF)["audit"]
+
+
 @query("cascade_delete_whitelist", """
 SELECT w.* FROM ip_whitelist w
 WHERE w.database_id IS NULL
@@ -860,11 +902,51 @@ SELECT CAST(created_at AS DATE) AS date,
 FROM audit_logs GROUP BY 1, 2, 3
 """)
 def q_api_routes(spark, d):
-    parsed = logs.parse_access_log(access_log_lines(Fleet(spark, d).audit_logs))
+    parsed, _ = logs.parse_access_log(access_log_lines(Fleet(spark, d).audit_logs))
     return parsed.groupBy(F.to_date("ts").alias("date"), "method", "route") \
                  .agg(F.count(F.lit(1)).alias("requests"))
 
 
+# Logs as they are found: lines cut short, dates that are none, other levels.
+_BROKEN_SQL = """(SELECT CASE WHEN value LIKE '%0.000 ms%' THEN substring(value, 5, 30)
+    WHEN value LIKE '%1.000 ms%' THEN '2024-02-30' || substring(value, 11)
+    WHEN value LIKE '%2.000 ms%' THEN replace(value, ' LOG: ', ' DEBUG1: ') ELSE value END AS value
+  FROM server_log)"""
+
+
+@query("server_log_quality", f"""
+SELECT CASE WHEN regexp_matches(value, '{_SL}')
+              AND TRY_CAST(regexp_extract(value, '{_SL}', 1) AS TIMESTAMP) IS NOT NULL
+            THEN regexp_extract(value, '{_SL}', 9) ELSE '_bad' END AS level, COUNT(*) AS lines
+FROM {_BROKEN_SQL} GROUP BY 1
+""")
+def q_server_log_quality(spark, d):
+    v = F.col("value")
+    broken = Fleet(spark, d).server_log.select(
+        F.when(v.like("%0.000 ms%"), F.substring(v, 5, 30))
+        .when(v.like("%1.000 ms%"), F.concat(F.lit("2024-02-30"), F.expr("substring(value, 11)")))
+        .when(v.like("%2.000 ms%"), F.replace(v, F.lit(" LOG: "), F.lit(" DEBUG1: "))).otherwise(v).alias("value"))
+    good, bad = logs.parse_server_log(broken)
+    return (good.select("level").unionByName(bad.select(F.lit("_bad").alias("level")))
+            .groupBy("level").agg(F.count(F.lit(1)).alias("lines")))
+
+
+@query("access_log_quality", """
+SELECT CASE WHEN id % 7 < 3 THEN '_bad' WHEN action IN ('database_created', 'ip_whitelist_added') THEN 'POST'
+            WHEN action IN ('database_deleted', 'ip_whitelist_removed') THEN 'DELETE' ELSE 'GET' END AS method,
+  COUNT(*) AS lines
+FROM audit_logs GROUP BY 1
+""")
+def q_access_log_quality(spark, d):
+    a = Fleet(spark, d).audit_logs
+    k = a["id"] % 7
+    lines = access_log_lines(a.filter(k >= 3)).unionByName(a.filter(k < 3).select(
+        F.when(k == 0, "garbage").when(k == 1, "notatime GET /y").otherwise("2024-13-01T00:00:00.000Z GET /z").alias("value")))
+    good, bad = logs.parse_access_log(lines)
+    return (good.select("method").unionByName(bad.select(F.lit("_bad").alias("method")))
+            .groupBy("method").agg(F.count(F.lit(1)).alias("lines")))
+
+
 @query("pool_table", """
 SELECT pool_database, pool_user, cl_active, cl_waiting, sv_active, sv_idle, sv_used
 FROM pool_snapshot
@@ -1028,7 +1110,14 @@ def q_trigram_benchmark_docs(spark, d):
                            "doc_id", "text", TRGM_BENCH_T)
 
 
-@query("trigram_near_duplicates", None)
+@query("trigram_near_duplicates", f"""
+WITH t AS MATERIALIZED (SELECT rid, list_sort(list(g)) AS s, COUNT(*) AS n FROM {_grams_sql('documents', 'doc_id')} GROUP BY rid),
+p AS (SELECT a.rid AS a_doc_id, b.rid AS b_doc_id, len(list_intersect(a.s, b.s)) AS shared, a.n AS a_grams, b.n AS b_grams
+      FROM t a JOIN t b ON a.rid < b.rid AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n)
+SELECT a_doc_id, b_doc_id, CAST(shared AS BIGINT) AS shared, a_grams, b_grams,
+  round(shared / (a_grams + b_grams - shared), 6) AS similarity
+FROM p WHERE 5 * shared >= 4 * (a_grams + b_grams - shared)
+""")
 def q_trigram_near_duplicates(spark, d):
     docs = Fleet(spark, d).raw("documents")
     return TV.trigram_join(docs, docs, "doc_id", "text", "doc_id", "text", 0.8, self_join=True)
@@ -1098,6 +1187,17 @@ def q_kv_metadata(spark, d):
     return TV.kv_ops(Fleet(spark, d).audit_logs, "id", "details", {"source": "audit"}, key="k")
 
 
+# Rows whose own ``source`` gives way to the merged one.
+@query("kv_metadata_shared_key", """
+SELECT id, true AS has_key, unnest(['k', 'source']) AS key, unnest([CAST(id AS VARCHAR), 'audit']) AS value
+FROM audit_logs
+""")
+def q_kv_metadata_shared_key(spark, d):
+    a = Fleet(spark, d).audit_logs.withColumn("details", F.to_json(F.struct(
+        F.col("id").cast("string").alias("k"), F.lit("feed").alias("source"))))
+    return TV.kv_ops(a, "id", "details", {"source": "audit"}, key="k")
+
+
 @query("path_rollup", """
 WITH p AS (SELECT list_filter(string_split(regexp_extract(url,
              '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: length(s) > 0) AS segs
@@ -1168,8 +1268,8 @@ def q_cache_ttl_hits(spark, d):
 SELECT r.* FROM cache_requests r
 WHERE EXISTS (SELECT 1 FROM cache_requests w
               WHERE NOT w.hit AND w.cache_key = r.cache_key AND w.ts < r.ts
-                AND w.ts >= r.ts - INTERVAL 3600 SECOND)
+                AND w.ts >= r.ts - INTERVAL 600 SECOND)
 """)
 def q_cache_ttl_hits_split4(spark, d):
     c = Fleet(spark, d).cache_requests
-    return ST.ttl_hits(c, ST.cache_fills(c), splits=4)
+    return ST.ttl_hits(c, ST.cache_fills(c), ttl_seconds=600, splits=4)

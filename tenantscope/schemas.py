@@ -56,7 +56,7 @@ CACHE_REQUESTS = _s(("request_id", L, True), ("ts", TS, True), ("db", I, True),
 BACKUPS = _s(("name", S, True), ("mtime", TS, True))
 
 TENANT_REQUESTS = _s(("friendly_name", S, True), ("owner_email", S, True),
-                     ("max_connections", I, True))
+                     ("max_connections", I, True), ("request_no", L, True))
 
 # Column length limits of the control schema (VARCHAR(n)) and NOT NULL
 # columns, per table. Fixed values of the control DDL.

@@ -66,18 +66,29 @@ def read_catalog(spark: SparkSession, path: str, snapshot_ts=None) -> DataFrame:
 POOL_COLUMNS = ["database", "user", "cl_active", "cl_waiting", "sv_active", "sv_idle", "sv_used"]
 
 
-def parse_pools(lines: DataFrame, col: str = "value", snapshot_ts=None) -> DataFrame:
-    """The pooler's ``|``-separated pool table (header, rule line,
-    rows, optional ``(n rows)`` footer) to typed columns; only data rows
-    are kept. Extra trailing columns are ignored."""
+def parse_pools(lines: DataFrame, col: str = "value", snapshot_ts=None, table: str | None = None) -> DataFrame:
+    """The pooler's ``|``-separated pool table (header, rule line, rows,
+    optional ``(n rows)`` footer) to typed columns. Columns are found by their
+    names in the header line, because poolers of different versions print
+    different columns; one that the header lacks is NULL. ``table`` names a
+    column that tells several printed tables apart (a file, a host); their
+    headers may differ. The header lines, one or few per table, are joined
+    back; rows without a header line are read in ``POOL_COLUMNS`` order."""
     v = F.col(col)
     cells = F.transform(F.split(v, r"\|"), lambda x: F.trim(x))
-    is_row = (F.instr(v, "|") > 0) & ~F.trim(v).startswith("-") \
-        & (F.trim(F.element_at(cells, 1)) != "database")
-    rows = lines.filter(is_row).select(cells.alias("c"))
-    out = rows.select(
-        F.col("c")[0].alias("pool_database"), F.col("c")[1].alias("pool_user"),
-        *[F.col("c")[i].try_cast("int").alias(n) for i, n in enumerate(POOL_COLUMNS) if i >= 2])
+    by = F.col(table) if table else F.lit(0)
+    rows = lines.filter((F.instr(v, "|") > 0) & ~F.trim(v).startswith("-")).select(by.alias("_t"), cells.alias("c"))
+    is_head = F.get(F.col("c"), F.lit(0)) == POOL_COLUMNS[0]
+    heads = rows.filter(is_head).groupBy("_t").agg(F.min("c").alias("h"))
+    usual = F.array(*map(F.lit, POOL_COLUMNS))
+    data = rows.filter(~is_head).join(heads, "_t", "left").withColumn("h", F.coalesce("h", usual))
+
+    def cell(name: str):
+        at = F.array_position("h", F.lit(name))
+        return F.when(at > 0, F.get(F.col("c"), (at - 1).cast("int")))
+
+    out = data.select(*([F.col("_t").alias(table)] if table else []), cell("database").alias("pool_database"),
+                      cell("user").alias("pool_user"), *[cell(n).try_cast("int").alias(n) for n in POOL_COLUMNS[2:]])
     return _snapshot(out, snapshot_ts)
 
 

@@ -23,29 +23,23 @@ TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"],
                "conversations": ["conv_id", "turn"], "benchmark": ["item_id"]}
 
 
+# Job setting: into how many partitions text tables are dealt when read.
+SPREAD = "spark.tenantscope.text.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_on: list[str] | None = None) -> DataFrame:
     """Read one driver table.
 
-    A text table stored as a single file with a single row group scans as
-    one task, so its per-row text work would use one core until the first
-    shuffle. Such a scan is hash-spread on its unique key over the
-    session's default parallelism (a hash exchange needs no local sort,
-    unlike round-robin); ``spread_on`` asks for the same for another table.
-    Filters and column pruning still reach the scan;
-    both are pushed through a repartition. Inputs with enough splits (many
-    files or row groups, as on a cluster) and the narrow relational tables
-    are read as they are."""
+    A text table stored as one small file scans as one task, so its per-row
+    text work would use one core until the first shuffle. A job on such files
+    sets ``SPREAD``, and text tables (and tables read with ``spread_on``) are
+    hash-dealt on their unique key over that many partitions. Without the
+    setting, as on a cluster with many files, all tables are read as they
+    are stored. Filters and column pruning reach the scan either way."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     keys = spread_on or TEXT_TABLES.get(name)
-    if keys:
-        try:
-            want = spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001  (sessions without RDD access)
-            return df
-        if splits < want:
-            df = df.repartition(want, *keys)
-    return df
+    n = spark.conf.get(SPREAD, None)
+    return df.repartition(int(n), *keys) if keys and n else df
 
 
 def _pad8(c: Column) -> Column:

@@ -13,55 +13,71 @@ from pyspark.sql import functions as F
 # user=%u,db=%d,app=%a,client=%h `` followed by ``LEVEL:  message``.
 SERVER_LOG_PATTERN = (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?) (\S+) \[(\d+)\]: "
                       r"\[(\d+)-\d+\] user=([^,]*),db=([^,]*),app=([^,]*),client=(\S*) "
-                      r"([A-Z]+):\s+(.*)$")
+                      r"([A-Z]+[0-9]?):\s+(.*)$")
 DURATION_PATTERN = r"duration: ([0-9]+(?:\.[0-9]+)?) ms"
 # API access log: ``<ISO-8601 time> <METHOD> <path>``.
 ACCESS_LOG_PATTERN = r"^(\S+) ([A-Z]+) (\S+)$"
 # Path segments that are ids (UUIDs or numbers) become ``:id``.
 ID_SEGMENT = r"/([0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]+)(?=/|$)"
+# Between the fields of a matched line (a control character no log line holds).
+SEP = "\u001f"
 # Cache INFO counters read by the monitor.
 CACHE_COUNTERS = ["keyspace_hits", "keyspace_misses", "total_commands_processed",
                   "instantaneous_ops_per_sec", "evicted_keys", "connected_clients",
                   "blocked_clients", "used_memory"]
 
 
-def parse_server_log(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Split log lines into fields; lines that do not match the prefix
-    go to the second output (``_bad``) instead of being dropped."""
-    v = F.col(col)
-    ok = F.coalesce(v.rlike(SERVER_LOG_PATTERN), F.lit(False))
+def _fields(line, pattern: str, n: int):
+    """The ``n`` groups of ``pattern`` as an array, empty where the line does
+    not match: one match a line, its groups set apart by a control character
+    that ends the text a group may hold."""
+    parts = F.split(F.regexp_replace(line, pattern, SEP.join(f"${i}" for i in range(1, n + 1)) + SEP), SEP, n + 1)
+    return F.when(F.size(parts) == n + 1, parts).otherwise(F.array().cast("array<string>"))
+
+
+def _with_fields(lines: DataFrame, col: str, pattern: str, n: int) -> DataFrame:
+    # A line that holds the separator itself cannot be told apart: it is bad.
+    fields = F.when(F.instr(F.coalesce("_line", F.lit("")), SEP) == 0, _fields(F.col("_line"), pattern, n))
+    # The generator keeps the match in one place: no filter above can copy it.
+    return lines.select(F.col(col).alias("_line")).select("_line", F.explode(F.array(fields)).alias("_f"))
+
 
-    def g(i):
-        return F.regexp_extract(v, SERVER_LOG_PATTERN, i)
+def _ntz(text, *formats: str):
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
-    good = lines.filter(ok).select(
-        F.to_timestamp(g(1), "yyyy-MM-dd HH:mm:ss[.SSSSSS]").cast("timestamp_ntz").alias("ts"),
-        g(2).alias("tz"), g(3).cast("bigint").alias("pid"), g(4).cast("bigint").alias("line_no"),
-        g(5).alias("usr"), g(6).alias("db"), g(7).alias("app"), g(8).alias("client"),
-        g(9).alias("level"), g(10).alias("message"),
-        F.regexp_extract(g(10), DURATION_PATTERN, 1).try_cast("double").alias("duration_ms"))
-    bad = lines.filter(~ok).select(v.alias("_bad"))
-    return good, bad
+
+def parse_server_log(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Split log lines into fields. Lines that do not match the prefix, or
+    whose time, process or line number is no such value, go to the second
+    output (``_bad``) instead of being dropped or ending the job."""
+    f = lambda i: F.get(F.col("_f"), F.lit(i - 1))
+    parsed = _with_fields(lines, col, SERVER_LOG_PATTERN, 10).select(
+        "_line", _ntz(f(1), "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"),
+        f(2).alias("tz"), f(3).try_cast("bigint").alias("pid"), f(4).try_cast("bigint").alias("line_no"),
+        f(5).alias("usr"), f(6).alias("db"), f(7).alias("app"), f(8).alias("client"),
+        f(9).alias("level"), f(10).alias("message"),
+        F.regexp_extract(f(10), DURATION_PATTERN, 1).try_cast("double").alias("duration_ms"))
+    ok = F.col("ts").isNotNull() & F.col("pid").isNotNull() & F.col("line_no").isNotNull()
+    return parsed.filter(ok).drop("_line"), parsed.filter(~ok).select(F.col("_line").alias("_bad"))
 
 
 def read_server_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_server_log(spark.read.text(path))
 
 
-def parse_access_log(lines: DataFrame, col: str = "value") -> DataFrame:
+def parse_access_log(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """``ISO METHOD path`` lines to ts, method, path and route (ids in
-    the path replaced by ``:id``)."""
-    v = F.col(col)
-    ok = lines.filter(v.rlike(ACCESS_LOG_PATTERN))
-    path = F.regexp_extract(v, ACCESS_LOG_PATTERN, 3)
-    return ok.select(
-        F.to_timestamp(F.regexp_extract(v, ACCESS_LOG_PATTERN, 1),
-                       "yyyy-MM-dd'T'HH:mm:ss.SSSX").cast("timestamp_ntz").alias("ts"),
-        F.regexp_extract(v, ACCESS_LOG_PATTERN, 2).alias("method"), path.alias("path"),
-        F.regexp_replace(path, ID_SEGMENT, "/:id").alias("route"))
-
-
-def read_access_log(spark: SparkSession, path: str) -> DataFrame:
+    the path replaced by ``:id``); other lines, and lines whose first word is
+    no time, go to the second output (``_bad``)."""
+    f = lambda i: F.get(F.col("_f"), F.lit(i - 1))
+    parsed = _with_fields(lines, col, ACCESS_LOG_PATTERN, 3).select(
+        "_line", _ntz(f(1), "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX").alias("ts"),
+        f(2).alias("method"), f(3).alias("path"), F.regexp_replace(f(3), ID_SEGMENT, "/:id").alias("route"))
+    ok = F.col("ts").isNotNull()
+    return parsed.filter(ok).drop("_line"), parsed.filter(~ok).select(F.col("_line").alias("_bad"))
+
+
+def read_access_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_access_log(spark.read.text(path))
 
 

@@ -70,6 +70,9 @@ def connection_rate(conns: DataFrame, window: str = RATE_WINDOW, slide: str = RA
 # ---------------------------------------------------------------------------
 def sessions(conns: DataFrame, gap: str = SESSION_GAP, key: str = "database_id",
              late: str | None = LATE_AFTER) -> DataFrame:
+    # Sessions are merged inside each map task first, so a busy tenant sends
+    # its sessions to one task, not its events.
+    conns.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     e = event_time(conns, "ts")
     if conns.isStreaming and late:
         e = e.withWatermark("event_time", late)
@@ -96,13 +99,15 @@ def ttl_hits_stream(reads: DataFrame, writes: DataFrame, ttl_seconds: int = CACH
 
 
 def ttl_hits(reads: DataFrame, writes: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS,
-             key: str = "cache_key", ts: str = "ts", splits: int = 1) -> DataFrame:
+             key: str = "cache_key", ts: str = "ts", splits: int = 12) -> DataFrame:
     """Batch twin of ``ttl_hits_stream`` as an as-of lookup, linear and
     skew-safe: time is cut into chunks of ``ttl_seconds / splits``; a
     read's latest earlier write is either earlier in its own (key, chunk)
     (a running max over a bounded window) or the latest write of one of
     the ``splits`` chunks before (a per-chunk aggregate shipped forward).
-    A read hits when that write is at most ``ttl_seconds`` old."""
+    A read hits when that write is at most ``ttl_seconds`` old. A NULL key
+    equals no key, so its reads never hit."""
+    reads, writes = (t.filter(F.col(key).isNotNull()) for t in (reads, writes))
     width = ttl_seconds // splits
     if width * splits != ttl_seconds:
         raise ValueError("splits must divide ttl_seconds")

@@ -138,7 +138,9 @@ def test_text_readers(spark, tmp_path):
     p.write_text("2024-01-01T10:00:00.123Z GET /api/databases\n"
                  "2024-01-01T10:00:01.000Z DELETE /api/databases/1a2b3c4d-0000-1111-2222-333344445555/whitelist/42\n"
                  "garbage\n")
-    r = [(x["method"], x["route"]) for x in logs.read_access_log(spark, str(p)).collect()]
+    good, bad = logs.read_access_log(spark, str(p))
+    assert [x["_bad"] for x in bad.collect()] == ["garbage"]
+    r = [(x["method"], x["route"]) for x in good.collect()]
     assert r == [("GET", "/api/databases"), ("DELETE", "/api/databases/:id/whitelist/:id")]
     info = tmp_path / "info"
     info.mkdir()

@@ -5,10 +5,12 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import plan_text
+import __spark_entry__ as E
+from conftest import SF_SMALL, plan_text
 from tenantscope.operators import ranking, text_vector as TV, windows as W
 
 
@@ -30,11 +32,22 @@ def test_row_number_within_equals_plain(spark):
     df = _skewed_stats(spark)
     want = df.withColumn("rn", F.row_number().over(
         Window.partitionBy("database_id").orderBy("total_queries")))
-    for hot_rows in (100, 0, 10 ** 6):  # tenant 1 hot / all chunked / none
-        got = ranking.row_number_within(df, ["database_id"], "total_queries", out="rn",
-                                        chunk_width=16, hot_rows=hot_rows)
+    for width in (1, 16, 10 ** 6):
+        got = ranking.row_number_within(df, ["database_id"], "total_queries", out="rn", chunk_width=width, total="n")
         assert sorted(map(tuple, got.select("total_queries", "rn").collect())) == \
-            sorted(map(tuple, want.select("total_queries", "rn").collect())), hot_rows
+            sorted(map(tuple, want.select("total_queries", "rn").collect())), width
+        sizes = {r[0]: r[1] for r in df.groupBy("database_id").count().collect()}
+        assert {(r["database_id"], r["n"]) for r in got.collect()} == set(sizes.items())
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_row_number_keeps_null_keys_and_groups(spark, descending):
+    df = spark.createDataFrame([("a", None), ("a", 5), ("a", 9), (None, 1), (None, None), ("b", 70000), ("b", 3)], "g string, k long")
+    order = F.col("k").desc() if descending else F.col("k")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(order)))
+    for width in (1, 4, 1 << 16):
+        got = ranking.row_number_within(df, ["g"], "k", chunk_width=width, descending=descending)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
 def test_size_growth_and_rolling_equal_plain_windows(spark):
@@ -45,14 +58,32 @@ def test_size_growth_and_rolling_equal_plain_windows(spark):
                       F.round(F.avg("active_connections").over(w.rowsBetween(-6, 0)), 4).alias("ra"),
                       F.max("active_connections").over(w.rowsBetween(-6, 0)).alias("rm"))
     want = {r[0]: tuple(r[1:]) for r in plain.collect()}
-    # hot_rows=100: tenant 1 (two thirds of the rows) takes the chunked
-    # path, the others the plain window; 0: every tenant is chunked.
-    for hot_rows in (100, 0, 10 ** 6):
-        g = {r["total_queries"]: r["prev_size"] for r in W.size_growth(df, hot_rows=hot_rows).collect()}
+    for chunk in (None, F.date_trunc("MONTH", F.col("recorded_at")), F.lit(0)):
+        g = {r["total_queries"]: r["prev_size"] for r in W.size_growth(df, chunk=chunk).collect()}
         rc = {r["total_queries"]: (r["rolling_avg"], r["rolling_max"])
-              for r in W.rolling_connections(df, hot_rows=hot_rows).collect()}
-        assert g == {k: v[0] for k, v in want.items()}, hot_rows
-        assert rc == {k: (v[1], v[2]) for k, v in want.items()}, hot_rows
+              for r in W.rolling_connections(df, chunk=chunk).collect()}
+        assert g == {k: v[0] for k, v in want.items()}
+        assert rc == {k: (v[1], v[2]) for k, v in want.items()}
+
+
+def test_windows_take_null_times_tenants_and_values(spark):
+    rows = [(1, 7, 10, 5, None), (2, 7, 20, None, "2024-01-01 00:00:00"), (3, 7, None, 8, "2024-01-01 00:00:00"),
+            (4, 7, 50, 1, "2024-01-01 05:30:00"), (5, None, 1, 2, None), (6, None, 2, 4, "2024-03-01 00:00:00"), (7, 7, 60, None, None)]
+    df = spark.createDataFrame([(*r[:4], 0, r[4]) for r in rows], "total_queries long, database_id long, size_bytes long, "
+                               "active_connections int, seq int, at string").withColumn("recorded_at", F.col("at").cast("timestamp_ntz")).drop("at")
+    w = Window.partitionBy("database_id").orderBy(*W.STATS_ORDER)
+    want = {r[0]: tuple(r[1:]) for r in df.select(
+        "total_queries", F.lag("size_bytes").over(w), F.round(F.avg("active_connections").over(w.rowsBetween(-2, 0)), 4),
+        F.max("active_connections").over(w.rowsBetween(-2, 0)), F.count("*").over(w.rowsBetween(-2, 0))).collect()}
+    grown = {r["total_queries"]: r["prev_size"] for r in W.size_growth(df).collect()}
+    rolled = {r["total_queries"]: (r["rolling_avg"], r["rolling_max"], r["window_rows"]) for r in W.rolling_connections(df, rows=3).collect()}
+    assert grown == {k: v[0] for k, v in want.items()} and rolled == {k: v[1:] for k, v in want.items()}
+
+
+def test_windows_and_rules_scan_their_input_at_most_twice(spark):
+    q = E.queries()
+    for name, most in (("size_growth", 2), ("rolling_connections", 2), ("access_rules", 4), ("admit_intended", 10)):
+        assert plan_text(q[name](spark, SF_SMALL)).count("FileScan") <= most, name
 
 
 def _py_trigrams(text):
