@@ -236,5 +236,30 @@ def op10_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return h.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                    (F.size("hits") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
-
+                    (F.size("hits") > 0).alias("contaminated"))
+
+
+
+#: Without proximity matches, which have no contract of their own.
+ORACLE = r"""
+WITH words AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS MATERIALIZED (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM words),
+item AS MATERIALIZED (
+  SELECT DISTINCT id, len(w[i:i + 9]) AS n, array_to_string(w[i:i + 9], ' ') AS g
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM w WHERE kind = 1 AND len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM item),
+hit AS MATERIALIZED (
+  SELECT DISTINCT p.doc_id, i, item.n, item.id AS item_id
+  FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT d.id AS doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w d, sizes WHERE kind = 0)) p
+  JOIN item ON item.n = p.n AND item.g = p.g),
+place AS (SELECT DISTINCT doc_id, p FROM hit, unnest(range(i, i + n)) t(p)),
+n_hit AS (SELECT doc_id, count(*) AS n FROM place GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN n_hit h ON h.doc_id = w.id LEFT JOIN items t ON t.doc_id = w.id WHERE w.kind = 0"""

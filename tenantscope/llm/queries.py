@@ -20,8 +20,8 @@ def _over(fn, *names: str):
 
 
 QUERIES = {
-    "op1_suffix_array_dedup": (_over(suffix_dedup.op1_suffix_array_dedup, "documents"), None),
-    "op2_ngram_jaccard_join": (_over(ngram_jaccard.op2_ngram_jaccard_join, "documents"), None),
+    "op1_suffix_array_dedup": (_over(suffix_dedup.op1_suffix_array_dedup, "documents"), suffix_dedup.ORACLE),
+    "op2_ngram_jaccard_join": (_over(ngram_jaccard.op2_ngram_jaccard_join, "documents"), ngram_jaccard.ORACLE),
     "op3_token_output": (_over(token_output.op3_token_output, "documents"), None),
     "op4_url_filters": (_over(url_filters.op4_url_filters, "pages"), url_filters.ORACLE),
     "op5_nearest_neighbours": (_over(ann.op5_nearest_neighbours, "embeddings"), None),
@@ -29,6 +29,6 @@ QUERIES = {
     "op7_best_fit_packing": (_over(packing.op7_best_fit_packing, "documents"), None),
     "op8_html_extraction": (_over(html_text.op8_html_extraction, "pages"), None),
     "op9_language_id": (_over(language_id.op9_language_id, "documents"), None),
-    "op10_decontamination": (_over(decontam.op10_decontamination, "documents", "benchmark"), None),
+    "op10_decontamination": (_over(decontam.op10_decontamination, "documents", "benchmark"), decontam.ORACLE),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -230,3 +230,23 @@ def op1_suffix_array_dedup(docs: DataFrame) -> DataFrame:
                     F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed"),
                     F.size("spans").cast("long").alias("n_spans"),
                     F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS MATERIALIZED (SELECT doc_id, b, substring(h, 2 * b + 1, 2 * (256 + 99)) AS h
+      FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 256)) AS b FROM d)),
+w AS (SELECT doc_id, b + k AS s, md5(substring(h, 2 * k + 1, 200)) AS g
+      FROM (SELECT doc_id, b, h, unnest(range(0, length(h) // 2 - 99)) AS k FROM block)),
+rep AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+cut AS (SELECT *, s > lag(s, 1, -1000) OVER (PARTITION BY doc_id ORDER BY s) + 100 AS new FROM rep),
+run AS (SELECT doc_id, s, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM cut),
+span AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM run GROUP BY doc_id, k),
+part AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+gone AS (SELECT p.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+                string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+         FROM part p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)"""
