@@ -1273,3 +1273,6 @@ WHERE EXISTS (SELECT 1 FROM cache_requests w
 def q_cache_ttl_hits_split4(spark, d):
     c = Fleet(spark, d).cache_requests
     return ST.ttl_hits(c, ST.cache_fills(c), ttl_seconds=600, splits=4)
+
+
+from tenantscope.plans import roundtrips  # noqa: E402, F401

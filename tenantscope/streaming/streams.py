@@ -190,3 +190,16 @@ def run_available_to(df: DataFrame, path: str, checkpoint: str, fmt: str = "parq
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def run_complete_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run an aggregating stream over everything available and keep its whole
+    result as a table: each micro-batch overwrites it (idempotent on retry).
+    Windows that are still open count too."""
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = (df.writeStream.outputMode("complete").foreachBatch(keep)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
