@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenantscope.llm import decontam, language_id, ngram_jaccard, packing, secret_scan
@@ -24,14 +24,22 @@ from tenantscope.session import shared_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _apart(docs: DataFrame, names: set[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its own columns of these names out of an operator's way,
+    and the columns that bring all of ``docs`` back under its names."""
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c in names}
+    return docs.withColumnsRenamed(own), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts without a letter and texts that are unlike every language:
     further from the nearest profile than ``language_id.REJECT_DISTANCE``.
     Profiles are learned from the documents of ``docs`` that are not held out."""
     learned = language_id.profiles(docs.where(~language_id.held_out()))
-    judged = language_id.predict(docs, learned)
+    src, own = _apart(docs, {"lang_pred", "score", "distance"})
+    judged = language_id.predict(src, learned)
     return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("distance") <= language_id.REJECT_DISTANCE)) \
-        .select(*docs.columns)
+        .select(*own)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +51,19 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.benchmark_hits(docs, items, near_terms=0).where(F.size("hits") == 0).select(*docs.columns)
+    src, own = _apart(docs, {"n_words", "hits", "items", "near_items"})
+    return decontam.benchmark_hits(src, items, near_terms=0).where(F.size("hits") == 0).select(*own)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask every secret; n_chars follows the new text."""
-    found = secret_scan.find_secrets(docs, secret_scan.fit(docs))
+    src, own = _apart(docs, {"secrets"})
+    found = secret_scan.find_secrets(src, secret_scan.fit(docs))
     masked = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("secrets")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         masked = masked.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return masked.select(*docs.columns)
+    return masked.select(*own)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,18 @@ def test_run(spark, sf_dir):
     test_op7.check([(r.doc_id, r.text) for r in rows.collect()], placed, 2048, 0)
 
 
+def test_columns_with_the_operators_names_come_through(spark, docs, sf_dir):
+    names = ["lang_pred", "score", "distance", "n_words", "hits", "items", "near_items", "secrets", "mark", "home", "hash", "component_id"]
+    some = docs.where("doc_id < 60 or doc_id > 90000 or doc_id is null")
+    wide = some.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("source"), F.lit(""))) for n in names})
+    for _, stage in P.STAGES[:-1]:
+        plain, got = stage(spark, some, sf_dir), stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns
+        assert read(got.select(*some.columns)) == read(plain)
+        assert all(r[n] == n + (r.source or "") for r in got.collect() for n in names)
+    assert P.pack(spark, wide, sf_dir).count() == P.pack(spark, some, sf_dir).count()
+
+
 def test_empty_table(spark, sf_dir):
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
