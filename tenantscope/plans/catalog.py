@@ -1110,6 +1110,24 @@ def q_trigram_benchmark_docs(spark, d):
                            "doc_id", "text", TRGM_BENCH_T)
 
 
+@query("trigram_benchmark_docs_close", f"""
+WITH ga AS {_grams_sql('benchmark', 'item_id')},
+gb AS {_grams_sql('documents', 'doc_id')},
+na AS (SELECT rid, COUNT(*) AS n FROM ga GROUP BY rid),
+nb AS (SELECT rid, COUNT(*) AS n FROM gb GROUP BY rid),
+sh AS (SELECT ga.rid AS a, gb.rid AS b, COUNT(*) AS shared FROM ga JOIN gb ON ga.g = gb.g
+       GROUP BY 1, 2)
+SELECT sh.a AS item_id, sh.b AS doc_id, shared, na.n AS a_grams, nb.n AS b_grams,
+  round(shared / (na.n + nb.n - shared), 6) AS similarity
+FROM sh JOIN na ON na.rid = sh.a JOIN nb ON nb.rid = sh.b
+WHERE 5 * shared >= 2 * (na.n + nb.n - shared)
+""")
+def q_trigram_benchmark_docs_close(spark, d):
+    f = Fleet(spark, d)
+    return TV.trigram_join(f.raw("benchmark"), f.raw("documents"), "item_id", "text",
+                           "doc_id", "text", 0.4, method="prefix")
+
+
 @query("trigram_near_duplicates", f"""
 WITH t AS MATERIALIZED (SELECT rid, list_sort(list(g)) AS s, COUNT(*) AS n FROM {_grams_sql('documents', 'doc_id')} GROUP BY rid),
 p AS (SELECT a.rid AS a_doc_id, b.rid AS b_doc_id, len(list_intersect(a.s, b.s)) AS shared, a.n AS a_grams, b.n AS b_grams
