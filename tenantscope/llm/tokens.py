@@ -95,7 +95,20 @@ class Encoder:
         if not self.by_word:
             return [np.array(self.tok.encode(t or "", add_special_tokens=False).ids, self.dtype).tobytes() for t in texts]
         get = self.words.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
+        return [b"".join([b"".join(map(get, p.replace("\n", " ").split(" "))) for p in _stretches(t)]) if t else b""
+                for t in texts]
+
+
+def _stretches(text: str, limit: int = 1 << 20):
+    """A long text in stretches of about ``limit`` characters, cut at blanks."""
+    at = 0
+    while len(text) - at > limit:
+        cut = text.find(" ", at + limit)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:] if at else text
 
 
 def _words_apart(spec: dict) -> bool:

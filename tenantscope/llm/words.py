@@ -22,25 +22,44 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_table(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_table(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray,
+               limit: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of the documents in ``data`` (UTF-8, bounds in ``offsets``), A-Z
     lower-cased: hash of each word, its document, and words per document.
-    Words never cross documents."""
+    Words never cross documents. Longer data is read in pieces of about
+    ``limit`` bytes, cut between words."""
+    hashes, firsts, lo = [], [], 0
+    while lo < len(data):
+        hi = min(len(data), lo + limit)
+        while hi < len(data) and is_word[data[hi]]:  # to the end of the word
+            gap = np.flatnonzero(~is_word[data[hi:hi + limit]])
+            hi = hi + int(gap[0]) if len(gap) else min(len(data), hi + limit)
+        h, first = _words(data[lo:hi], offsets[(offsets >= lo) & (offsets <= hi)] - lo, is_word)
+        hashes.append(h)
+        firsts.append(first + lo)
+        lo = hi
+    first = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+    doc = np.searchsorted(offsets, first, "right") - 1
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), doc,
+            np.bincount(doc, minlength=len(offsets) - 1))
+
+
+def _words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word; ``bounds`` are places no word crosses."""
     low = _LOWER[data]
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = is_word[low]
     start = np.empty(len(data) + 1, bool)
     start[0] = True
     start[1:] = ~inside[:-1]
-    start[offsets] = True
+    start[bounds] = True
     first = np.flatnonzero(start & inside)
-    # A word ends before the first byte that is not its own, or at the bound.
+    # A word ends before the first byte that is not its own, or at a bound.
     stop = ~inside
-    stop[offsets] = True
+    stop[bounds] = True
     stops = np.flatnonzero(stop)
     end = stops[np.searchsorted(stops, first, "right")]
-    doc = np.searchsorted(offsets, first, "right") - 1
-    return PrefixHash(low).spans(first, end), doc, np.bincount(doc, minlength=len(offsets) - 1)
+    return PrefixHash(low).spans(first, end), first
 
 
 def doc_slices(offsets: np.ndarray, limit: int = 1 << 20):

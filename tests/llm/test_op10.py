@@ -80,3 +80,16 @@ def test_query_and_empty_tables(spark, sf_dir):
     assert digest(op10_decontamination(docs, bench)) == want
     assert not digest(op10_decontamination(docs.limit(0), bench))
     assert not any(r[5] for r in digest(op10_decontamination(docs, bench.limit(0))))
+
+
+def test_long_texts_are_read_in_pieces():
+    from tenantscope.llm.blobs import text_buffer
+    from tenantscope.llm.words import ALNUM, SPACED, word_table
+    import pyarrow as pa
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab C.é\n") for _ in range(n)) for n in (0, 500, 3, 0, 700, 1)] + ["x" * 300, "", " "]
+    off, data = text_buffer(pa.array(texts))
+    for table in (ALNUM, SPACED):
+        whole = word_table(data, off, table)
+        for limit in (1, 7, 64):
+            assert all((a == b).all() for a, b in zip(whole, word_table(data, off, table, limit), strict=True))

@@ -29,6 +29,16 @@ def test_word_cache_gives_the_library_s_ids(tok, sf_dir, spark):
         assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
 
 
+def test_long_texts_are_encoded_in_stretches(tok):
+    from tenantscope.llm.tokens import _stretches
+    text = "The cat, it's naïve\n\n ok  " * 40 + "x" * 300 + " end "
+    for limit in (1, 10, 100):
+        assert " ".join(_stretches(text, limit)) == text
+    enc = Encoder(default_path())
+    long = text * 900
+    assert np.frombuffer(enc.encode([long])[0], enc.dtype).tolist() == tok.encode(long, add_special_tokens=False).ids
+
+
 def test_round_trip(spark, tok, tmp_path):
     rows = [(i * 7 % 13 - 3, t, "x") for i, t in enumerate(TEXTS)] + [(None, "null id", "x"), (4, TEXTS[0], "x"), (4, TEXTS[0], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(3)
