@@ -5,22 +5,24 @@ are put into groups, each group stores the union of its members' tokens, and a
 set is compared with a group's members only if its overlap with that union
 (counted through the sparse token-group matrix) leaves a link possible.
 
-1. *Signatures.* Sets that link differ in so few tokens that of a fixed number
-   of parts of them at least one is equal (see ``SizeClasses``). Hashes of the
-   parts are counted over the corpus. A set with no part in common with
-   another set links with nothing but its equals and goes no further: in most
-   corpora that is nearly all of them, and their tokens never leave the task.
-2. *Groups.* Every other set joins the group of its most frequent part, so near
-   copies meet. Groups are cut into chunks of bounded token count.
-3. *Candidates.* A set visits the groups of sets that it shares a part with,
-   its own and those of more frequent parts, so each pair meets once.
+1. *Prefixes.* Tokens are counted over all sets and put in one order, rarest
+   first. Sets of sizes that may link share a token among the first
+   ``n - ceil(num * n / den) + 1`` of each. A set none of whose prefix tokens is
+   in another set links with nothing but its equals and goes no further: in
+   most corpora that is nearly all of them, and their tokens never leave the
+   task but for the count. The count is kept by 40 bits of a token's hash; a
+   collision moves tokens in the order, the same way for all sets.
+2. *Groups.* Every other set joins the group of its most frequent prefix token,
+   so near copies meet. Groups are cut into chunks of bounded token count.
+3. *Candidates.* A set visits the groups of sets that it shares a prefix token
+   with, its own and those of more frequent tokens, so each pair meets once.
 4. *Matrix.* In each (chunk, block of visitors) cell the members are dealt into
    subgroups; the matrix of tokens by subgroup bounds each visitor's overlap,
    and only qualifying subgroups are opened and their members counted exactly.
    A cell returns stars, one row per set that it linked, never pairs.
 5. *Components* of the stars.
 
-No link is lost: the parts are a pigeonhole bound and every later step is exact.
+No link is lost: the prefixes are a bound and every later step is exact.
 """
 
 from __future__ import annotations
@@ -35,95 +37,89 @@ from tenantscope.session import shared_path
 from .blobs import PACKED, n_parts, pack, part_of, replies_to, statuses, text_buffer, unpack
 from .components import connected_components
 from .rolling import ranges
-from .shingles import SizeClasses, set_mark, shingle_sets
+from .shingles import set_mark, shingle_sets
 
 #: Tokens of a chunk of a group, and visitors of a cell, at most (about).
 CHUNK_TOKENS = 1 << 19
 CELL_VISITORS = 4096
 #: Members of a subgroup, a column of the token-group matrix.
 SUBGROUP = 32
-_RECORD = ("<u8", "<u8", "<u4")  # signature, set (0: several), how many
+_RECORD = ("<u4", "u1", "<u4")  # a token's hash (40 bits in two fields), sets that hold it
 _SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("mark", pa.int64()),
-                   ("home", pa.int64()), ("home_sets", pa.int64()), ("home_size", pa.int64()),
-                   ("shared", pa.list_(pa.int64())), ("tokens", pa.binary())])
-_SETS_SQL = ("doc_id long, text_hash long, n_shingles long, mark long, home long, home_sets long, home_size long, "
+                   ("home", pa.int64()), ("home_sets", pa.int64()), ("shared", pa.list_(pa.int64())), ("tokens", pa.binary())])
+_SETS_SQL = ("doc_id long, text_hash long, n_shingles long, mark long, home long, home_sets long, "
              "shared array<long>, tokens binary")
 
 
 class _Part:
-    """The distinct sets of one part and their signatures."""
+    """The distinct sets of one part and their tokens."""
 
-    def __init__(self, table: pa.Table, words: int, classes: SizeClasses):
-        self.table = table
+    def __init__(self, table: pa.Table, words: int, buckets: int):
         sets = shingle_sets(*text_buffer(table.column("__text")), words)
         self.size = np.array([len(s) for s in sets], np.int64)
         self.mark = np.array([set_mark(s) for s in sets], np.uint64)
         _, first = np.unique(self.mark, return_index=True)
         self.first = first[self.size[first] > 0]
         self.sets = [sets[i] for i in self.first]
-        own, sig, klass = classes.signatures(self.sets)
-        order = np.lexsort((own, sig))
-        self.own, self.sig, self.klass = own[order], sig[order], klass[order]
-        new = np.append(True, self.sig[1:] != self.sig[:-1])[:len(self.sig)]
-        at = np.flatnonzero(new)
-        self.count = np.diff(np.append(at, len(self.sig)))
-        self.record = np.cumsum(new) - 1
-        self.signatures = self.sig[at]
-        one = self.mark[self.first[self.own[at]]] if len(at) else self.signatures
-        self.sets_of = np.where(self.count > 1, np.uint64(0), one)
+        flat = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
+        # One record per distinct 40-bit hash; ``record`` leads from a token to it.
+        short, self.record, self.count = np.unique(flat >> np.uint64(24), return_inverse=True, return_counts=True)
+        self.short, self.flat = short, flat
+        self.bucket = (short % np.uint64(buckets)).astype(np.int64)
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return ((self.short >> np.uint64(8)).astype("<u4"), self.short.astype("u1"), self.count.astype("<u4"))
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Answer each signature with the number of its sets, if it has several."""
+    """Answer each token with the number of sets that hold it, if several."""
     table = table.combine_chunks()
-    row, (sig, mark, n) = unpack(table, _RECORD)
-    order = np.lexsort((mark, sig))
-    s, m = sig[order], mark[order]
-    at = np.flatnonzero(np.append(True, s[1:] != s[:-1])[:len(s)])
+    row, (high, low, n) = unpack(table, _RECORD)
+    token = (high.astype(np.uint64) << np.uint64(8)) | low
+    order = np.argsort(token, kind="stable")
+    t = token[order]
+    at = np.flatnonzero(np.append(True, t[1:] != t[:-1])[:len(t)])
     if not len(at):
         return replies_to(table, row, np.zeros(0, np.uint32))
-    size = np.diff(np.append(at, len(s)))
-    shared = (np.minimum.reduceat(m, at) != np.maximum.reduceat(m, at)) | (m[at] == 0)
     total = np.minimum(np.add.reduceat(n[order].astype(np.int64), at), (1 << 32) - 1)
-    answer = np.zeros(len(s), np.uint32)
-    answer[order] = np.repeat(np.where(shared, total, 0), size)
+    answer = np.zeros(len(t), np.uint32)
+    answer[order] = np.repeat(np.where(total > 1, total, 0), np.diff(np.append(at, len(t))))
     return replies_to(table, row, answer)
 
 
 def _set_rows(docs: DataFrame, words: int, num: int, den: int, part_bytes: int | None) -> DataFrame:
-    """Step 1: one row per document; sets that share a part with another set
-    carry their tokens (once per part), shared signatures and home group."""
-    classes = SizeClasses(num, den)
+    """Step 1: one row per document; sets whose prefix holds a token of another
+    set carry their tokens (once per part), those tokens and their home group."""
     parts = n_parts(docs, "__text", *([part_bytes] if part_bytes else []))
     src = docs.withColumn("__hash", F.xxhash64("__text")).withColumn("__part", part_of(F.struct("__doc", "__hash"), parts))
 
     def records(key, table):
-        s = _Part(table, words, classes)
-        return pack((s.signatures % np.uint64(parts)).astype(np.int64), key[0].as_py(),
-                    (s.signatures.astype("<u8"), s.sets_of.astype("<u8"), s.count.astype("<u4")))
+        s = _Part(table, words, parts)
+        return pack(s.bucket, key[0].as_py(), s.columns())
 
     def rows(key, table, replies):
         if not table.num_rows:
             return _SETS.empty_table()
-        s = _Part(table, words, classes)
-        answer = statuses(replies, (s.signatures % np.uint64(parts)).astype(np.int64), len(s.signatures)).astype(np.int64)
-        n = np.where(answer[s.record] > 0, answer[s.record], 0)
-        live = np.flatnonzero(n)
-        # The home of a set: its most frequent shared part (ties: by hash).
-        order = live[np.lexsort((s.sig[live], -n[live], s.own[live]))]
-        own = s.own[order]
+        s = _Part(table, words, parts)
+        held = np.maximum(statuses(replies, s.bucket, len(s.short)).astype(np.int64), 1)[s.record]
+        size = s.size[s.first]
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((s.flat, held, owner))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        prefix = size - -(-num * size // den) + 1
+        live = order[(place < prefix[owner]) & (held[order] > 1)]
+        # The home of a set: its most frequent shared prefix token (the last).
+        own = owner[live]
         at = np.flatnonzero(np.append(True, own[1:] != own[:-1])[:len(own)])
-        signed = s.sig.view(np.int64)
-        blank = [None] * table.num_rows
-        home, home_sets, home_size, shared, tokens = (list(blank) for _ in range(5))
-        for a, b in zip(at.tolist(), np.append(at[1:], len(order))[:len(at)].tolist(), strict=True):
+        signed = s.flat.view(np.int64)
+        home, home_sets, shared, tokens = ([None] * table.num_rows for _ in range(4))
+        for a, b in zip(at.tolist(), np.append(at[1:], len(live))[:len(at)].tolist(), strict=True):
             i = int(s.first[own[a]])
-            home[i], home_sets[i] = int(signed[order[a]]), int(n[order[a]])
-            home_size[i] = int(classes.upper[s.klass[order[a]]])
-            shared[i] = signed[order[a:b]].tolist()
+            home[i], home_sets[i] = int(signed[live[b - 1]]), int(held[live[b - 1]])
+            shared[i] = signed[live[a:b]].tolist()
             tokens[i] = s.sets[own[a]].astype("<u8").tobytes()
-        return pa.table([table.column("__doc"), table.column("__hash"), pa.array(s.size), pa.array(s.mark.view(np.int64)), pa.array(home, pa.int64()),
-                         pa.array(home_sets, pa.int64()), pa.array(home_size, pa.int64()),
+        return pa.table([table.column("__doc"), table.column("__hash"), pa.array(s.size), pa.array(s.mark.view(np.int64)),
+                         pa.array(home, pa.int64()), pa.array(home_sets, pa.int64()),
                          pa.array(shared, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], schema=_SETS)
 
     by_part = src.groupBy("__part")
@@ -227,24 +223,22 @@ def jaccard_classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     _set_rows(src, words, num, den, part_bytes).write.parquet(path)
     rows = spark.read.parquet(path)
     sets = rows.where("n_shingles > 0").groupBy("mark").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    live = rows.where("home is not null").select("mark", "home", "home_sets", "home_size", "shared", "tokens")
+    live = rows.where("home is not null").select("mark", "n_shingles", "home", "home_sets", "shared", "tokens")
     live = live.dropDuplicates(["mark"]).join(sets.select("mark", "copies"), "mark")
-    # Step 3. A group is known by its part, how frequent that is, and the size
-    # its sets have at most.
-    of = live.select("mark", "home", "home_sets", "home_size", F.explode("shared").alias("sig"))
-    groups = of.select("sig", F.struct("home_sets", "home", "home_size").alias("g")).distinct()
-    visits = of.select("mark", "sig", F.struct("home_sets", "home", "home_size").alias("own")).join(groups, "sig") \
-        .where("g.home_sets > own.home_sets or (g.home_sets = own.home_sets and g.home >= own.home)") \
-        .select("mark", "g", (F.col("g.home") == F.col("own.home")).alias("inside")).distinct()
-    chunks = F.ceil(F.col("g.home_sets") * F.col("g.home_size") / F.lit(chunk_tokens)).cast("long")
-    blocks = F.greatest(F.ceil(F.col("g.home_sets") / F.lit(cell_visitors)).cast("long"), F.lit(1).cast("long"))
-    dealt = visits.withColumn("chunks", chunks).withColumn("blocks", blocks) \
-        .withColumn("at", F.pmod("mark", "chunks")).withColumn("block", F.pmod(F.xxhash64("mark"), "blocks"))
+    # Step 3. A group is known by its token; its sizes say how it is cut.
+    of = live.select("mark", F.struct("home_sets", "home").alias("own"), F.explode("shared").alias("token"))
+    groups = of.select("token", F.col("own").alias("g")).distinct()
+    visits = of.join(groups, "token").where("g >= own") \
+        .select("mark", F.col("g.home").alias("home"), (F.col("g") == F.col("own")).alias("inside")).distinct()
+    cut = live.groupBy("home").agg(F.ceil(F.sum("n_shingles") / F.lit(chunk_tokens)).cast("long").alias("chunks"),
+                                   F.ceil(F.count("*") / F.lit(cell_visitors)).cast("long").alias("blocks"))
+    dealt = visits.join(cut, "home").withColumn("at", F.pmod("mark", "chunks")) \
+        .withColumn("block", F.pmod(F.xxhash64("mark"), "blocks"))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    members = dealt.where("inside").select("mark", "g.home", F.col("at").alias("chunk"), F.explode(numbers(F.col("blocks"))).alias("block"),
+    members = dealt.where("inside").select("mark", "home", F.col("at").alias("chunk"), F.explode(numbers(F.col("blocks"))).alias("block"),
                                            F.lit(True).alias("member"))
     # Inside its group a set visits the chunks before its own, elsewhere all.
-    guests = dealt.select("mark", "g.home", F.explode(F.filter(numbers(F.col("chunks")), lambda c: ~F.col("inside") | (c < F.col("at")))).alias("chunk"),
+    guests = dealt.select("mark", "home", F.explode(F.filter(numbers(F.col("chunks")), lambda c: ~F.col("inside") | (c < F.col("at")))).alias("chunk"),
                           "block", F.lit(False).alias("member"))
     cells = members.unionByName(guests).join(live.select("mark", "copies", "tokens"), "mark")
     stars = f"{path}-stars"

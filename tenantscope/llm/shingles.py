@@ -1,4 +1,4 @@
-"""Word-shingle sets of many texts at once and their part signatures (numpy)."""
+"""Word-shingle sets of many texts at once (numpy)."""
 
 from __future__ import annotations
 
@@ -38,76 +38,3 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int) -> list[np.n
 def set_mark(s: np.ndarray) -> int:
     """A 64-bit mark of a set; odd, so never 0."""
     return int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0]) | 1
-
-
-class SizeClasses:
-    """Size classes for a Jaccard join at ``num / den``.
-
-    Two sets that link differ in at most (den-num)/(den+num) of the sum of their
-    sizes, H tokens, so of H + 1 parts (hash ranges) of the tokens one is equal
-    in both. A class fixes H for its largest size; a set that a larger class
-    can still reach also takes that class's parts. Two parts more than H make
-    room for empty ones: an empty part only counts for sets with more than one.
-    """
-
-    def __init__(self, num: int, den: int, largest: int = 1 << 31):
-        if not 0 < num <= den:
-            raise ValueError("the similarity must be above 0 and at most 1")
-        self.num, self.den = num, den
-        #: Up to this size, sets only link when equal.
-        low = largest if num == den else max(0, (den + num) // (2 * (den - num)) - 1)
-        while low and 2 * low * (den - num) // (den + num):
-            low -= 1
-        uppers = [low]
-        while uppers[-1] < largest:
-            uppers.append(max(uppers[-1] + 1, uppers[-1] * 3 // 2))
-        self.upper = np.array(uppers, np.int64)
-        self.parts = 2 * self.upper * (den - num) // (den + num) + 2
-
-    def of(self, size: np.ndarray) -> list[np.ndarray]:
-        """The classes whose parts each set takes (-1: none): its own, and the
-        next ones that a linked set may be in."""
-        own = np.searchsorted(self.upper, size)
-        out = [np.where((own > 0) & (size > 0), own, -1)]
-        step = 1
-        while True:
-            k = own + step
-            ok = (k < len(self.upper)) & (size > 0)
-            ok[ok] &= self.den * size[ok] >= self.num * (self.upper[k[ok] - 1] + 1)
-            if not ok.any():
-                return out
-            out.append(np.where(ok, k, -1))
-            step += 1
-
-    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(set number, signature, class), one per part that counts."""
-        size = np.array([len(s) for s in sets], np.int64)
-        if not len(sets) or not size.sum():
-            z = np.zeros(0, np.int64)
-            return z, np.zeros(0, np.uint64), z
-        tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), size)
-        value = mix(tokens + _MUL)
-        found = []
-        for klass in self.of(size):
-            m = np.where(klass >= 0, self.parts[klass], 0)
-            use = m[owner] > 0
-            own, k = owner[use], klass[owner[use]]
-            if not len(own):
-                continue
-            part = ((tokens[use] >> np.uint64(32)) * m[own].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            at = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (own[1:] != own[:-1])))
-            sig = np.add.reduceat(value[use], at)
-            found.append((own[at], _signature(sig, part[at], k[at]), k[at]))
-            filled = np.bincount(own[at], minlength=len(sets))
-            for i in np.flatnonzero((m > 0) & (m - filled > 1)).tolist():
-                empty = np.setdiff1d(np.arange(m[i]), part[at][own[at] == i])
-                kk = np.full(len(empty), klass[i])
-                found.append((np.full(len(empty), i), _signature(np.zeros(len(empty), np.uint64), empty, kk), kk))
-        own, sig, k = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (
-            np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return own, sig, k
-
-
-def _signature(value: np.ndarray, part: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    return mix(value + mix(part.astype(np.uint64) + (klass.astype(np.uint64) << np.uint64(40))))
