@@ -48,22 +48,20 @@ def with_preceding(df: DataFrame, part: str, order_cols: list[str], values: list
     """Add ``out``: the ``values`` (an array of structs) of up to ``k`` rows
     that precede the row in its group's order, oldest first. ``chunk`` must
     sort as ``order_cols`` do."""
-    asc, desc = [F.col(c) for c in order_cols], [F.col(c).desc() for c in order_cols]
     t = (df.withColumn("_g", F.struct(part))
          .withColumn("_c", F.struct((chunk if chunk is not None else time_chunk(order_cols)).alias("c")))
          .withColumn("_v", F.struct(*values)))
-    near = Window.partitionBy("_g", "_c").orderBy(*asc).rowsBetween(-k, -1)
-    own = t.withColumn("_own", F.collect_list("_v").over(near))
-    # The last k rows of each chunk, oldest first.
-    tails = (t.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_c").orderBy(*desc)))
-             .filter(F.col("_r") <= k).groupBy("_g", "_c")
-             .agg(F.sort_array(F.collect_list(F.struct("_r", "_v")), asc=False).alias("_t")))
+    w = Window.partitionBy("_g", "_c").orderBy(*order_cols)
+    own = (t.withColumn("_own", F.collect_list("_v").over(w.rowsBetween(-k, -1)))
+           .withColumn("_more", F.lead(F.lit(True)).over(w)))
+    # The last k rows of each chunk, oldest first: what its last row has seen.
+    tails = own.filter(F.col("_more").isNull()).select(
+        "_g", "_c", _last(F.concat("_own", F.array("_v")), k).alias("_t"))
     before = Window.partitionBy("_g").orderBy("_c").rowsBetween(-k, -1)
-    halo = tails.select("_g", "_c", _last(F.flatten(F.collect_list(
-        F.transform("_t", lambda x: x["_v"])).over(before)), k).alias("_halo"))
+    halo = tails.select("_g", "_c", _last(F.flatten(F.collect_list("_t").over(before)), k).alias("_halo"))
     return (own.join(halo, ["_g", "_c"])
             .withColumn(out, _last(F.concat("_halo", "_own"), k))
-            .drop("_g", "_c", "_v", "_own", "_halo"))
+            .drop("_g", "_c", "_v", "_own", "_more", "_halo"))
 
 
 def size_growth(stats: DataFrame, order_cols: list[str] | None = None,
