@@ -5,10 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tenantscope.llm import language_id
 
-import test_op2
-import test_op6
-import test_op7
-import test_op10
+from . import test_op2, test_op6, test_op7, test_op10
 
 
 @pytest.fixture(scope="module")
