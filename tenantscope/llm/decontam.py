@@ -6,8 +6,12 @@ the benchmark uses. A query phrase is answered from its rarest terms: the
 rarest term's places, moved back by its offset in the phrase, are the first
 candidates, and the list of the next rarer term, moved likewise, cuts them
 down, until every term of the phrase has agreed or no candidate is left. Most
-phrases end at the second list. Nothing is shuffled: texts are read once and
-one row per document leaves the task.
+phrases end at the second list. No text is shuffled: one row per document
+leaves the task.
+
+Proximity matches rank a phrase's terms by their number in the whole corpus,
+which a pass over the texts counts before (one row per benchmark term), so that
+a document's matches do not depend on the documents that share its task.
 
 The benchmark, the stated query set, travels with the job up to
 ``MAX_BENCHMARK_BYTES`` of text. A larger one is written to the shared folder
@@ -32,7 +36,8 @@ from .words import ALNUM, doc_slices, word_table
 WINDOW = 10
 #: Words that a term may be off its place in a proximity match.
 SLOP = 2
-#: Rarest terms of a phrase that a proximity match asks for.
+#: Terms of a phrase that a proximity match asks for, out of its rarest ones,
+#: which are one more.
 NEAR_TERMS = 4
 #: Benchmark text that one pass over the corpus takes along.
 MAX_BENCHMARK_BYTES = 8 << 20
@@ -46,6 +51,9 @@ class Phrases(NamedTuple):
     vocabulary: np.ndarray
     terms: list[np.ndarray]       # term numbers of each phrase
     items: list[list[str]]        # ids of the items that hold it
+    #: The first ``near_terms + 1`` offsets of each phrase by how rare the term
+    #: is in the corpus (ties: by place), -1 beyond its end; null: not counted.
+    rarest: np.ndarray | None = None
 
 
 def phrases(items: list[tuple[str, str | None]], window: int) -> Phrases:
@@ -100,19 +108,71 @@ class PositionalIndex:
             start = start[self.at[start + k] == terms[k]]
         return start
 
-    def near(self, terms: np.ndarray, slop: int, n_terms: int) -> np.ndarray:
-        """Places where the phrase would start if its rarest terms all lie
-        within ``slop`` words of their place in it."""
-        order = np.argsort(self.length[terms], kind="stable")[:n_terms]
-        start = self.list(terms[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(start):
-                break
-            ok = np.zeros(len(start), bool)
-            for d in range(-slop, slop + 1):
-                ok |= self.at[start + (k + d)] == terms[k]
-            start = start[ok]
-        return start
+    def near(self, terms: np.ndarray, slop: int, rarest: np.ndarray, need: int) -> np.ndarray:
+        """Places where the phrase would start if ``need`` of its terms at the
+        offsets ``rarest`` lie within ``slop`` words of their place in it; the
+        first of them that is there sets the place."""
+        found = []
+        for first in range(len(rarest) - need + 1):
+            k = rarest[first]
+            start = self.list(terms[k]) - k
+            have, left = np.ones(len(start), np.int64), len(rarest) - first - 1
+            for k in rarest[first + 1:]:
+                if not len(start):
+                    break
+                ok = np.zeros(len(start), bool)
+                for d in range(-slop, slop + 1):
+                    ok |= self.at[start + (k + d)] == terms[k]
+                have, left = have + ok, left - 1
+                stay = have + left >= need
+                start, have = start[stay], have[stay]
+            found.append(start)
+        return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def _rarest(q: Phrases, number: np.ndarray, near_terms: int) -> np.ndarray:
+    out = np.full((len(q.terms), near_terms + 1), -1, np.int64)
+    for row, terms in zip(out, q.terms, strict=True):
+        order = np.argsort(number[terms], kind="stable")[:near_terms + 1]
+        row[:len(order)] = order
+    return out
+
+
+def _counted(docs: DataFrame, text: str, blocks: list, near_terms: int) -> list:
+    """The blocks with the rarest terms of each phrase, by the number of each
+    term in all of ``docs`` (one aggregate, a row per benchmark term)."""
+    def count(batches):
+        held: dict[int, int] = {}
+        vocabularies = [q.vocabulary for q in blocks if isinstance(q, Phrases)]
+        for batch in batches:
+            offsets, data = text_buffer(batch.column(0))
+            for lo, hi in doc_slices(offsets):
+                off = offsets[lo:hi + 1] - offsets[lo]
+                word, n = np.unique(word_table(data[offsets[lo]:offsets[hi]], off, ALNUM)[0], return_counts=True)
+                known = np.zeros(len(word), bool)
+                for v in vocabularies or (_load(b).vocabulary for b in blocks):
+                    known |= np.isin(word, v)
+                for w, c in zip(word[known].view(np.int64).tolist(), n[known].tolist(), strict=True):
+                    held[w] = held.get(w, 0) + c
+        yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+    rows = docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word = rows.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    word, n = np.append(word[order], np.uint64(0)), np.append(rows.column("n").to_numpy()[order], 0)
+
+    def ranked(q: Phrases) -> Phrases:
+        at = np.searchsorted(word[:-1], q.vocabulary)
+        return q._replace(rarest=_rarest(q, np.where(word[at] == q.vocabulary, n[at], 0), near_terms))
+
+    out = []
+    for b in blocks:
+        if isinstance(b, Phrases):
+            out.append(ranked(b))
+        else:
+            out.append(f"{b}-ranked")
+            _store(out[-1], ranked(_load(b)))
+    return out
 
 
 def _search(blocks: list, slop: int, near_terms: int):
@@ -137,12 +197,17 @@ def _search(blocks: list, slop: int, near_terms: int):
             doc_at = np.full(ix.n_places, -1, np.int64)
             doc_at[ix.place_of_word] = doc
             cover = np.zeros(ix.n_places + 1, np.int32)
-            rarest = np.minimum.reduceat(ix.length[np.concatenate(q.terms)],
-                                         np.cumsum([0, *map(len, q.terms[:-1])]))
-            for k in np.flatnonzero(rarest).tolist():
+            bounds = np.cumsum([0, *map(len, q.terms[:-1])])
+            there = ix.length[np.concatenate(q.terms)] > 0
+            ask = np.logical_and.reduceat(there, bounds)
+            if near_terms:  # as many of the chosen terms as a match needs
+                size = (q.rarest >= 0).sum(1)
+                need = np.minimum(size, near_terms)
+                ask = (there[bounds[:, None] + np.maximum(q.rarest, 0)] & (q.rarest >= 0)).sum(1) >= need
+            for k in np.flatnonzero(ask).tolist():
                 terms, start = q.terms[k], None
                 if near_terms:
-                    start = ix.near(terms, slop, near_terms)
+                    start = ix.near(terms, slop, q.rarest[k, :size[k]], int(need[k]))
                     for p in start.tolist():
                         d = doc_at[p:p + len(terms)].max(initial=-1)
                         if d >= 0:
@@ -159,6 +224,12 @@ def _search(blocks: list, slop: int, near_terms: int):
     return hits
 
 
+def _store(path: str, q: Phrases) -> None:
+    store, name = filesystem(path)
+    with store.open_output_stream(name) as f:
+        f.write(pickle.dumps(q))
+
+
 def _load(path: str) -> Phrases:
     store, name = filesystem(path)
     with store.open_input_stream(name) as f:
@@ -177,8 +248,7 @@ def _blocks(benchmark: DataFrame, window: int, max_bytes: int) -> list:
             root = root or shared_path(benchmark.sparkSession, "benchmark")
             store, name = filesystem(root)
             store.create_dir(name, recursive=True)
-            with store.open_output_stream(f"{name}/{len(made):06d}") as f:
-                f.write(pickle.dumps(q))
+            _store(f"{root}/{len(made):06d}", q)
             q = f"{root}/{len(made):06d}"
         made.append(q)
 
@@ -220,14 +290,18 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     non-ASCII characters. Adds ``n_words, hits
     array<struct<start, end>>`` (maximal runs of words inside an occurrence of a
     window), ``items array<string>`` (items with occurring windows, sorted) and
-    ``near_items`` (items with a proximity match: the ``near_terms`` rarest terms
-    of a window, each within ``slop`` words of its place; ``near_terms=0``
+    ``near_items`` (items with a proximity match: ``near_terms`` of the
+    ``near_terms + 1`` terms of a window that are rarest in ``docs``, or all of
+    a shorter one, each within ``slop`` words of its place; ``near_terms=0``
     leaves it empty), which replace columns of these names. One row per input
     row. Null and empty texts have no words
     and no hits; a null item_id is the item ``null``; repeated items are
     searched once; an empty benchmark hits nothing.
     """
-    search = _search(_blocks(benchmark, window, max_bytes), slop, near_terms)
+    blocks = _blocks(benchmark, window, max_bytes)
+    if near_terms and blocks:
+        blocks = _counted(docs, text, blocks, near_terms)
+    search = _search(blocks, slop, near_terms)
     return with_text_columns(docs, text, _OUT, search, lambda offsets: doc_slices(offsets, INDEX_BYTES), keep_text)
 
 
@@ -236,8 +310,7 @@ def op10_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return h.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                    (F.size("hits") > 0).alias("contaminated"))
-
+                    (F.size("hits") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
 
 
 #: Without proximity matches, which have no contract of their own.

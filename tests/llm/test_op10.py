@@ -74,6 +74,23 @@ def test_proximity_finds_a_word_slipped_in(spark):
     assert got[1].near_items == ["8"] and got[1]["items"] == [] and got[2].near_items == []
 
 
+@pytest.mark.parametrize("max_bytes", [8 << 20, 60])
+def test_proximity_finds_a_replaced_word_however_rows_are_dealt(spark, max_bytes):
+    item = "one two three four five six seven eight nine ten"
+    w = item.split()
+    docs = [(i, " ".join(["a", *w[:i], "other", *w[i + 1:], "b"])) for i in range(10)]
+    # The replaced words elsewhere, once and often, and words that are no match.
+    docs += [(100 + i, " ".join([x] * (i % 3 + 1) + ["z"] * 20)) for i, x in enumerate(w)] + [(200, "ten nine eight seven six five four three two one")]
+    bench = spark.createDataFrame([(8, item), (9, "some quite different words " * 3)], "item_id long, text string")
+    for few in (docs, docs[:10], docs[3:4]):
+        for n in (1, 3, 7):
+            d = spark.createDataFrame(few, "doc_id long, text string").repartition(n, "doc_id")
+            got = {r.doc_id: (r.near_items, r["items"]) for r in benchmark_hits(d, bench, max_bytes=max_bytes).collect()}
+            assert got == {i: (["8"] if i < 10 else [], []) for i, _ in few}
+    assert {r.doc_id: r.n_near_items for r in op10_decontamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()} \
+        == {i: int(i < 10) for i, _ in docs}
+
+
 def test_query_and_empty_tables(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()], 10)
