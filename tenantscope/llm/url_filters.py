@@ -9,7 +9,8 @@ blocked.
 
 Links are the absolute and protocol-relative ``href`` and ``src`` values of the
 pages, reduced to distinct host pairs before any join. Ranks are one row per
-host and kind; one iteration is an equi-join and a sum.
+host and kind; one iteration is an equi-join and a sum. Rounds go on until no
+host is new and no rank moves any more, however long the paths are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,13 @@ from tenantscope.session import shared_path
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 DAMPING = 0.85
+#: Rounds of the SQL, which cannot stop by itself.
 ITERATIONS = 10
+#: Ranks have settled when none changes by more than this share of itself in
+#: ``ROUNDS`` rounds, after which they are compared.
+TOLERANCE, ROUNDS = 1e-6, 5
+#: A rank that a host has got is never less (no double falls to 0 on long paths).
+RANK_LEAST = 1e-300
 #: A host is blocked when distrust makes up at least this share of its scores.
 THRESHOLD = 0.75
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,11 +66,11 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank of two kinds at once. ``seeds``: ``kind, host,
     seed`` (weights sum to 1 per kind); trust flows from src to dst, distrust
-    from dst to src, each host dividing what it has among its links. Returns
-    ``kind, host, rank``."""
+    from dst to src, each host dividing what it has among its links. Ends when
+    all ranks have settled (``tolerance``). Returns ``kind, host, rank``."""
     path = shared_path(links.sparkSession, "host-graph")
     flows = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to")) \
         .unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to")))
@@ -73,17 +80,21 @@ def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, i
     flows, seeds = (links.sparkSession.read.parquet(f"{path}/{t}") for t in ("flows", "seeds"))
     rank = seeds.withColumnRenamed("seed", "rank")
     start = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))
-    for i in range(iterations):
-        moved = flows.join(rank, ["kind", "host"]).select(
-            "kind", F.col("to").alias("host"), (damping * F.col("rank") / F.col("degree")).alias("rank"))
-        rank = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % 5 == 4:
-            rank = rank.checkpoint()
-    return rank
+    while True:
+        before = rank.withColumnRenamed("rank", "was")
+        for _ in range(ROUNDS):
+            moved = flows.join(rank, ["kind", "host"]).select(
+                "kind", F.col("to").alias("host"), (damping * F.col("rank") / F.col("degree")).alias("rank"))
+            rank = moved.unionByName(start).groupBy("kind", "host").agg(F.greatest(F.sum("rank"), F.lit(RANK_LEAST)).alias("rank"))
+        rank = rank.checkpoint()
+        # A host once reached stays reached, so the new ranks have all hosts.
+        moves = F.col("was").isNull() | (F.abs(F.col("rank") - F.col("was")) > tolerance * F.col("rank"))
+        if not rank.join(before, ["kind", "host"], "left").agg(F.count_if(moves).alias("n")).first()["n"]:
+            return rank
 
 
 def judge_urls(pages: DataFrame, rules=RULES, *, threshold: float = THRESHOLD, damping: float = DAMPING,
-               iterations: int = ITERATIONS) -> DataFrame:
+               tolerance: float = TOLERANCE) -> DataFrame:
     """Verdict of every url: ``page_id, host, path, rule, verdict, distrust``.
 
     ``rule`` is the longest fitting rule as host and path, else null;
@@ -101,7 +112,7 @@ def judge_urls(pages: DataFrame, rules=RULES, *, threshold: float = THRESHOLD, d
     kind = F.when(F.col("verdict") == "allow", "trust").otherwise("distrust")
     total = ruled.groupBy("verdict").agg(F.sum("n").alias("total"))
     seeds = ruled.join(total, "verdict").select(kind.alias("kind"), "host", (F.col("n") / F.col("total")).alias("seed"))
-    rank = propagate(host_links(pages), seeds, damping=damping, iterations=iterations)
+    rank = propagate(host_links(pages), seeds, damping=damping, tolerance=tolerance)
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0))
     score = rank.groupBy("host").agg((of("distrust") / (of("trust") + of("distrust"))).alias("distrust"))
     own = F.when(F.col("distrust") >= threshold, "block").otherwise("allow")

@@ -69,6 +69,32 @@ def test_matches_brute_force(spark):
     assert host_links(pages).count() == 7
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    n = 23
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">' if i < n else '<a href="http://x.com/">') for i in range(n + 1)]
+    rows += [(100, "http://x.com/de/1", None), (101, "http://far.net/", None)]
+    got = {r.page_id: (r.verdict, r.distrust) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("block", 1.0) for i in range(n + 1)} | {100: ("block", 1.0), 101: ("allow", None)}
+
+
+def test_shares_are_those_of_settled_ranks(spark):
+    links = {("a.net", "b.net"), ("b.net", "a.net"), ("b.net", "bad.com"), ("good.org", "a.net")}
+    rows = [(i, f"http://{a}/", f'<a href="http://{b}/">') for i, (a, b) in enumerate(sorted(links))] + [(9, "http://bad.com/de/", None)]
+    rank = {}
+    for kind, seed, flow in (("t", "good.org", links), ("d", "bad.com", {(b, a) for a, b in links})):
+        out, r = Counter(a for a, _ in flow), {seed: 1.0}
+        for _ in range(400):
+            new = {seed: 1 - DAMPING}
+            for a, b in flow:
+                if a in r:
+                    new[b] = new.get(b, 0) + DAMPING * r[a] / out[a]
+            r = new
+        rank[kind] = r
+    for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        t, d = (rank[k].get(r.host, 0) for k in "td")
+        assert abs(r.distrust - d / (t + d)) < 1e-5
+
+
 def test_sql_and_sf(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = sorted((tuple(r) for r in op4_url_filters(p).collect()), key=repr)
