@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas annotation annotation-xml".split())
+#: Not drawn where they stand inside svg.
+_SVG_HIDDEN = frozenset("defs desc metadata symbol clippath mask marker pattern".split())
+#: MathML elements whose parts stand above, below or beside one another.
+_MATH_PARTS = frozenset("mfrac msub msup msubsup munder mover munderover mmultiscripts mroot mtable mtr".split())
+#: Inputs that do not show their value as text.
+_NO_VALUE = frozenset("hidden password checkbox radio file image range color".split())
 FORMAT = frozenset("a b big code em font i nobr s small span strike strong tt u".split())
 #: Blocks set apart by a blank line, and other blocks.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
@@ -44,10 +50,11 @@ _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", r
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "apart")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.apart = False    # a blank goes before and after it
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -74,7 +81,7 @@ class TreeBuilder:
         """Pop the elements above and including the outermost of ``tags`` that
         lies inside the nearest wall."""
         last = None
-        for i in range(len(self.stack) - 1, 0, -1):
+        for i in range(len(self.stack) - 1, max(0, len(self.stack) - MAX_DEPTH), -1):
             t = self.stack[i].tag
             if t in walls:
                 break
@@ -96,28 +103,42 @@ class TreeBuilder:
             self._close_up_to(*_CLOSES[tag])
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push(Node("tr", {}))
+        if tag in _SVG_HIDDEN and self._in_svg():
+            attrs = {"hidden": ""}
         node = Node(tag, attrs)
+        node.apart = self.stack[-1].tag in _MATH_PARTS or tag == "text" and self._in_svg()
         if tag in VOID or closed and tag not in BLOCK:
             self.stack[-1].children.append(node)
         else:
             self._push(node)
 
+    def _in_svg(self) -> bool:
+        return any(n.tag == "svg" for n in self.stack[-MAX_DEPTH:])
+
     def _push(self, node: Node) -> None:
-        self.stack[-1].children.append(node)
-        if len(self.stack) < MAX_DEPTH:
-            self.stack.append(node)
+        """Open an element. Below MAX_DEPTH the tree has it empty, and what it
+        holds goes to the last element above the bound, or nowhere if hidden."""
+        into = self.stack[-1].children
+        into.append(node)
+        if len(self.stack) >= MAX_DEPTH:
+            shown = visible(node)
+            node = Node(node.tag, node.attrs)
+            node.children = into if shown else []
+        self.stack.append(node)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", {}, False)
             return
-        for i in range(len(self.stack) - 1, 0, -1):
+        for i in range(len(self.stack) - 1, max(0, len(self.stack) - MAX_DEPTH), -1):
             t = self.stack[i].tag
             if t == tag:
                 if tag in FORMAT and any(n.tag in BLOCK for n in self.stack[i + 1:]):
                     del self.stack[i]  # the blocks opened inside it go on
                 else:
                     del self.stack[i:]
+                    if i >= MAX_DEPTH and tag in BLOCK:  # what follows is apart
+                        self.stack[-1].children.append(Node("div", {}))
                 return
             if t in _WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                 return
@@ -331,6 +352,8 @@ def render(root: Node, tables: int = 0) -> str:
                 pre -= 1
             if tag in BLOCK:
                 out.block(2 if tag in SPACED and not (lists and tag in ("ul", "ol")) else 1)
+            if node.apart:
+                out.text(" ")
             if indent is not None and node is not root:
                 out.indent = indent
             continue
@@ -352,10 +375,10 @@ def render(root: Node, tables: int = 0) -> str:
             _table(child, out, tables)
             out.block(2)
             continue
-        if tag in ("td", "th"):
+        if tag in ("td", "th") or child.apart:
             out.text(" ")
         if tag in VOID:
-            if tag == "input" and child.attrs.get("type", "text").lower() in ("button", "submit", "reset", "text"):
+            if tag == "input" and child.attrs.get("type", "text").lower() not in _NO_VALUE:
                 out.text(child.attrs.get("value", ""))
             continue
         before = out.indent

@@ -33,6 +33,25 @@ def test_layout(source, text):
     assert page_text(source) == text
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><semantics><mi>y</mi><annotation>TeX</annotation></semantics></math> b", "a x= 1 2 y b"),
+    ("<svg><title>T</title><desc>D</desc><defs><text>no</text></defs><metadata>m</metadata><style>s{}</style><path d='M0'/>"
+     "<text>one</text><text x=1>two <tspan>three</tspan></text></svg>x", "one two three x"),
+    ("<desc>d</desc><defs>e</defs><text>f</text>", "def"),
+    *((f"<input type={t} value='v 1'>", "v 1") for t in ("email", "URL", "tel", "number", "search", "date", "text", "submit", "made-up")),
+    ("<input value=v>", "v"),
+    *((f"<input type={t} value=v>w", "w") for t in ("hidden", "password", "checkbox", "radio", "file", "color", "range")),
+])
+def test_formulas_drawings_and_inputs(source, text):
+    assert page_text(source) == text
+
+
+@pytest.mark.parametrize("depth", [3, 511, 512, 513, 900])
+def test_what_is_hidden_stays_so_at_any_depth(depth):
+    inner = "a<script>s</script><p hidden>h<b>i</b></p><div style='display:none'><div>j</div>k</div><div>b</div>c<svg><defs><text>n</text></defs></svg>"
+    assert page_text("<div>" * depth + inner + "</div>" * depth + "z").split() == ["a", "b", "c", "z"]
+
+
 class Words(HTMLParser):
     """Visible words, in order, by plain events (well-formed pages only)."""
 
