@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import (ann, decontam, html_text, language_id, ngram_jaccard, packing, secret_scan,
-               suffix_dedup, token_output, url_filters)
+from . import (ann, decontam, html_text, language_id, ngram_jaccard, packing, prefix_trie, secret_scan,
+               suffix_dedup, token_output, url_filters, warc, whitening)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +30,8 @@ QUERIES = {
     "op8_html_extraction": (_over(html_text.op8_html_extraction, "pages"), None),
     "op9_language_id": (_over(language_id.op9_language_id, "documents"), None),
     "op10_decontamination": (_over(decontam.op10_decontamination, "documents", "benchmark"), decontam.ORACLE),
+    "op11_prefix_trie": (_over(prefix_trie.op11_prefix_trie, "conversations"), prefix_trie.ORACLE),
+    "op12_warc": (_over(warc.op12_warc, "pages"), warc.ORACLE),
+    "op13_embedding_whitening": (_over(whitening.op13_embedding_whitening, "embeddings"), None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
