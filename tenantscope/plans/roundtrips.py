@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenantscope import schemas
-from tenantscope.operators import checks, registry
+from tenantscope.operators import changes, checks, registry
 from tenantscope.plans import oracle_sql as Q
-from tenantscope.plans.catalog import QUERIES, query
+from tenantscope.plans.catalog import QUERIES, _ip_requests, _removal_keys, query
 from tenantscope.session import shared_path
 from tenantscope.sources import control, sinks
 from tenantscope.sources.fixtures import AS_OF, Fleet
+from tenantscope.sources.versions import VersionedTables
 from tenantscope.streaming import streams as ST
 
 _UUID = "'00000000-0000-4000-8000-' || lpad(CAST(id AS VARCHAR), 12, '0')"
@@ -163,6 +164,150 @@ def q_stream_rules(spark, d):
     return spark.read.text(f"{out}/batch=0").withColumnRenamed("value", "line")
 
 
+# --- append-mode windows: late rows dropped, open windows kept back ---------------
+ARRIVALS = 3
+
+
+def _slice(df: DataFrame, ts: str) -> DataFrame:
+    """``df`` with ``_us`` (its time in microseconds) and ``_slice``, the third of
+    the whole span that it lies in."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    b = df.agg(F.min(us).alias("lo"), (F.max(us) + 1).alias("hi")).first()
+    lo, hi = (b["lo"], b["hi"]) if b["lo"] is not None else (0, 1)
+    return df.withColumn("_us", us).withColumn("_slice", F.expr(f"({ARRIVALS} * (_us - {lo})) div {hi - lo}"))
+
+
+def _closed(spark, df: DataFrame, ts: str, number: str, job) -> DataFrame:
+    """A feed that comes in ``ARRIVALS`` lots, by time, but that every tenth row
+    which is over three hours behind its lot comes with the next one. The stream
+    is started for each lot and goes on from its checkpoint; the result is what
+    it has appended in the end."""
+    cut = _slice(df, ts)
+    newest = cut.groupBy("_slice").agg(F.max("_us").alias("_newest"))
+    late = (F.col(number) % 10 == 0) & (F.col("_slice") < ARRIVALS - 1) & (F.col("_us") < F.col("_newest") - 3 * 3_600_000_000)
+    dealt = cut.join(newest, "_slice").withColumn("_lot", F.col("_slice") + F.when(late, 1).otherwise(0))
+    feed, (out, ck) = shared_path(spark, "feed"), _out(spark)
+    for lot in range(ARRIVALS):
+        dealt.where(F.col("_lot") == lot).select(*df.columns).write.mode("append").parquet(feed)
+        ST.run_available_to(job(spark.readStream.schema(df.schema).parquet(feed)), out, ck)
+    return spark.read.parquet(out)
+
+
+def _lots_sql(table: str, ts: str, number: str) -> str:
+    """``ok``: the feed with ``wm``, the watermark before each row's lot (null:
+    none yet), and ``final``, the watermark in the end (microseconds)."""
+    return f"""
+b AS (SELECT min(epoch_us({ts})) AS lo, max(epoch_us({ts})) + 1 AS hi FROM {table}),
+s AS (SELECT t.*, epoch_us({ts}) AS us, ({ARRIVALS} * (epoch_us({ts}) - lo)) // (hi - lo) AS slice FROM {table} t, b),
+n AS (SELECT *, max(us) OVER (PARTITION BY slice) AS newest FROM s),
+a AS (SELECT *, slice + CASE WHEN {number} % 10 = 0 AND slice < {ARRIVALS - 1} AND us < newest - 3 * 3600000000 THEN 1 ELSE 0 END AS lot FROM n),
+m AS (SELECT lot + 1 AS lot, max(max(us)) OVER (ORDER BY lot) // 1000 * 1000 - 3600000000 AS wm FROM a GROUP BY lot),
+ok AS MATERIALIZED (SELECT a.*, m.wm, (SELECT max(wm) FROM m) AS final FROM a LEFT JOIN m USING (lot))"""
+
+
+@query("stream_audit_summary_closed", f"""
+WITH {_lots_sql('audit_logs', 'created_at', 'id')},
+w AS (SELECT action, wm, final, us // 86400000000 * 86400000000 + 86400000000 AS ends FROM ok)
+SELECT CAST(make_timestamp(ends - 86400000000) AS DATE) AS date, action, COUNT(*) AS count
+FROM w WHERE (wm IS NULL OR ends > wm) AND ends <= final GROUP BY ends, action
+""")
+def q_stream_audit_summary_closed(spark, d):
+    """R79 in append mode: closed days only, without the rows that came too late."""
+    return _closed(spark, Fleet(spark, d).audit_logs, "created_at", "id", ST.audit_summary_windows)
+
+
+@query("stream_connection_rate_closed", f"""
+WITH {_lots_sql('conn_log', 'ts', 'conn_id')},
+w AS (SELECT database_id, wm, final, unnest([us // 300000000 * 300000000 + 300000000, us // 300000000 * 300000000 + 600000000]) AS ends FROM ok)
+SELECT make_timestamp(ends - 600000000) AS window_start, make_timestamp(ends) AS window_end, database_id, COUNT(*) AS connections
+FROM w WHERE (wm IS NULL OR ends > wm) AND ends <= final GROUP BY ends, database_id
+""")
+def q_stream_connection_rate_closed(spark, d):
+    """R80 in append mode."""
+    return _closed(spark, Fleet(spark, d).conn_log, "ts", "conn_id", ST.connection_rate)
+
+
+@query("stream_client_sessions_closed", f"""
+WITH {_lots_sql('conn_log', 'ts', 'conn_id')},
+k AS (SELECT database_id, us, final, lag(us) OVER (PARTITION BY database_id ORDER BY us) AS prev FROM ok WHERE wm IS NULL OR us + 1800000000 > wm),
+i AS (SELECT *, SUM(CASE WHEN prev IS NULL OR us >= prev + 1800000000 THEN 1 ELSE 0 END) OVER (
+        PARTITION BY database_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM k)
+SELECT database_id, make_timestamp(MIN(us)) AS session_start, make_timestamp(MAX(us) + 1800000000) AS session_end, COUNT(*) AS events
+FROM i GROUP BY database_id, sid, final HAVING MAX(us) + 1800000000 <= final
+""")
+def q_stream_client_sessions_closed(spark, d):
+    """R81 in append mode."""
+    return _closed(spark, Fleet(spark, d).conn_log, "ts", "conn_id", ST.sessions)
+
+
+# --- change jobs that commit --------------------------------------------------------
+def _store(spark, d: str) -> tuple[Fleet, VersionedTables]:
+    """The control tables as version 1, the audit trail dealt by day."""
+    f, store = Fleet(spark, d), VersionedTables(spark, shared_path(spark, "store"))
+    names = ["databases", "ip_whitelist", "database_stats", "shadow_databases", "audit_logs"]
+    store.commit("load", 0, {n: getattr(f, n) for n in names}, by_day={"audit_logs": "created_at"})
+    return f, store
+
+
+def _suspended(f: Fleet) -> DataFrame:
+    return f.databases.where("status = 'suspended'").select("id")
+
+
+@query("versioned_registry", f"""
+SELECT id, database_name, username, owner_email, friendly_name, max_connections, status FROM databases
+WHERE status IS DISTINCT FROM 'suspended'
+UNION ALL
+SELECT id, database_name, username, owner_email, friendly_name, max_connections, status FROM ({QUERIES['register_accepted'][1]})
+""")
+def q_versioned_registry(spark, d):
+    """R49 and R25 committed one after the other; the newest version's registry."""
+    f, store = _store(spark, d)
+    changes.register_tenants(store, f.tenant_requests, AS_OF, "register")
+    changes.remove_tenants(store, _suspended(f), AS_OF, "remove")
+    return store.read("databases").select("id", "database_name", "username", "owner_email", "friendly_name", "max_connections", "status")
+
+
+@query("versioned_whitelist", f"""
+SELECT w.* FROM (SELECT * FROM ip_whitelist UNION ALL SELECT * FROM ({QUERIES['add_ips_added'][1]})) w
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT o_orderkey AS id, o_custkey AS database_id FROM orders WHERE o_orderstatus = 'F') k
+                  WHERE k.id = w.id AND k.database_id = w.database_id)
+""")
+def q_versioned_whitelist(spark, d):
+    """R50 and R26 committed one after the other; the newest version's allow list."""
+    f, store = _store(spark, d)
+    changes.add_whitelist(store, _ip_requests(f), AS_OF, "add")
+    changes.remove_whitelist(store, _removal_keys(f), AS_OF, "remove")
+    return store.read("ip_whitelist")
+
+
+@query("versioned_audit", f"""
+SELECT action, resource_type, resource_id, details, created_at FROM audit_logs
+UNION ALL SELECT action, resource_type, resource_id, details, created_at FROM ({QUERIES['register_audit'][1]})
+UNION ALL SELECT action, resource_type, resource_id, details, created_at FROM ({QUERIES['cascade_delete_audit'][1]})
+""")
+def q_versioned_audit(spark, d):
+    """The audit trail after both registry jobs."""
+    f, store = _store(spark, d)
+    changes.register_tenants(store, f.tenant_requests, AS_OF, "register")
+    changes.remove_tenants(store, _suspended(f), AS_OF, "remove")
+    return store.read("audit_logs").select("action", "resource_type", "resource_id", "details", "created_at")
+
+
+def _cutoff() -> str:
+    from datetime import datetime, timedelta
+
+    from tenantscope.operators.audit import RETENTION_DAYS
+    return str(datetime.fromisoformat(AS_OF) - timedelta(days=RETENTION_DAYS))
+
+
+@_twin("retention_by_day", "retention_kept")
+def q_retention_by_day(spark, d):
+    """R18 on the trail dealt by day: old days go unread."""
+    _, store = _store(spark, d)
+    store.expire("retention", "audit_logs", _cutoff())
+    return store.read("audit_logs")
+
+
 # --- checks on tables that break the rules --------------------------------------
 @query("orphans_stats_of_active", """
 SELECT s.* FROM database_stats s

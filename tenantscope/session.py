@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -23,6 +22,9 @@ _DEFAULTS = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Sessions are merged inside each map task first, so a busy key sends its
+    # sessions to one task, not its events.
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -72,17 +74,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-directory of the shared checkpoint dir for written tables
-    (sinks, stream checkpoints) so that it survives executor loss."""
-    base = ensure_checkpoint_dir(spark)
-    if "://" in base and not base.startswith("file:"):
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    base = base.replace("file:", "")
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path (not yet made) under the shared checkpoint folder, with the
     folder's scheme, for files and tables that one job writes and another reads."""

@@ -70,9 +70,6 @@ def connection_rate(conns: DataFrame, window: str = RATE_WINDOW, slide: str = RA
 # ---------------------------------------------------------------------------
 def sessions(conns: DataFrame, gap: str = SESSION_GAP, key: str = "database_id",
              late: str | None = LATE_AFTER) -> DataFrame:
-    # Sessions are merged inside each map task first, so a busy tenant sends
-    # its sessions to one task, not its events.
-    conns.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     e = event_time(conns, "ts")
     if conns.isStreaming and late:
         e = e.withWatermark("event_time", late)

@@ -162,3 +162,23 @@ def test_text_readers(spark, tmp_path):
     g = good.first()
     assert (g["pid"], g["db"], g["level"], g["duration_ms"]) == (12, "d", "LOG", 1500.0)
     assert bad.count() == 1
+
+
+def test_append_windows_drop_late_rows_and_evict_state(spark, tmp_path):
+    """A second start of the stream: the row that lies behind the watermark is
+    dropped, closed days leave the state, open ones are not yet appended."""
+    days = lambda *ts: spark.createDataFrame([(t, "a") for t in ts], "created_at string, action string") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    feed, out, ck = (str(tmp_path / n) for n in ("feed", "out", "ck"))
+    lots = [days("2024-01-01 10:00:00", "2024-01-02 10:00:00", "2024-01-03 10:00:00"),
+            days("2024-01-01 11:00:00", "2024-01-03 11:00:00", "2024-01-05 10:00:00")]
+    dropped, held = [], []
+    for lot in lots:
+        lot.coalesce(1).write.mode("append").parquet(feed)
+        q = ST.run_available_to(ST.audit_summary_windows(spark.readStream.schema(lot.schema).parquet(feed)), out, ck)
+        ops = [o for p in q.recentProgress for o in p["stateOperators"]]
+        dropped.append(sum(o["numRowsDroppedByWatermark"] for o in ops))
+        held.append(ops[-1]["numRowsTotal"])
+    got = sorted((str(r.date), r["count"]) for r in spark.read.parquet(out).collect())
+    assert got == [("2024-01-01", 1), ("2024-01-02", 1), ("2024-01-03", 2)]
+    assert dropped == [0, 1] and held == [1, 1]
