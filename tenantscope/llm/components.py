@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges (u long, v long)``: the smallest
     node of its component.
 
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     state = None
-    for _ in range(max_rounds):
+    while True:
         n = both(e)
         least = n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = n.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -31,7 +31,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")) \
         .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tenantscope.session import shared_path
 
-from .blobs import filesystem, text_buffer, with_text_columns
+from .blobs import filesystem, text_buffer, tidied, with_text_columns
 from .words import ALNUM, doc_slices, word_table
 
 WINDOW = 10
@@ -156,7 +156,7 @@ def _counted(docs: DataFrame, text: str, blocks: list, near_terms: int) -> list:
                     held[w] = held.get(w, 0) + c
         yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(text).mapInArrow(tidied(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     word = rows.column("word").to_numpy().view(np.uint64)
     order = np.argsort(word)
     word, n = np.append(word[order], np.uint64(0)), np.append(rows.column("n").to_numpy()[order], 0)
@@ -306,6 +306,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def op10_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated, and n_near_items, the items with a proximity match."""
     h = benchmark_hits(docs.select("doc_id", "text"), benchmark, keep_text=False)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return h.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -313,7 +315,6 @@ def op10_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     (F.size("hits") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
 
 
-#: Without proximity matches, which have no contract of their own.
 ORACLE = r"""
 WITH words AS (
   SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
@@ -333,6 +334,29 @@ place AS (SELECT DISTINCT doc_id, p FROM hit, unnest(range(i, i + n)) t(p)),
 n_hit AS (SELECT doc_id, count(*) AS n FROM place GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+-- Proximity: of the five terms of a window that are rarest in the documents (ties: the first), four (all of fewer)
+-- within two words of their places; the rarest one that is there sets the place.
+windows AS MATERIALIZED (
+  SELECT DISTINCT id, w[i:i + 9] AS l FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM w WHERE kind = 1 AND len(w) > 0)),
+phrase AS MATERIALIZED (SELECT l, row_number() OVER () AS pid FROM (SELECT DISTINCT l FROM windows)),
+held AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM w WHERE kind = 0) GROUP BY x),
+chosen AS MATERIALIZED (
+  SELECT pid, k, x, r, least(least(m, 5), 4) AS need, least(m, 5) AS size
+  FROM (SELECT pid, k, x, m, row_number() OVER (PARTITION BY pid ORDER BY coalesce(n, 0), k) - 1 AS r
+        FROM (SELECT pid, len(l) AS m, k, l[k] AS x FROM (SELECT pid, l, unnest(range(1, len(l) + 1)) AS k FROM phrase)) LEFT JOIN held USING (x))
+  WHERE r < 5),
+posting AS MATERIALIZED (
+  SELECT doc_id, p, x FROM (SELECT doc_id, p, w[p] AS x FROM (SELECT id AS doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w WHERE kind = 0))
+  WHERE x IN (SELECT x FROM chosen)),
+anchor AS MATERIALIZED (SELECT pid, doc_id, p - k AS at, r, need FROM chosen JOIN posting USING (x) WHERE r <= size - need),
+other AS (
+  SELECT DISTINCT a.pid, a.doc_id, a.at, a.r, c.r AS s FROM anchor a JOIN chosen c ON c.pid = a.pid AND c.r > a.r
+  JOIN posting q ON q.doc_id = a.doc_id AND q.x = c.x AND q.p BETWEEN a.at + c.k - 2 AND a.at + c.k + 2),
+near AS (
+  SELECT DISTINCT a.pid, a.doc_id FROM anchor a LEFT JOIN (SELECT pid, doc_id, at, r, count(*) AS n FROM other GROUP BY ALL) o
+    ON o.pid = a.pid AND o.doc_id = a.doc_id AND o.at = a.at AND o.r = a.r WHERE coalesce(o.n, 0) + 1 >= a.need),
+near_items AS (SELECT doc_id, count(DISTINCT v.id) AS n FROM near JOIN phrase USING (pid) JOIN windows v USING (l) GROUP BY doc_id)
 SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM w LEFT JOIN n_hit h ON h.doc_id = w.id LEFT JOIN items t ON t.doc_id = w.id WHERE w.kind = 0"""
+  CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated,
+  CAST(coalesce(e.n, 0) AS BIGINT) AS n_near_items
+FROM w LEFT JOIN n_hit h ON h.doc_id = w.id LEFT JOIN items t ON t.doc_id = w.id LEFT JOIN near_items e ON e.doc_id = w.id WHERE w.kind = 0"""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blobs import text_buffer, with_text_columns
+from .blobs import text_buffer, tidied, with_text_columns
 from .rolling import mix
 from .words import doc_slices
 
@@ -34,7 +34,7 @@ _BITS = np.uint64(40)
 #: Documents and n-grams of one slice that fit beside a count in 64 bits.
 _MAX_DOCS, _COUNT_BITS, _PLACE_BITS = 1 << 12, 24, 27
 #: Bytes that are counted at a time; a longer text is cut between words.
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 _tables: list[np.ndarray] = []
 
@@ -90,7 +90,7 @@ def _ngrams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _pieces(offsets: np.ndarray, data: np.ndarray):
     """The documents in pieces of at most ``_PIECE`` bytes or so: (offsets,
     bytes, document of each offset). A longer text is cut after a byte that is
-    no letter, which changes no n-gram; only a word of more than a sixteenth of
+    no letter, which changes no n-gram; only a word of more than an eighth of
     a piece can be cut itself."""
     for lo, hi in _slices(offsets):
         if offsets[hi] - offsets[lo] <= 2 * _PIECE:
@@ -100,10 +100,10 @@ def _pieces(offsets: np.ndarray, data: np.ndarray):
         while at < end:
             cut = min(end, at + _PIECE)
             if cut < end:
-                tail = data[cut - _PIECE // 16:cut]
+                tail = data[cut - _PIECE // 8:cut]
                 gap = np.flatnonzero(tail <= 0x40)
                 lead = np.flatnonzero((tail & 0xC0) != 0x80)
-                cut = cut - _PIECE // 16 + (int(gap[-1]) + 1 if len(gap) else int(lead[-1]))
+                cut = cut - _PIECE // 8 + (int(gap[-1]) + 1 if len(gap) else int(lead[-1]))
             yield np.array([0, cut - at]), data[at:cut], np.array([lo])
             at = cut
 
@@ -149,7 +149,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                                        pa.array(n)], names=["lang", "gram", "n"])
 
     counted = docs.where("lang is not null and text is not null").select("text", F.col("lang").cast("string")) \
-        .mapInArrow(run, "lang string, gram long, n long")
+        .mapInArrow(tidied(run), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tenantscope.session import shared_path
 
-from .blobs import PACKED, n_parts, pack, part_of, replies_to, statuses, text_buffer, unpack
+from .blobs import PACKED, give_back, n_parts, pack, part_of, replies_to, statuses, text_buffer, unpack
 from .components import connected_components
 from .rolling import ranges
 from .shingles import set_mark, shingle_sets
@@ -95,7 +95,10 @@ def _set_rows(docs: DataFrame, words: int, num: int, den: int, part_bytes: int |
 
     def records(key, table):
         s = _Part(table, words, parts)
-        return pack(s.bucket, key[0].as_py(), s.columns())
+        out = pack(s.bucket, key[0].as_py(), s.columns())
+        del s
+        give_back()
+        return out
 
     def rows(key, table, replies):
         if not table.num_rows:
@@ -118,6 +121,7 @@ def _set_rows(docs: DataFrame, words: int, num: int, den: int, part_bytes: int |
             home[i], home_sets[i] = int(signed[live[b - 1]]), int(held[live[b - 1]])
             shared[i] = signed[live[a:b]].tolist()
             tokens[i] = s.sets[own[a]].astype("<u8").tobytes()
+        give_back()
         return pa.table([table.column("__doc"), table.column("__hash"), pa.array(s.size), pa.array(s.mark.view(np.int64)),
                          pa.array(home, pa.int64()), pa.array(home_sets, pa.int64()),
                          pa.array(shared, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], schema=_SETS)
@@ -200,6 +204,32 @@ def _cell(num: int, den: int):
     return run
 
 
+def _cells(live: DataFrame, path: str, chunk_tokens: int, cell_visitors: int) -> DataFrame:
+    """Step 3: ``mark, home, chunk, block, member``, the sets of each cell. A
+    group is known by its token. Its members are cut into chunks by their tokens,
+    and its visitors, who come from other groups too, into blocks by number and
+    tokens, so that neither side of a cell grows with the group."""
+    of = live.select("mark", "n_shingles", F.struct("home_sets", "home").alias("own"), F.explode("shared").alias("token"))
+    groups = of.select("token", F.col("own").alias("g")).distinct()
+    of.join(groups, "token").where("g >= own").select(
+        "mark", "n_shingles", F.col("g.home").alias("home"), (F.col("g") == F.col("own")).alias("inside")).distinct() \
+        .write.parquet(f"{path}-visits")
+    visits = live.sparkSession.read.parquet(f"{path}-visits")
+    parts = lambda n, most: F.ceil(n / F.lit(most)).cast("long")
+    cut = visits.groupBy("home").agg(
+        F.greatest(parts(F.sum(F.when(F.col("inside"), F.col("n_shingles"))), chunk_tokens), F.lit(1)).alias("chunks"),
+        F.greatest(parts(F.count("*"), cell_visitors), parts(F.sum("n_shingles"), chunk_tokens)).alias("blocks"))
+    dealt = visits.join(cut, "home").withColumn("at", F.pmod("mark", "chunks")) \
+        .withColumn("block", F.pmod(F.xxhash64("mark"), "blocks"))
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    members = dealt.where("inside").select("mark", "home", F.col("at").alias("chunk"), F.explode(numbers(F.col("blocks"))).alias("block"),
+                                           F.lit(True).alias("member"))
+    # Inside its group a set visits the chunks before its own, elsewhere all.
+    guests = dealt.select("mark", "home", F.explode(F.filter(numbers(F.col("chunks")), lambda c: ~F.col("inside") | (c < F.col("at")))).alias("chunk"),
+                          "block", F.lit(False).alias("member"))
+    return members.unionByName(guests)
+
+
 def jaccard_classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, *, doc_id: str = "doc_id",
                     text: str = "text", part_bytes: int | None = None, chunk_tokens: int = CHUNK_TOKENS,
                     cell_visitors: int = CELL_VISITORS) -> DataFrame:
@@ -225,22 +255,7 @@ def jaccard_classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     sets = rows.where("n_shingles > 0").groupBy("mark").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     live = rows.where("home is not null").select("mark", "n_shingles", "home", "home_sets", "shared", "tokens")
     live = live.dropDuplicates(["mark"]).join(sets.select("mark", "copies"), "mark")
-    # Step 3. A group is known by its token; its sizes say how it is cut.
-    of = live.select("mark", F.struct("home_sets", "home").alias("own"), F.explode("shared").alias("token"))
-    groups = of.select("token", F.col("own").alias("g")).distinct()
-    visits = of.join(groups, "token").where("g >= own") \
-        .select("mark", F.col("g.home").alias("home"), (F.col("g") == F.col("own")).alias("inside")).distinct()
-    cut = live.groupBy("home").agg(F.ceil(F.sum("n_shingles") / F.lit(chunk_tokens)).cast("long").alias("chunks"),
-                                   F.ceil(F.count("*") / F.lit(cell_visitors)).cast("long").alias("blocks"))
-    dealt = visits.join(cut, "home").withColumn("at", F.pmod("mark", "chunks")) \
-        .withColumn("block", F.pmod(F.xxhash64("mark"), "blocks"))
-    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    members = dealt.where("inside").select("mark", "home", F.col("at").alias("chunk"), F.explode(numbers(F.col("blocks"))).alias("block"),
-                                           F.lit(True).alias("member"))
-    # Inside its group a set visits the chunks before its own, elsewhere all.
-    guests = dealt.select("mark", "home", F.explode(F.filter(numbers(F.col("chunks")), lambda c: ~F.col("inside") | (c < F.col("at")))).alias("chunk"),
-                          "block", F.lit(False).alias("member"))
-    cells = members.unionByName(guests).join(live.select("mark", "copies", "tokens"), "mark")
+    cells = _cells(live, path, chunk_tokens, cell_visitors).join(live.select("mark", "copies", "tokens"), "mark")
     stars = f"{path}-stars"
     cells.groupBy("home", "chunk", "block").applyInArrow(_cell(num, den), "mark long, root long, links long").write.parquet(stars)
     found = spark.read.parquet(stars)
@@ -285,12 +300,12 @@ def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     groups = jaccard_classes(docs, words, num, den)
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text_hash")
     # Documents without words are alone, each by itself.
-    first = groups.where("set_id <> 0").groupBy("group_id").agg(F.min(key).alias("k")) \
-        .select(F.col("k.nameless").alias("__nameless"), F.col("k.id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    keys = ["__hash", "__id", "__nameless"]
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")))) \
-        .withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))) \
-        .withColumn("__nameless", F.col("doc_id").isNull())
+    at = "__key"
+    while at in docs.columns:
+        at += "_"
+    first = groups.where("set_id <> 0").groupBy("group_id").agg(F.min(key).alias(at)).select(at)
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"),
+                   F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = keyed.where(~wordless).join(first, keys, "left_semi").dropDuplicates(keys)
-    return kept.unionByName(keyed.where(wordless)).drop(*keys)
+    kept = docs.where(~wordless).withColumn(at, own).join(first, at, "left_semi").dropDuplicates([at]).drop(at)
+    return kept.unionByName(docs.where(wordless))

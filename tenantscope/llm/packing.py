@@ -1,16 +1,19 @@
 """Operator 7: best-fit packing of documents into fixed-size sequences.
 
-Hierarchical residual packing. Every partition tokenises its documents, cuts
-the longer ones into pieces of ``capacity`` ids and best-fits the pieces
-(longest first) into bins of its own. Bins that are nearly full are done. The
-others go up a tree as single items, ``FAN_IN`` partitions to a group, where
-the same best fit joins them; this repeats until one group is left.
-
-Best fit leaves at most one bin of a group half empty or more, so what can
-still be joined is few: a group hands up at most ``carry`` of its bins, those
-with the most room, and closes the rest as they are. No group therefore grows
-with the corpus. Only piece sizes travel, never texts or ids. Every round is
-written to the shared folder, so a lost executor costs its own tasks only.
+Hierarchical residual packing. The documents are tokenised where they lie and
+those that are longer than a sequence are cut; only the pieces' sizes and places
+travel from here. Each task deals its pieces of one length to the groups in
+turn, so that every group has the same mix of sizes whatever order the table is
+in, and each group best-fits its pieces (longest first) into bins of its own. Bins that are nearly full are done.
+The others go up a tree as single items, ``FAN_IN`` groups to a node, where the
+same best fit joins them; this repeats until one node is left.
+
+Best fit leaves at most one bin of a group half full or less, and two bins can
+only be joined if one of them is: a node can join at most as many pairs as it
+has groups below it. A group therefore hands up ``carry`` of its bins, those
+with the most room, which is far more than its node has use for, and closes the
+rest as they are; no node grows with the corpus. Every round is written to the
+shared folder, so a lost executor costs its own tasks only.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tenantscope.session import shared_path
 
+from .blobs import tidied
 from .tokens import default_path, encoder
 
 CAPACITY = 2048
@@ -34,11 +38,14 @@ FAN_IN = 16
 TOLERANCE = 16
 #: Bins that a group hands up at most.
 CARRY = 4096
-#: Pieces that a task packs at a time; bounds its memory.
-BATCH_PIECES = 200_000
+#: Pieces that a group of the first round packs (about).
+GROUP_PIECES = 32_768
 
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
+_PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, number long, turn long"
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
+                     ("ids_crc32", pa.int64()), ("number", pa.int64()), ("turn", pa.int64())])
 _BIN = pa.schema([("sequence_id", pa.int64()), ("node", pa.int64()), ("used", pa.int64()),
                   ("done", pa.bool_()), ("members", pa.list_(_MEMBER))])
 _BIN_SQL = ("sequence_id long, node long, used long, done boolean, members array<struct<doc_id: long, "
@@ -95,7 +102,7 @@ def _pack(members: list[list[dict]], sizes: list[int], node: int, first_id: int,
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY,
                    fan_in: int = FAN_IN, tolerance: int = TOLERANCE, carry: int = CARRY,
-                   batch_pieces: int = BATCH_PIECES) -> DataFrame:
+                   group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pack every document of ``docs`` (doc_id, text) into sequences of at most
     ``capacity`` ids: one row per piece, ``doc_id long, piece int, start long,
     length long, ids_crc32 long, sequence_id long, offset long``.
@@ -110,33 +117,30 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int
     vocabulary = tokenizer or default_path()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, made = TaskContext.get().partitionId(), 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        number, turns = task << 40, {}
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
         step = capacity * enc.dtype.itemsize
-        members: list[list[dict]] = []
-
-        def flush() -> pa.RecordBatch:
-            out = _pack(members, [m[0]["length"] for m in members], node, (node << 32) + made,
-                        capacity, tolerance, carry, False)
-            members.clear()
-            return out
-
         for batch in batches:
             for i in range(0, len(batch), 512):
-                rows = batch.slice(i, 512)
+                rows, pieces = batch.slice(i, 512), []
                 for doc, ids in zip(rows.column("doc_id").to_pylist(), enc.encode(rows.column("text").to_pylist()), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), step)):
                         part = np.frombuffer(ids[at:at + step], enc.dtype)
-                        members.append([{"doc_id": doc, "piece": k, "start": k * capacity, "length": len(part),
-                                         "ids_crc32": zlib.crc32(part.astype("<u4").tobytes())}])
-                if len(members) >= batch_pieces:
-                    yield (out := flush())
-                    made += len(out)
-        if members:
-            yield flush()
+                        # Each task begins its turn for a length somewhere else.
+                        turn = turns[len(part)] = turns.get(len(part), task * 7919 + len(part) * 104729) + 1
+                        pieces.append((doc, k, k * capacity, len(part), zlib.crc32(part.astype("<u4").tobytes()), number, turn))
+                        number += 1
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*pieces, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
+
+    def first(key, table):
+        node = key[0].as_py()
+        table = table.sort_by([("length", "descending"), ("number", "ascending")]).drop_columns(["number", "turn", "node"])
+        members = [[m] for m in table.to_pylist()]
+        return pa.Table.from_batches([_pack(members, [m[0]["length"] for m in members], node, node << 32, capacity, tolerance, carry, nodes == 1)])
 
     def merge(level: int, last: bool):
         def join(key, table):
@@ -148,10 +152,12 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int
         return join
 
     path = shared_path(spark, "packing")
-    src.mapInArrow(local, _BIN_SQL).write.parquet(f"{path}/0")
+    src.mapInArrow(tidied(cut), _PIECE_SQL).write.parquet(f"{path}/pieces")
+    pieces = spark.read.parquet(f"{path}/pieces")
+    nodes = max(1, -(-pieces.count() // group_pieces))
+    dealt = pieces.withColumn("node", F.pmod("turn", F.lit(nodes).cast("long")))
+    dealt.groupBy("node").applyInArrow(first, _BIN_SQL).write.parquet(f"{path}/0")
     level, packed = 0, [spark.read.parquet(f"{path}/0")]
-    top = packed[0].agg(F.max("node").alias("n")).first()["n"]
-    nodes = 0 if top is None else int(top) + 1
     while nodes > 1:
         level, nodes = level + 1, -(-nodes // fan_in)
         up = packed[-1].where("not done").withColumn("node", F.expr(f"node div {fan_in}"))

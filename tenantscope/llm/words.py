@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 from .rolling import PrefixHash
@@ -18,6 +20,10 @@ def _table(chars: bytes) -> np.ndarray:
 SPACED = _table(bytes([0x20, *range(0x09, 0x0E)]))
 ALNUM = _table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
+#: Longer words are known by a digest: modulo 2**64 the rolling hash is the same
+#: for some pairs of different strings of 1,024 bytes and more.
+LONG = 64
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -59,7 +65,10 @@ def _words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[n
     stop[bounds] = True
     stops = np.flatnonzero(stop)
     end = stops[np.searchsorted(stops, first, "right")]
-    return PrefixHash(low).spans(first, end), first
+    h = PrefixHash(low).spans(first, end)
+    for i in np.flatnonzero(end - first > LONG).tolist():
+        h[i] = int.from_bytes(blake2b(low[first[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, first
 
 
 def doc_slices(offsets: np.ndarray, limit: int = 1 << 20):

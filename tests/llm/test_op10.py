@@ -110,3 +110,13 @@ def test_long_texts_are_read_in_pieces():
         whole = word_table(data, off, table)
         for limit in (1, 7, 64):
             assert all((a == b).all() for a, b in zip(whole, word_table(data, off, table, limit), strict=True))
+
+
+def test_long_words_that_the_rolling_hash_takes_for_equal(spark):
+    word = "a"
+    while len(word) < 65_536:
+        word += word.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048, 65_536):
+        docs = spark.createDataFrame([(1, word[:n].translate(str.maketrans("ab", "ba"))), (2, "x " + word[:n])], "doc_id long, text string")
+        got = op10_decontamination(docs, spark.createDataFrame([("i", word[:n])], "item_id string, text string"))
+        assert sorted((r.doc_id, r.n_hit, r.contaminated) for r in got.collect()) == [(1, 0, False), (2, 1, True)]

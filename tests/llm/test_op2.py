@@ -115,3 +115,28 @@ def test_components(spark):
             root[max(a, b)] = min(a, b)
     have = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert have == {x: find(x) for x in root}
+
+
+def test_long_words_that_the_rolling_hash_takes_for_equal(spark):
+    """Thue-Morse words and their complements: different documents stay apart."""
+    word = "a"
+    while len(word) < 65_536:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = []
+    for k, n in enumerate((1024, 2048, 65_536)):
+        rows += [(2 * k, f"x y {word[:n]}"), (2 * k + 1, f"x y {word[:n].translate(str.maketrans('ab', 'ba'))}")]
+    got = op2_ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id and r.n_links == 0 for r in got) and len(got) == 6
+
+
+def test_cells_are_bounded_by_their_visitors(spark, tmp_path):
+    """One set that 400 others visit: its group is cut by them, not by its one
+    member."""
+    from tenantscope.llm.ngram_jaccard import _cells
+    rows = [(1, 50, 7, 900, [7])] + [(100 + i, 50, 1000 + i, 2, [7, 1000 + i]) for i in range(400)]
+    live = spark.createDataFrame(rows, "mark long, n_shingles long, home long, home_sets long, shared array<long>")
+    for kw in ({"chunk_tokens": 1 << 19, "cell_visitors": 50}, {"chunk_tokens": 2500, "cell_visitors": 4096}):
+        cells = _cells(live, str(tmp_path / str(kw["cell_visitors"])), **kw).where("home = 7")
+        size = [r["count"] for r in cells.groupBy("chunk", "block").count().collect()]
+        assert cells.where("not member").select("mark").distinct().count() == 400
+        assert max(size) <= 2 * 50 and len(size) >= 8

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tenantscope.llm.packing import best_fit, op7_best_fit_packing, pack_documents, sequences
@@ -64,6 +65,21 @@ def test_query(spark, sf_dir, parts):
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b c"), (3, "tie"), (3, "tie"), (4, "word " * 205), (5, "word " * 99), (6, "word " * 100)]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, piece int").repartition(5)
-    for kw in ({}, {"carry": 1}, {"tolerance": 99}, {"batch_pieces": 2, "fan_in": 2}):
+    for kw in ({}, {"carry": 1}, {"tolerance": 99}, {"group_pieces": 2, "fan_in": 2}):
         check(rows, pack_documents(docs, capacity=100, **kw).collect(), 100, 0)
     assert not op7_best_fit_packing(docs.limit(0)).collect()
+
+
+@pytest.mark.parametrize("layout", ["two sizes", "sorted", "random"])
+def test_as_few_sequences_as_plain_best_fit(spark, sf_dir, layout):
+    """Whatever order the table is in, pieces of all sizes meet in every group."""
+    if layout == "two sizes":
+        docs = spark.createDataFrame([(i, "word " * (1100 if i < 400 else 900)) for i in range(800)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    else:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        docs = docs.repartitionByRange(4, F.length("text")) if layout == "sorted" else docs.repartition(4)
+    placed = pack_documents(docs, group_pieces=60)
+    sizes = [r.length for r in placed.collect()]
+    plain = len(best_fit(sizes, 2048))
+    assert plain <= sequences(placed).count() <= 1.02 * plain
+    assert layout != "two sizes" or plain == 400
