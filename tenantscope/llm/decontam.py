@@ -336,9 +336,9 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS i
           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
 -- Proximity: of the five terms of a window that are rarest in the documents (ties: the first), four (all of fewer)
 -- within two words of their places; the rarest one that is there sets the place.
-windows AS MATERIALIZED (
+piece AS MATERIALIZED (
   SELECT DISTINCT id, w[i:i + 9] AS l FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM w WHERE kind = 1 AND len(w) > 0)),
-phrase AS MATERIALIZED (SELECT l, row_number() OVER () AS pid FROM (SELECT DISTINCT l FROM windows)),
+phrase AS MATERIALIZED (SELECT l, row_number() OVER () AS pid FROM (SELECT DISTINCT l FROM piece)),
 held AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM w WHERE kind = 0) GROUP BY x),
 chosen AS MATERIALIZED (
   SELECT pid, k, x, r, least(least(m, 5), 4) AS need, least(m, 5) AS size
@@ -348,14 +348,14 @@ chosen AS MATERIALIZED (
 posting AS MATERIALIZED (
   SELECT doc_id, p, x FROM (SELECT doc_id, p, w[p] AS x FROM (SELECT id AS doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w WHERE kind = 0))
   WHERE x IN (SELECT x FROM chosen)),
-anchor AS MATERIALIZED (SELECT pid, doc_id, p - k AS at, r, need FROM chosen JOIN posting USING (x) WHERE r <= size - need),
+anchor AS MATERIALIZED (SELECT pid, doc_id, p - k AS st, r, need FROM chosen JOIN posting USING (x) WHERE r <= size - need),
 other AS (
-  SELECT DISTINCT a.pid, a.doc_id, a.at, a.r, c.r AS s FROM anchor a JOIN chosen c ON c.pid = a.pid AND c.r > a.r
-  JOIN posting q ON q.doc_id = a.doc_id AND q.x = c.x AND q.p BETWEEN a.at + c.k - 2 AND a.at + c.k + 2),
+  SELECT DISTINCT a.pid, a.doc_id, a.st, a.r, c.r AS s FROM anchor a JOIN chosen c ON c.pid = a.pid AND c.r > a.r
+  JOIN posting q ON q.doc_id = a.doc_id AND q.x = c.x AND q.p BETWEEN a.st + c.k - 2 AND a.st + c.k + 2),
 near AS (
-  SELECT DISTINCT a.pid, a.doc_id FROM anchor a LEFT JOIN (SELECT pid, doc_id, at, r, count(*) AS n FROM other GROUP BY ALL) o
-    ON o.pid = a.pid AND o.doc_id = a.doc_id AND o.at = a.at AND o.r = a.r WHERE coalesce(o.n, 0) + 1 >= a.need),
-near_items AS (SELECT doc_id, count(DISTINCT v.id) AS n FROM near JOIN phrase USING (pid) JOIN windows v USING (l) GROUP BY doc_id)
+  SELECT DISTINCT a.pid, a.doc_id FROM anchor a LEFT JOIN (SELECT pid, doc_id, st, r, count(*) AS n FROM other GROUP BY ALL) o
+    ON o.pid = a.pid AND o.doc_id = a.doc_id AND o.st = a.st AND o.r = a.r WHERE coalesce(o.n, 0) + 1 >= a.need),
+near_items AS (SELECT doc_id, count(DISTINCT v.id) AS n FROM near JOIN phrase USING (pid) JOIN piece v USING (l) GROUP BY doc_id)
 SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated,
   CAST(coalesce(e.n, 0) AS BIGINT) AS n_near_items
