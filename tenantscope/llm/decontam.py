@@ -333,7 +333,7 @@ hit AS MATERIALIZED (
 place AS (SELECT DISTINCT doc_id, p FROM hit, unnest(range(i, i + n)) t(p)),
 n_hit AS (SELECT doc_id, count(*) AS n FROM place GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
 -- Proximity: of the five terms of a window that are rarest in the documents (ties: the first), four (all of fewer)
 -- within two words of their places; the rarest one that is there sets the place.
 piece AS MATERIALIZED (
