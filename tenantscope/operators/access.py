@@ -105,7 +105,7 @@ def generate_rules(db: DataFrame, wl: DataFrame) -> DataFrame:
                    S.cidr_lo("ip_address").alias("lo"), S.cidr_hi("ip_address").alias("hi")))
     allowed = ips.join(tenants, ips["_wdb"] == tenants["_tid"], "inner").drop("_wdb", "_tid")
     allowed = row_number_within(allowed, ["database_name", "username"], "wl_id",
-                                out="rule_no", total="n_allow")
+                                out="rule_no", total="n_allow", span=wl.select(F.col("id").alias("wl_id")))
     # A tenant's last allow row also gives its two rejects, so the rejects
     # cost no second pass over the whitelist.
     no_len, no_bound = F.lit(None).cast("int").alias("prefix_len"), F.lit(None).cast("bigint")

@@ -100,3 +100,14 @@ def key_permissions(keys: DataFrame, resource: str = "databases",
     """Permission flags read from the keys' JSON."""
     return keys.select("id", "name", *[S.has_permission("permissions", resource, v)
                                       .alias(f"can_{v}") for v in verbs])
+
+
+def key_permissions_variant(keys: DataFrame, resource: str = "databases",
+                            verbs=("create", "read", "update", "delete")) -> tuple[DataFrame, DataFrame]:
+    """R58 over VARIANT: the JSON of a key is parsed once, all flags read the
+    typed value. Returns the flags of every key and, apart, the keys whose
+    permissions are no JSON (their flags are false)."""
+    parsed = keys.withColumn("_v", F.try_parse_json("permissions"))
+    bad = parsed.filter(F.col("permissions").isNotNull() & F.col("_v").isNull()).drop("_v")
+    held = parsed.select("id", "name", F.try_variant_get("_v", f"$['{resource}']", "array<string>").alias("_h"))
+    return held.select("id", "name", *[F.coalesce(F.array_contains("_h", v), F.lit(False)).alias(f"can_{v}") for v in verbs]), bad

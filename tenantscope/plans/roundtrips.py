@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenantscope import schemas
-from tenantscope.operators import changes, checks, registry
+from tenantscope.operators import audit, changes, checks, registry
+from tenantscope.operators import text_vector as TV
 from tenantscope.plans import oracle_sql as Q
 from tenantscope.plans.catalog import QUERIES, _ip_requests, _removal_keys, query
 from tenantscope.session import shared_path
@@ -308,6 +309,37 @@ def q_retention_by_day(spark, d):
     return store.read("audit_logs")
 
 
+@query("stream_rules_incremental", f"SELECT database_name, CAST(rule_no AS INT) AS rule_no, line FROM ({Q.ACCESS_RULES})")
+def q_stream_rules_incremental(spark, d):
+    """The allow list comes in two lots; the second refreshes the rules of
+    its tenants only."""
+    f = Fleet(spark, d)
+    feed, (out, ck) = shared_path(spark, "feed"), _out(spark)
+    schema = f.ip_whitelist.schema
+    for lot in ("id % 50 <> 0", "id % 50 = 0"):
+        f.ip_whitelist.where(lot).write.mode("append").parquet(feed)
+        come = spark.read.schema(schema).parquet(feed)
+        ST.rules_stream_incremental(spark.readStream.schema(schema).parquet(feed), lambda: (f.databases, come), out, ck).awaitTermination()  # noqa: B023
+    return ST.read_rules(spark, out)
+
+
+@_twin("key_permissions_variant", "key_permissions")
+def q_key_permissions_variant(spark, d):
+    return audit.key_permissions_variant(Fleet(spark, d).api_keys)[0]
+
+
+@query("owner_groups_collated", """
+SELECT min(v) AS owner_email, COUNT(*) AS n FROM (
+  SELECT CASE WHEN id % 2 = 0 THEN upper(owner_email) ELSE owner_email END AS v FROM databases
+  UNION ALL SELECT owner_email FROM databases) WHERE v IS NOT NULL GROUP BY lower(v)
+""")
+def q_owner_groups_collated(spark, d):
+    """Owners of two listings that spell them in different cases."""
+    t = Fleet(spark, d).databases
+    other = t.select(F.when(F.col("id") % 2 == 0, F.upper("owner_email")).otherwise(F.col("owner_email")).alias("owner_email"))
+    return TV.ci_group_collated(other.unionByName(t.select("owner_email")), "owner_email")
+
+
 # --- checks on tables that break the rules --------------------------------------
 @query("orphans_stats_of_active", """
 SELECT s.* FROM database_stats s
@@ -370,3 +402,21 @@ def q_unique_registry_names(spark, d):
     again = names.filter(names["id"] % 9 == 0)
     return checks.unique_violations(names.unionByName(again).unionByName(
         again.withColumn("database_name", F.lit(None).cast("string"))), ["database_name"])
+
+
+def near_queries(v: DataFrame) -> DataFrame:
+    """Questions that resemble a cached one: every fifth vector, moved by 0.3 of
+    its neighbour in id order."""
+    other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("o"))
+    return v.where("vec_id % 5 = 0").join(other, "vec_id") \
+        .select(F.col("vec_id").alias("qid"), F.zip_with("embedding", "o", lambda x, y: x + y * 0.3).alias("embedding"))
+
+
+def q_semantic_lookup_lsh(spark, d):
+    """R70 with random-projection buckets; approximate, so without SQL (the test
+    measures its recall)."""
+    v = Fleet(spark, d).raw("embeddings")
+    return TV.semantic_lookup_lsh(near_queries(v), v, 0.9)
+
+
+QUERIES["semantic_lookup_lsh"] = (q_semantic_lookup_lsh, None)

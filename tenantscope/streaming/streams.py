@@ -170,6 +170,43 @@ def rules_stream(changes: DataFrame, load_tables: Callable[[], tuple[DataFrame,
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+RULE_BUCKETS = 256
+
+
+def refresh_rules(db: DataFrame, wl: DataFrame, changed: DataFrame, out_dir: str, buckets: int = RULE_BUCKETS) -> None:
+    """R84 for what changed: rules are kept in ``buckets`` directories by tenant
+    id, and only the buckets that hold a tenant of ``changed`` (database_id) are
+    computed and written anew (dynamic partition overwrite); the files of the
+    others are not touched. A bucket that is left without rules keeps a row without a name,
+    which ``read_rules`` leaves out."""
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(buckets)).cast("int")
+    touched = changed.where("database_id is not null").select(bucket("database_id").alias("bucket")).distinct()
+    touched = db.sparkSession.createDataFrame([(r["bucket"],) for r in touched.collect()], "bucket int")  # at most ``buckets``
+    own = db.withColumn("bucket", bucket("id")).join(F.broadcast(touched), "bucket", "left_semi")
+    entries = wl.withColumn("bucket", bucket("database_id")).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")
+    rules = access.generate_rules(own.drop("bucket"), entries).join(own.select("database_name", "bucket"), "database_name")
+    rows = rules.select("database_name", "rule_no", "line", "bucket").unionByName(touched, allowMissingColumns=True)
+    (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "database_name", "rule_no")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out_dir))
+
+
+def read_rules(spark, out_dir: str) -> DataFrame:
+    schema = "database_name string, rule_no int, line string, bucket int"
+    return spark.read.schema(schema).parquet(out_dir).where("database_name is not null").drop("bucket")
+
+
+def rules_stream_incremental(changes: DataFrame, load_tables: Callable[[], tuple[DataFrame, DataFrame]], out_dir: str,
+                             checkpoint: str, buckets: int = RULE_BUCKETS) -> StreamingQuery:
+    """On every micro-batch of whitelist changes, ``refresh_rules`` of its
+    tenants. A retried batch writes the same buckets again."""
+    def on_batch(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            refresh_rules(*load_tables(), batch, out_dir, buckets)
+
+    return (changes.writeStream.foreachBatch(on_batch)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a streaming DataFrame over everything available into an
     in-memory table ``name`` (tests and local checks)."""
