@@ -3,8 +3,10 @@
 ``Window.partitionBy(tenant)`` puts a whole tenant in one task. Here every
 tenant's rows are cut into time chunks. A row's predecessors are those of
 its own (tenant, chunk), from a plain window, and the last rows of the
-chunks before, which travel as one short array per chunk. All tenants take
-this one path, and NULL keys or times are a group or chunk like any other,
+chunks before, which travel as one short array per chunk: first along the
+chunks of a month, then along the months of a tenant, so that no window holds
+more than a month's chunks or a tenant's months. All tenants take this one
+path, and NULL keys or times are a group or chunk like any other,
 so the result is that of the plain per-tenant window.
 """
 
@@ -47,8 +49,9 @@ def with_preceding(df: DataFrame, part: str, order_cols: list[str], values: list
                    chunk: Column | None = None, out: str = "_prev") -> DataFrame:
     """Add ``out``: the ``values`` (an array of structs) of up to ``k`` rows
     that precede the row in its group's order, oldest first. ``chunk`` must
-    sort as ``order_cols`` do."""
-    t = (df.withColumn("_g", F.struct(part))
+    sort as ``order_cols`` do; the default chunks lie within months."""
+    coarse = F.date_trunc("MONTH", order_cols[0]) if chunk is None else F.lit(0)
+    t = (df.withColumn("_g", F.struct(part)).withColumn("_m", F.struct(coarse.alias("m")))
          .withColumn("_c", F.struct((chunk if chunk is not None else time_chunk(order_cols)).alias("c")))
          .withColumn("_v", F.struct(*values)))
     w = Window.partitionBy("_g", "_c").orderBy(*order_cols)
@@ -56,12 +59,16 @@ def with_preceding(df: DataFrame, part: str, order_cols: list[str], values: list
            .withColumn("_more", F.lead(F.lit(True)).over(w)))
     # The last k rows of each chunk, oldest first: what its last row has seen.
     tails = own.filter(F.col("_more").isNull()).select(
-        "_g", "_c", _last(F.concat("_own", F.array("_v")), k).alias("_t"))
-    before = Window.partitionBy("_g").orderBy("_c").rowsBetween(-k, -1)
-    halo = tails.select("_g", "_c", _last(F.flatten(F.collect_list("_t").over(before)), k).alias("_halo"))
+        "_g", "_m", "_c", _last(F.concat("_own", F.array("_v")), k).alias("_t"))
+    before = lambda w: _last(F.flatten(F.collect_list("_t").over(w.rowsBetween(-k, -1))), k)
+    month = Window.partitionBy("_g", "_m").orderBy("_c")
+    inner = tails.select("_g", "_m", "_c", "_t", before(month).alias("_in"), F.lead(F.lit(True)).over(month).alias("_more"))
+    months = inner.filter(F.col("_more").isNull()).select("_g", "_m", _last(F.concat("_in", "_t"), k).alias("_t"))
+    above = months.select("_g", "_m", before(Window.partitionBy("_g").orderBy("_m")).alias("_before"))
+    halo = inner.join(above, ["_g", "_m"]).select("_g", "_c", _last(F.concat("_before", "_in"), k).alias("_halo"))
     return (own.join(halo, ["_g", "_c"])
             .withColumn(out, _last(F.concat("_halo", "_own"), k))
-            .drop("_g", "_c", "_v", "_own", "_more", "_halo"))
+            .drop("_g", "_m", "_c", "_v", "_own", "_more", "_halo"))
 
 
 def size_growth(stats: DataFrame, order_cols: list[str] | None = None,

@@ -3,6 +3,7 @@ brute force on small fixtures."""
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -82,8 +83,30 @@ def test_windows_take_null_times_tenants_and_values(spark):
 
 def test_windows_and_rules_scan_their_input_at_most_twice(spark):
     q = E.queries()
-    for name, most in (("size_growth", 2), ("rolling_connections", 2), ("access_rules", 4), ("admit_intended", 10)):
+    for name, most in (("access_rules", 4), ("admit_intended", 10)):
         assert plan_text(q[name](spark, SF_SMALL)).count("FileScan") <= most, name
+    # Both levels of chunk tails read one exchange: only the plan that ran shows it.
+    for name in ("size_growth", "rolling_connections"):
+        df = q[name](spark, SF_SMALL)
+        df.collect()
+        ran = plan_text(df).partition("== Initial Plan ==")[0]
+        assert "isFinalPlan=true" in ran and ran.count("FileScan") <= 2 and ran.count("ReusedExchange") == 1, name
+
+
+def test_no_window_holds_a_whole_tenant(spark):
+    """One tenant with a row an hour for 300 days: chunks meet by month, months
+    by tenant."""
+    n = 7200
+    df = spark.range(n).select((F.col("id") % 1).alias("database_id"), F.timestamp_add("HOUR", F.col("id"), F.lit("2023-01-01").cast("timestamp_ntz")).alias("recorded_at"),
+                               F.col("id").alias("seq"), F.col("id").alias("total_queries"), (F.col("id") * 10).alias("size_bytes"))
+    df = df.withColumn("recorded_at", F.col("recorded_at") + F.expr("INTERVAL 7 MINUTES"))
+    out = W.size_growth(df)
+    rows = {r.seq: r.prev_size for r in out.collect()}
+    assert rows == {i: (i - 1) * 10 if i else None for i in range(n)}
+    ran = plan_text(out).partition("== Initial Plan ==")[0]
+    # partition and order of each window that ran
+    keys = re.findall(r"\], \[([^\]]*)\], \[([^\]]*)\]", "".join(x for x in ran.splitlines() if " Window [" in x))
+    assert [k for k in keys if k[0].count("#") == 1 and k[1].startswith("_m#")] and not [k for k in keys if k[0].count("#") == 1 and k[1].startswith("_c#")]
 
 
 def _py_trigrams(text):
