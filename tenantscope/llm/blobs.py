@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tokens import forget
+
 PACKED = "bucket long, part long, body binary"
 #: Bytes of text that one part of a partitioned corpus holds on average.
 PART_BYTES = 4 << 20
@@ -118,22 +120,26 @@ def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     return off - off[0], data[off[0]:off[-1]]
 
 
-def give_back() -> None:
-    """Return freed memory to the system. Workers outlive their tasks, and what
-    the allocators keep of one stage's arrays would stand beside the next one's."""
+def give_back(encodes: bool = False) -> None:
+    """Return freed memory to the system, and the encoders' caches unless the
+    task ``encodes``. Workers outlive their tasks, and what one stage leaves would
+    stand beside the next one's arrays."""
+    if not encodes:
+        forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run`` for ``mapInArrow``, giving memory back when a task ends."""
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], encodes: bool = False):
+    """``run`` for ``mapInArrow``, giving memory back when a task begins and ends."""
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(encodes)
         try:
             yield from run(batches)
         finally:
-            give_back()
+            give_back(encodes)
     return inner
 
 

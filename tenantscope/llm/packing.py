@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tenantscope.session import shared_path
 
 from .blobs import tidied
+from .rolling import ranges
 from .tokens import default_path, encoder
 
 CAPACITY = 2048
@@ -77,27 +78,31 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _in_place(pieces: list[dict]) -> list[dict]:
-    at, out = 0, []
-    for m in pieces:
-        out.append({**m, "offset": at})
-        at += m["length"]
-    return out
-
-
-def _pack(members: list[list[dict]], sizes: list[int], node: int, first_id: int, capacity: int,
+def _pack(members: pa.ListArray, sizes: np.ndarray, node: int, first_id: int, capacity: int,
           tolerance: int, carry: int, last: bool) -> pa.RecordBatch:
     """Best-fit items (each a list of pieces) into bins; mark which are done."""
-    bins = best_fit(sizes, capacity)
-    used = [sum(sizes[i] for i in b) for b in bins]
-    keep = [] if last else sorted((b for b in range(len(bins)) if capacity - used[b] > tolerance),
-                                  key=lambda b: (used[b], b))[:carry]
+    bins = best_fit(sizes.tolist(), capacity)
+    item = np.fromiter((i for b in bins for i in b), np.int64, len(sizes))
+    ends = np.cumsum([len(b) for b in bins])
+    used = np.add.reduceat(sizes[item], np.append(0, ends[:-1])) if bins else np.zeros(0, np.int64)
     done = np.ones(len(bins), bool)
-    done[keep] = False
+    if not last:
+        more = np.flatnonzero(capacity - used > tolerance)
+        done[more[np.argsort(used[more], kind="stable")[:carry]]] = False
+    # The pieces bin by bin, each behind the one before it.
+    starts, count = members.offsets.to_numpy()[:-1], np.diff(members.offsets.to_numpy())
+    pieces = pa.table(members.values.flatten(), names=[f.name for f in members.type.value_type]).take(ranges(starts[item], count[item]))
+    n = np.add.reduceat(count[item], np.append(0, ends[:-1])) if bins else np.zeros(0, np.int64)
+    length = pieces.column("length").to_numpy()
+    at = np.cumsum(length) - length
+    bound = np.append(0, np.cumsum(n))
+    at -= np.repeat(at[bound[:-1]], n) if len(at) else at
+    names = [f.name for f in _MEMBER]
+    held = pa.StructArray.from_arrays([pa.array(at) if f == "offset" else pieces.column(f).combine_chunks() for f in names], fields=list(_MEMBER))
     return pa.record_batch([
         pa.array(np.arange(first_id, first_id + len(bins), dtype=np.int64)), pa.array(np.full(len(bins), node, np.int64)),
-        pa.array(used, pa.int64()), pa.array(done),
-        pa.array([_in_place([m for i in b for m in members[i]]) for b in bins], pa.list_(_MEMBER))], schema=_BIN)
+        pa.array(used, pa.int64()), pa.array(done), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), held, type=_BIN.field("members").type)],
+        schema=_BIN)
 
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY,
@@ -138,21 +143,23 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int
 
     def first(key, table):
         node = key[0].as_py()
-        table = table.sort_by([("length", "descending"), ("number", "ascending")]).drop_columns(["number", "turn", "node"])
-        members = [[m] for m in table.to_pylist()]
-        return pa.Table.from_batches([_pack(members, [m[0]["length"] for m in members], node, node << 32, capacity, tolerance, carry, nodes == 1)])
+        table = table.sort_by([("length", "descending"), ("number", "ascending")]).drop_columns(["number", "turn", "node"]).combine_chunks()
+        n = table.num_rows
+        alone = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.StructArray.from_arrays(
+            [table.column(f.name).chunk(0) for f in _MEMBER if f.name != "offset"], names=[f.name for f in _MEMBER if f.name != "offset"]))
+        return pa.Table.from_batches([_pack(alone, table.column("length").to_numpy(), node, node << 32, capacity, tolerance, carry, nodes == 1)])
 
     def merge(level: int, last: bool):
         def join(key, table):
             node = key[0].as_py()
-            table = table.sort_by([("used", "descending"), ("sequence_id", "ascending")])
+            table = table.sort_by([("used", "descending"), ("sequence_id", "ascending")]).combine_chunks()
             first = (level << 56) + (node << 32)
-            return pa.Table.from_batches([_pack(table.column("members").to_pylist(), table.column("used").to_pylist(),
+            return pa.Table.from_batches([_pack(table.column("members").chunk(0), table.column("used").to_numpy(),
                                                 node, first, capacity, tolerance, carry, last)])
         return join
 
     path = shared_path(spark, "packing")
-    src.mapInArrow(tidied(cut), _PIECE_SQL).write.parquet(f"{path}/pieces")
+    src.mapInArrow(tidied(cut, encodes=True), _PIECE_SQL).write.parquet(f"{path}/pieces")
     pieces = spark.read.parquet(f"{path}/pieces")
     nodes = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("node", F.pmod("turn", F.lit(nodes).cast("long")))

@@ -24,9 +24,8 @@ _PLAIN = re.compile("[!-;=-~\u00a1-\u012f]+")
 #: ``WORD_PATTERN`` for lower-cased words of these characters.
 _LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
-#: Words, and word pieces, kept per worker (about 20 MB each); beyond it a cache
-#: starts anew. Frequent words are back at once, most others occur only once.
-CACHE_WORDS = 100_000
+#: Words and word pieces kept per worker; beyond it a cache starts anew.
+CACHE_WORDS = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -133,3 +132,11 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Empty the encoders' caches: a worker that goes on to work without a
+    tokenizer needs the memory."""
+    for e in _encoders.values():
+        e.words.clear()
+        e.words.pieces.clear()

@@ -104,4 +104,4 @@ def test_empty_table(spark, sf_dir):
 def test_registered():
     import __spark_entry__ as e
     names = set(e.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
