@@ -106,7 +106,7 @@ def _summed(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray], size: int,
     out = rows.select("x").mapInArrow(partial, f"k long, v {kind}").groupBy("k") \
         .agg(F.sum("v" if kind == "double" else F.col("v").cast("decimal(38,0)")).alias("v"))
     total = np.zeros(size, np.float64 if kind == "double" else object)
-    for r in out.toLocalIterator():  # ``size`` rows
+    for r in out.collect():  # ``size`` rows, in one job however many partitions they lie in
         total[r["k"]] = r["v"] if kind == "double" else int(r["v"])
     return total
 

@@ -94,3 +94,22 @@ def test_triangular_solve():
     r = np.triu(rng.standard_normal((6, 6))) + 4 * np.eye(6)
     y = rng.standard_normal((9, 6))
     assert np.allclose(solve_right(y, r) @ r, y)
+
+
+def test_sums_come_in_one_job_however_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((60, 6)))], "vec_id long, embedding array<double>")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    sc = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("whitening-sums", "sums")
+        whiten(df)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("whitening-sums"))
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < jobs <= 30  # not one for each partition of each pass
