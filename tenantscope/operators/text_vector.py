@@ -1,13 +1,21 @@
 """Text, vector, key-value and path jobs (the control plane's declared
-extensions, R69-R78), all as Spark joins and aggregates over Column
-expressions; no Python UDF."""
+extensions, R69-R78), as Spark joins and aggregates over Column expressions.
+Only the trigram join and the LSH lookup multiply matrices in their tasks."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from tenantscope.functions import scalars as S
 from tenantscope.session import shared_path
@@ -180,38 +188,52 @@ def words(c) -> Column:
     return F.filter(F.split(F.lower(S._c(c)), WORD_SPLIT), lambda w: F.length(w) > 0)
 
 
-def trigrams(c) -> Column:
-    """Distinct trigrams of a text: each word is padded with two spaces
-    before and one after, then cut into every 3-character window.
-
-    Windows are cut per word, never over the whole text: ``substring`` on
-    UTF-8 text walks from the start of the string, so windows over a long
-    text would cost quadratic time."""
-    padded = F.transform(words(c), lambda w: F.concat(F.lit(TRGM_PAD_BEFORE), w, F.lit(TRGM_PAD_AFTER)))
-    grams = F.transform(padded, lambda p: F.transform(
-        F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, 3)))
-    return F.array_distinct(F.flatten(grams))
-
-
-def _gram_sets(df: DataFrame, id_col: str, text_col: str, side: str) -> DataFrame:
-    """One row per record: id, gram count and the sorted distinct grams."""
-    return (df.select(F.col(id_col).alias(f"_{side}"),
-                      F.coalesce(F.array_sort(trigrams(text_col)), F.array().cast("array<string>"))
-                      .alias(f"_{side}g"))
-            .select(f"_{side}", F.size(f"_{side}g").alias(f"_{side}n"), f"_{side}g"))
-
-
-def _gram_rows(df: DataFrame, id_col: str, text_col: str, side: str) -> DataFrame:
-    """One row per (record, distinct gram) with the record's gram count.
-
-    The grams are computed once, inside the generator: filters placed
-    after this (size windows, inferred not-null checks) apply to generated
-    columns and never copy the trigram expression into a pushed-down
-    filter."""
-    arr = F.coalesce(trigrams(text_col), F.array().cast("array<string>"))
-    g = df.select(F.col(id_col).alias(f"_{side}"), arr.alias("_arr"))
-    return g.select(f"_{side}", F.inline(F.transform(
-        "_arr", lambda x: F.struct(x.alias("g"), F.size("_arr").alias(f"_{side}n")))))
+def _word_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of each word, one after the other, and how many each has: a
+    word is padded with two spaces before and one after, then cut into every
+    3-character window. A trigram is its three code points in one integer."""
+    text = "".join(f"{TRGM_PAD_BEFORE}{w}{TRGM_PAD_AFTER}" for w in words.to_pylist())
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    n = pc.utf8_length(words).to_numpy().astype(np.int64) + len(TRGM_PAD_BEFORE + TRGM_PAD_AFTER) - 2
+    at = np.arange(n.sum()) + np.repeat(2 * np.arange(len(n)), n)
+    return c[at] << 42 | c[at + 1] << 21 | c[at + 2], n
+
+
+# Records whose words are cut at a time, and the cells of a table of them by gram.
+GRAM_ROWS, GRAM_CELLS = 1024, 1 << 26
+
+
+def _gram_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per record: id, gram count and the distinct trigrams of its
+    words. A word is cut once for all the records of a batch that have it."""
+    t = df.select(F.col(id_col).alias("_id"), F.array_distinct(words(text_col)).alias("_w"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), GRAM_ROWS):
+                part = batch.slice(lo, GRAM_ROWS)
+                word = part.column(1).flatten().dictionary_encode()
+                code, n = _word_grams(word.dictionary)
+                codes, gram = np.unique(code, return_inverse=True)
+                k = word.indices.to_numpy()
+                size = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy()
+                row, start = np.repeat(np.arange(len(part)), size), np.cumsum(n) - n
+                many = n[k]
+                at = np.arange(many.sum()) + np.repeat(start[k] - (np.cumsum(many) - many), many)
+                cell = np.repeat(row, many) * len(codes) + gram[at]
+                if len(part) * len(codes) <= GRAM_CELLS:
+                    seen = np.zeros(len(part) * len(codes), bool)
+                    seen[cell] = True
+                    cell = np.flatnonzero(seen)
+                else:
+                    cell = np.unique(cell)
+                row, gram = np.divmod(cell, max(1, len(codes)))
+                own = np.bincount(row, minlength=len(part))
+                ends = np.append(0, np.cumsum(own)).astype(np.int32)
+                yield pa.record_batch([part.column(0), pa.array(own.astype(np.int32)),
+                                       pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[gram]))], names=["_id", "_n", "_g"])
+
+    return t.mapInArrow(cut, StructType([t.schema["_id"], StructField("_n", IntegerType()), StructField("_g", ArrayType(LongType()))]))
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -221,17 +243,6 @@ def _ratio(threshold: float) -> tuple[int, int]:
     return f.numerator, f.denominator
 
 
-def _ceil_div(a: Column, b: int) -> Column:
-    """ceil(a / b) for integers a >= 0, without floating point."""
-    up = a + F.lit(b - 1)
-    return ((up - F.pmod(up, F.lit(b))) / F.lit(b)).cast("long")
-
-
-def _sizes_fit(num: int, den: int) -> Column:
-    return ((F.col("_bn") * F.lit(den) >= F.col("_an") * F.lit(num))
-            & (F.col("_bn") * F.lit(num) <= F.col("_an") * F.lit(den)))
-
-
 def _result(pairs: DataFrame, a_id: str, b_id: str, num: int, den: int) -> DataFrame:
     union = F.col("_an") + F.col("_bn") - F.col("shared")
     sim = F.col("shared") / union
@@ -245,79 +256,163 @@ def _result(pairs: DataFrame, a_id: str, b_id: str, num: int, den: int) -> DataF
                     F.round(sim, 6).alias("similarity")))
 
 
+# Records and grams in a block, at most (expected: records are dealt by hash),
+# columns of grams that are multiplied at a time, and size bands of a factor 1 / threshold.
+BLOCK_RECORDS, BLOCK_GRAMS, BLOCK_COLUMNS, BANDS = 2048, 1 << 21, 8192, 4
+
+
+def _blocks(sets: DataFrame, threshold: float) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """The records in blocks, one row a block, and (band, parts, smallest,
+    largest size) of each band. A band holds records of like size, its parts
+    are dealt by a hash of the id; one block holds them all if they are few."""
+    band = F.floor(F.log("_n") * F.lit(BANDS) / F.log(F.lit(1 / threshold))) if threshold < 1 else F.col("_n").cast("long")
+    bands = sets.groupBy(band.alias("k")).agg(F.count(F.lit(1)).alias("r"), F.sum("_n").alias("g"), F.min("_n").alias("lo"), F.max("_n").alias("hi")).collect()
+    records, grams = sum(b["r"] for b in bands), sum(b["g"] for b in bands)
+    if records <= BLOCK_RECORDS and grams <= BLOCK_GRAMS:
+        dealt = sets.withColumn("_band", F.lit(0).cast("long")).withColumn("_part", F.lit(0))
+        bands = [(0, 1, min(b["lo"] for b in bands), max(b["hi"] for b in bands))] if bands else []
+    else:
+        bands = [(b["k"], max(-(-b["r"] // BLOCK_RECORDS), -(-b["g"] // BLOCK_GRAMS)), b["lo"], b["hi"]) for b in bands]
+        parts = F.broadcast(sets.sparkSession.createDataFrame([b[:2] for b in bands], "_band long, _parts int"))
+        dealt = sets.withColumn("_band", band).join(parts, "_band") \
+            .withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).drop("_parts")
+    key = sets.schema["_id"].dataType.simpleString()
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        grams = t["_g"].combine_chunks().flatten().dictionary_encode()
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.table([t["_band"].slice(0, 1), t["_part"].slice(0, 1), one(t["_id"].combine_chunks()), one(t["_n"].combine_chunks()),
+                         one(grams.dictionary), one(grams.indices)], names=["_band", "_part", "ids", "sizes", "vocabulary", "at"])
+
+    return dealt.groupBy("_band", "_part").applyInArrow(
+        pack, f"_band long, _part int, ids array<{key}>, sizes array<int>, vocabulary array<long>, at array<int>"), bands
+
+
+class _Side(NamedTuple):
+    ids: pa.Array
+    size: np.ndarray
+    row: np.ndarray               # of each gram of each record
+    gram: np.ndarray
+    vocabulary: pa.Array
+
+
+def _side(t: pa.Table, merge: bool) -> _Side:
+    """The one block of a table; with ``merge``, rows of one id and size are a
+    record and their grams count as often as they come."""
+    ids, size, vocabulary, at = (t[c].combine_chunks().flatten() for c in ("ids", "sizes", "vocabulary", "at"))
+    size = size.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    if merge:
+        code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        _, first, of = np.unique(code * (int(size.max()) + 1) + size, return_index=True, return_inverse=True)
+        ids, size, row = ids.take(pa.array(first)), size[first], of[row]
+    return _Side(ids, size, row, at.to_numpy(), vocabulary)
+
+
+def _overlap(a: _Side, b: _Side) -> np.ndarray:
+    """Shared grams of every record of ``a`` with every one of ``b``: 0/1 rows
+    multiplied over the grams that both blocks have."""
+    to_a = pc.index_in(b.vocabulary, value_set=a.vocabulary)
+    both = np.flatnonzero(to_a.is_valid().to_numpy(zero_copy_only=False))
+    column_a, column_b = np.full(len(a.vocabulary), -1), np.full(len(b.vocabulary), -1)
+    column_a[to_a.take(pa.array(both)).to_numpy()] = column_b[both] = np.arange(len(both))
+    out = np.zeros((len(a.size), len(b.size)), np.float32)
+
+    def rows(s: _Side, column: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        at = column[s.gram]
+        here = (at >= lo) & (at < hi)
+        m = np.zeros((len(s.size), hi - lo), np.float32)
+        np.add.at(m, (s.row[here], at[here] - lo), np.float32(1))
+        return m
+
+    for lo in range(0, len(both), BLOCK_COLUMNS):
+        hi = min(len(both), lo + BLOCK_COLUMNS)
+        out += rows(a, column_a, lo, hi) @ rows(b, column_b, lo, hi).T
+    return out
+
+
 def trigram_join(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str, b_text: str,
                  threshold: float = DEFAULT_TRGM_THRESHOLD, self_join: bool = False,
                  method: str = "auto") -> DataFrame:
     """All (a, b) pairs whose trigram sets have Jaccard similarity
-    >= ``threshold`` (> 0), exactly. Two plans give the same rows:
-
-    ``probe`` (default when ``a`` is a query set, e.g. passages or search
-    strings): gram rows of ``b`` records whose gram count cannot reach the
-    threshold against any record of ``a`` (``t*min|a| <= |b| <= max|a|/t``,
-    bounds from scalar subqueries) are dropped as they are generated; the
-    rest join ``a``'s grams on
-    the gram (``a`` is broadcast when Spark measures it small) and shared
-    grams are counted per pair with a map-side partial aggregate.
-
-    ``prefix`` (default for self-joins): prefix filtering. Grams are ordered
-    globally by how many ``b`` records hold them (rarest first); pairs with
-    Jaccard >= t must share one of the first ``n - ceil(t*n) + 1`` grams of
-    each record, so candidates come from a join on prefix grams only (rare
-    grams, small groups) plus the size filter. Each candidate is verified by
-    ``array_intersect`` of its two sorted gram arrays, in the JVM. With
-    ``self_join`` (a is b) pairs are reported once with a < b.
+    >= ``threshold`` (> 0), exactly.
+
+    Records are put in blocks of like size, and blocks meet whose sizes can
+    reach the threshold. The shared grams of two blocks are a product of 0/1
+    matrices, so a pair costs no row before it is known to reach the threshold,
+    however common its grams. A task holds two blocks. Where ``a`` is
+    a query set of one block, the work grows with ``b``; a self-join looks at
+    every pair of like size. With ``self_join`` (a is b) pairs are reported
+    once with a < b.
+
+    The methods differ where an id repeats or is null. ``probe`` (default when
+    ``a`` is a query set, e.g. passages or search strings): rows of one id and
+    gram count are one record, null being an id, and add up their grams.
+    ``prefix`` (default for self-joins): every row with an id is a record.
+    The gram sets are stored when this is called.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     if method == "auto":
         method = "prefix" if self_join else "probe"
-    num, den = _ratio(threshold)
-
-    if method == "probe":
-        ea = _gram_rows(a, a_id, a_text, "a")
-        eb = _gram_rows(b, b_id, b_text, "b")
-        # Size window over all of a, as scalar subqueries (run once, no join).
-        lo, hi = ea.agg(F.min("_an")).scalar(), ea.agg(F.max("_an")).scalar()
-        eb = eb.filter((F.col("_bn") * F.lit(den) >= lo * F.lit(num)) & (F.col("_bn") * F.lit(num) <= hi * F.lit(den)))
-        j = ea.join(eb, "g").filter(_sizes_fit(num, den))
-        if self_join:
-            j = j.filter(F.col("_a") < F.col("_b"))
-        pairs = j.groupBy("_a", "_b", "_an", "_bn").agg(F.count(F.lit(1)).alias("shared"))
-        return _result(pairs, a_id, b_id, num, den)
-
-    if method != "prefix":
+    if method not in ("probe", "prefix"):
         raise ValueError(method)
-    sa = _gram_sets(a, a_id, a_text, "a")
-    sb = sa.select(F.col("_a").alias("_b"), F.col("_an").alias("_bn"), F.col("_ag").alias("_bg")) \
-        if self_join else _gram_sets(b, b_id, b_text, "b")
-    rows_b = _gram_rows(b, b_id, b_text, "b")
-    freq = rows_b.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
-
-    def prefix(rows, side):
-        n = F.col(f"_{side}n")
-        e = rows
-        ranked = e.join(freq, "g", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
-        w = Window.partitionBy(f"_{side}").orderBy("_df", "g")
-        plen = n - _ceil_div(n * F.lit(num), den) + 1
-        return (ranked.withColumn(f"_{side}p", F.row_number().over(w))
-                .filter(F.col(f"_{side}p") <= plen).select(f"_{side}", f"_{side}n", f"_{side}p", "g"))
-
-    pa = prefix(_gram_rows(a, a_id, a_text, "a"), "a")
-    pb = (pa.select(F.col("_a").alias("_b"), F.col("_an").alias("_bn"), F.col("_ap").alias("_bp"), "g")
-          if self_join else prefix(rows_b, "b"))
-    # Size filter, and the positional filter: the overlap of a pair is at
-    # most 1 + min(|a| - i, |b| - j) for its first shared gram at ranks
-    # (i, j), and it needs ceil(t / (1 + t) * (|a| + |b|)) shared grams.
-    need = _ceil_div((F.col("_an") + F.col("_bn")) * F.lit(num), num + den)
-    cond = (_sizes_fit(num, den)
-            & (F.lit(1) + F.least(F.col("_an") - F.col("_ap"), F.col("_bn") - F.col("_bp")) >= need))
+    num, den = _ratio(threshold)
+    merge = method == "probe"
+    spark = a.sparkSession
+
+    def stored(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        path = shared_path(spark, "trigrams")
+        t = df.select(id_col, text_col) if id_col != text_col else df.select(id_col)
+        if not merge:
+            t = t.filter(F.col(id_col).isNotNull())
+        # Dealt out first: a small file is one task, and texts are dear to cut.
+        t = t.repartition(2 * spark.sparkContext.defaultParallelism)
+        _gram_sets(t, id_col, text_col).write.parquet(path)
+        return spark.read.parquet(path).filter(F.col("_n") > 0)
+
+    blocks_a, bands_a = _blocks(stored(a, a_id, a_text), threshold)
+    blocks_b, bands_b = (blocks_a, bands_a) if self_join else _blocks(stored(b, b_id, b_text), threshold)
+    pairs = [(ka, pa_, kb, pb) for ka, pa_, la, ha in bands_a for kb, pb, lb, hb in bands_b
+             if hb * den >= la * num and lb * num <= ha * den and (not self_join or ka <= kb)]
+    meet = F.broadcast(spark.createDataFrame(pairs, "ka long, na int, kb long, nb int"))
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = blocks_a.join(meet, blocks_a["_band"] == meet["ka"]).withColumn("pa", F.col("_part")).withColumn("pb", other("nb"))
+    right = blocks_b.join(meet, blocks_b["_band"] == meet["kb"]).withColumn("pb", F.col("_part")).withColumn("pa", other("na"))
+    if self_join:
+        left, right = (t.filter((F.col("ka") < F.col("kb")) | (F.col("pa") <= F.col("pb"))) for t in (left, right))
+    block = ["ids", "sizes", "vocabulary", "at"]
+    key = ["ka", "pa", "kb", "pb"]
+    a_type, b_type = (t.schema["ids"].dataType.elementType for t in (blocks_a, blocks_b))
+    names = ["_a", "_b", "_an", "_bn", "shared"]
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y):
+            return empty
+        p, q = _side(x, merge), _side(y, merge)
+        m = _overlap(p, q)
+        least = (p.size[:, None] + q.size[None, :]) * (num / (num + den)) - 0.5
+        i, j = np.nonzero((m > 0) & (m >= least))
+        shared, na, nb = m[i, j].astype(np.int64), p.size[i], q.size[j]
+        ok = (shared * (num + den) >= (na + nb) * num) & (nb * den >= na * num) & (nb * num <= na * den)
+        if self_join and [x[k][0] for k in ("ka", "pa")] == [x[k][0] for k in ("kb", "pb")]:
+            ok &= i < j
+        i, j = i[ok], j[ok]
+        return pa.table([p.ids.take(pa.array(i)), q.ids.take(pa.array(j)), na[ok], nb[ok], shared[ok]], names=names)
+
+    schema = f"_a {a_type.simpleString()}, _b {b_type.simpleString()}, _an long, _bn long, shared long"
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    # New column ids on each side, as both may come from one table.
+    left, right = (t.select(*(F.col(c).alias(c) for c in [*key, *block])).groupBy(*key) for t in (left, right))
+    found = left.cogroup(right).applyInArrow(compare, schema)
     if self_join:
-        cond = cond & (F.col("_a") < F.col("_b"))
-    cand = pa.join(pb, "g").filter(cond).select("_a", "_b").distinct()
-    verified = (cand.join(sa, "_a").join(sb, "_b")
-                .withColumn("shared", F.size(F.array_intersect("_ag", "_bg")))
-                .select("_a", "_b", "_an", "_bn", "shared"))
-    return _result(verified, a_id, b_id, num, den)
+        up = F.col("_a") < F.col("_b")
+        found = found.filter(F.col("_a") != F.col("_b")).select(
+            F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"),
+            F.when(up, F.col("_an")).otherwise(F.col("_bn")).alias("_an"),
+            F.when(up, F.col("_bn")).otherwise(F.col("_an")).alias("_bn"), "shared")
+    return _result(found, a_id, b_id, num, den)
 
 
 def trigram_search(df: DataFrame, id_col: str, text_col: str, q: str,

@@ -139,6 +139,35 @@ def test_trigram_join_equals_brute_force(spark):
                 assert got == want, (t, self_join, method)
 
 
+@pytest.mark.parametrize("t", [0.1, 0.6, 1.0])
+def test_trigram_blocks_lose_and_repeat_no_pair(spark, monkeypatch, t):
+    """Many small blocks, several rounds of columns, one gram in every text,
+    words outside the basic plane, and texts without words."""
+    monkeypatch.setattr(TV, "BLOCK_RECORDS", 8)
+    monkeypatch.setattr(TV, "BLOCK_COLUMNS", 5)
+    monkeypatch.setattr(TV, "GRAM_ROWS", 4)
+    monkeypatch.setattr(TV, "GRAM_CELLS", 16)
+    rnd = random.Random(2)
+    pool = ["the", "quick", "Äpfel", "\U00010400\U00010428x", "zebra", "fox", "lazy", "dog9", "数据库"]
+    texts = ["the " + " ".join(rnd.choices(pool, k=rnd.randint(0, 7))) for _ in range(40)] + [None, "", "!?"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    g = [_py_trigrams(x or "") for x in texts]
+    want = {(i, j): len(g[i] & g[j]) for i in range(len(g)) for j in range(len(g))
+            if g[i] and g[j] and len(g[i] & g[j]) / len(g[i] | g[j]) >= t - 1e-12}
+    one = TV.trigram_join(df, df, "id", "text", "id", "text", t, self_join=True).collect()
+    assert sorted((r.a_id, r.b_id, r.shared, r.a_grams, r.b_grams) for r in one) == \
+        sorted((i, j, n, len(g[i]), len(g[j])) for (i, j), n in want.items() if i < j)
+    two = TV.trigram_join(df, df, "id", "text", "id", "text", t).collect()
+    assert sorted((r.a_id, r.b_id, r.shared) for r in two) == sorted((*k, n) for k, n in want.items())
+
+
+def test_trigram_join_makes_no_row_per_shared_gram(spark):
+    df = spark.createDataFrame([(i, f"the same words again {i}") for i in range(30)], "id long, text string")
+    for method in ("probe", "prefix"):
+        p = plan_text(TV.trigram_join(df, df, "id", "text", "id", "text", 0.4, method=method))
+        assert "CoGroups" in p and "inline" not in p, method
+
+
 def test_trigram_plan_has_no_cross_join(spark):
     df = spark.createDataFrame([(1, "abc def"), (2, "abc deg")], "id long, text string")
     p = plan_text(TV.trigram_join(df, df, "id", "text", "id", "text", 0.3, self_join=True))
