@@ -132,47 +132,80 @@ def semantic_lookup(q: DataFrame, cache: DataFrame, threshold: float,
             .select(q_id, F.when(hit, F.col(v_id)).alias(v_id), "score", hit.alias("hit")))
 
 
-def semantic_lookup_lsh(q: DataFrame, cache: DataFrame, threshold: float, *, tables: int = 8, bucket: float = 0.25,
-                        q_id: str = "qid", v_id: str = "vec_id", vec: str = "embedding", seed: int = 7) -> DataFrame:
+def semantic_lookup_lsh(q: DataFrame, cache: DataFrame, threshold: float, *, recall: float = 0.95, bits: int | None = None,
+                        tables: int | None = None, q_id: str = "qid", v_id: str = "vec_id", vec: str = "embedding",
+                        seed: int = 7) -> DataFrame:
     """R70 for large sides: as ``semantic_lookup`` without times, but only pairs
-    that share one of ``tables`` random-projection buckets are scored, so an
-    entry near the threshold can be missed. Scores are exact (cosine in DOUBLE).
-    More tables or wider buckets (in units of 1 / sqrt(dimension)) find more and score more: with these, random
-    unit vectors of 64 dimensions meet in 44 % of all pairs, entries of cosine
-    0.96 in 96 %. ``lsh_pairs`` has the pairs. Missing and zero vectors are misses and never found."""
-    pairs = lsh_pairs(q, cache, threshold, tables=tables, bucket=bucket, q_id=q_id, v_id=v_id, vec=vec, seed=seed)
-    best = pairs.filter(F.col("score") >= threshold).groupBy("_qid") \
+    that share one of ``tables`` buckets are scored, so an entry near the
+    threshold can be missed. A bucket is the signs of ``bits`` random
+    projections. Scores are exact (cosine in DOUBLE). By default the bits grow
+    with the logarithm of the distinct entries, so that a bucket stays small,
+    and there are as many tables as find an entry at the threshold with
+    probability ``recall`` (``lsh_shape``), nearer ones more often. Equal
+    vectors are hashed and scored once. Missing and zero vectors are misses and
+    never found."""
+    pairs = lsh_pairs(q, cache, threshold, recall=recall, bits=bits, tables=tables, q_id=q_id, v_id=v_id, vec=vec, seed=seed)
+    near = pairs.filter(F.col("score") >= threshold).groupBy("_x") \
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("_vid").alias("id"))).alias("b"))
+    best = q.select(F.col(q_id).alias("_qid"), F.col(vec).alias("_x")).join(near, "_x").groupBy("_qid").agg(F.min("b").alias("b"))
     return (q.select(q_id).join(best, q[q_id] == best["_qid"], "left")
             .select(q_id, F.col("b.id").alias(v_id), (-F.col("b.s")).alias("score"), F.col("b").isNotNull().alias("hit")))
 
 
-def lsh_pairs(q: DataFrame, cache: DataFrame, threshold: float, *, tables: int, bucket: float, q_id: str = "qid",
-              v_id: str = "vec_id", vec: str = "embedding", seed: int = 7) -> DataFrame:
-    """``_qid, _vid, score`` of the pairs that ``BucketedRandomProjectionLSH``
-    joins on unit vectors within the distance of ``threshold``, scored anew."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, i: str, name: str) -> DataFrame:
-        # Stored, so that no vector without a direction reaches the hash functions.
-        t = df.select(F.col(i).alias(name), F.col(vec).alias("_x")).withColumn("_n", norm(F.col("_x"))).filter(F.col("_n") > 0)
-        path = shared_path(df.sparkSession, "lsh")
-        t.write.parquet(path)
-        t = df.sparkSession.read.parquet(path)
-        return t.withColumn("features", array_to_vector(F.transform("_x", lambda x: x.cast("double") / F.col("_n"))))
-
-    a, b = unit(q, q_id, "_qid"), unit(cache, v_id, "_vid")
-    if b.isEmpty() or a.isEmpty():
-        return a.select("_qid").join(b.select("_vid"), F.lit(False)).withColumn("score", F.lit(0.0))
-    # The hash directions are unit vectors, on which a unit vector of d
-    # dimensions spreads over 1 / sqrt(d).
-    width = bucket / b.select(F.size("_x").alias("d")).first()["d"] ** 0.5
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="_h", bucketLength=width, numHashTables=tables, seed=seed).fit(b)
-    # A little further than the threshold, so that rounding loses nothing.
-    j = model.approxSimilarityJoin(a, b, (2 - 2 * threshold) ** 0.5 + 1e-6, "_d")
-    d = dot(F.col("datasetA._x"), F.col("datasetB._x")) / (F.col("datasetA._n") * F.col("datasetB._n"))
-    return j.select(F.col("datasetA._qid").alias("_qid"), F.col("datasetB._vid").alias("_vid"), d.alias("score"))
+#: Entries that share a bucket by chance, about, and tables at most.
+LSH_BUCKET, LSH_TABLES = 16, 64
+#: Rows of a matrix of vectors that a task hashes at a time.
+LSH_ROWS = 4096
+
+
+def lsh_shape(entries: int, threshold: float, recall: float) -> tuple[int, int]:
+    """Bits and tables: two vectors at the cosine ``threshold`` have a sign in
+    common with probability ``1 - angle / pi``. Fewer bits where a low
+    threshold would take more than ``LSH_TABLES``."""
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    bits = min(48, max(1, round(math.log2(max(entries, 2) / LSH_BUCKET))))
+    need = lambda k: 1 if same ** k >= recall else math.ceil(math.log(1 - recall) / math.log1p(-max(same ** k, 1e-9)))
+    while bits > 1 and need(bits) > LSH_TABLES:
+        bits -= 1
+    return bits, min(need(bits), LSH_TABLES)
+
+
+def lsh_pairs(q: DataFrame, cache: DataFrame, threshold: float, *, recall: float = 0.95, bits: int | None = None,
+              tables: int | None = None, q_id: str = "qid", v_id: str = "vec_id", vec: str = "embedding",
+              seed: int = 7) -> DataFrame:
+    """``_x, _vid, score`` of the pairs that share a bucket, once for each
+    bucket they share: a distinct query vector and a distinct entry, with the
+    smallest id of those that hold it (null first)."""
+    def directed(df: DataFrame, name: str) -> DataFrame:
+        n = norm(F.col(name))
+        return df.withColumn(f"{name}n", n).filter((n > 0) & (n < float("inf")))
+
+    a = directed(q.select(F.col(vec).alias("_x")).distinct(), "_x")
+    b = directed(cache.groupBy(F.col(vec).alias("_y")).agg(F.min(F.struct(F.col(v_id).alias("i"))).alias("_i")), "_y")
+    shape = b.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_y")).alias("d")).first()
+    k, t = lsh_shape(shape["n"], threshold, recall)
+    k, t, dim = bits or k, tables or t, shape["d"] or 1
+    planes = np.random.default_rng(seed).standard_normal((dim, t * k))
+
+    def buckets(df: DataFrame, name: str, *keep: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, len(batch), LSH_ROWS):
+                    part = batch.slice(lo, LSH_ROWS)
+                    x = part.column(0)
+                    size = x.value_lengths().to_numpy()
+                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    m, here = np.zeros((len(part), dim)), at < dim
+                    m[np.repeat(np.arange(len(part)), size)[here], at[here]] = x.flatten().to_numpy()[here]
+                    sign = ((m @ planes) > 0).reshape(len(part), t, k) @ (1 << np.arange(k, dtype=np.int64))
+                    yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(part) + 1, dtype=np.int32) * t), pa.array(sign.ravel()))], names=[*part.schema.names, "_h"])
+        t_in = df.select(name, *keep)
+        kind = StructType([*t_in.schema.fields, StructField("_h", ArrayType(LongType()))])
+        return t_in.mapInArrow(run, kind).select(name, *keep, F.posexplode("_h").alias("_t", "_s"))
+
+    j = buckets(a, "_x", "_xn").join(buckets(b, "_y", "_yn", "_i"), ["_t", "_s"])
+    return j.select("_x", F.col("_i.i").alias("_vid"), (dot(F.col("_x"), F.col("_y")) / (F.col("_xn") * F.col("_yn"))).alias("score"))
 
 
 # ---------------------------------------------------------------------------

@@ -4,6 +4,7 @@ the prefix tree of row numbers."""
 import glob
 import os
 
+import numpy as np
 import pytest
 from conftest import SF_MID, SF_SMALL, plan_text
 from pyspark.sql import functions as F
@@ -70,6 +71,23 @@ def _scored(q, v) -> int:
     return m.approxSimilarityJoin(a, b, 9.0, "d").count()
 
 
+def test_lsh_buckets_stay_small_as_entries_grow(spark):
+    share = []
+    for n in (500, 50_000, 5_000_000):
+        bits, tables = TV.lsh_shape(n, 0.9, 0.95)
+        same = 1 - np.arccos(0.9) / np.pi
+        assert 1 - (1 - same ** bits) ** tables >= 0.95
+        share.append(tables / 2 ** bits)
+    assert share[0] < 0.3 and share[1] < 0.01 and share[2] < 0.0005
+    assert all(TV.lsh_shape(10 ** 9, t, 0.95)[1] <= TV.LSH_TABLES for t in (-1.0, 0.0, 0.5, 1.0))
+    v = Fleet(spark, SF_MID).raw("embeddings")
+    q = near_queries(v)
+    assert TV.lsh_pairs(q, v, 0.9).count() < 0.3 * q.count() * v.count()
+    # Copies are hashed and scored once; the smallest id stands for them.
+    more = v.unionByName(v.withColumn("vec_id", F.col("vec_id") + 10_000))
+    assert TV.lsh_pairs(q, more, 0.9).count() == TV.lsh_pairs(q, v, 0.9).count()
+
+
 def test_lsh_odd_rows(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 2.0])], "qid long, embedding array<double>")
     v = spark.createDataFrame([(7, [5.0, 0.0]), (6, [1.0, 0.0]), (8, None), (9, [0.0, 0.0])], "vec_id long, embedding array<double>")
