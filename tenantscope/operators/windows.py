@@ -1,12 +1,12 @@
 """Ordered per-tenant windows (R66-R68), skew-safe.
 
-``Window.partitionBy(tenant)`` puts a whole tenant in one task. Here every
-tenant's rows are cut into time chunks. A row's predecessors are those of
-its own (tenant, chunk), from a plain window, and the last rows of the
+``Window.partitionBy(tenant)`` puts a whole tenant in one task. Here the rows
+of a tenant with more than ``TENANT_ROWS`` are cut into time chunks; those of a
+smaller one into years. A row's predecessors are those of its own (tenant, chunk), from a plain window, and the last rows of the
 chunks before, which travel as one short array per chunk: first along the
 chunks of a month, then along the months of a tenant, so that no window holds
-more than a month's chunks or a tenant's months. All tenants take this one
-path, and NULL keys or times are a group or chunk like any other,
+more than a small tenant's year, a month's chunks or a tenant's months (years).
+All tenants take this one path, and NULL keys or times are a group or chunk like any other,
 so the result is that of the plain per-tenant window.
 """
 
@@ -24,6 +24,9 @@ def stats_order(stats: DataFrame, order_cols: list[str] | None) -> list[str]:
     return order_cols or (STATS_ORDER if "seq" in stats.columns else STORED_ORDER)
 
 
+# Rows of a tenant that may share one window. Chunks of few rows each cost more
+# than they save: their tails are nearly as many as the rows.
+TENANT_ROWS = 1 << 18
 # Second key values that share a chunk when their times are equal.
 CHUNK_KEYS = 1 << 20
 
@@ -41,25 +44,54 @@ def time_chunk(order_cols: list[str]) -> Column:
     return F.struct(hour.alias("h"), (~exact).alias("late"), key.alias("k"))
 
 
+def _large(df: DataFrame, part: str) -> Column:
+    """Whether a row's tenant has more than ``TENANT_ROWS`` rows. Of these
+    tenants there is at most one per ``TENANT_ROWS`` rows of the table; they
+    are counted when this is called."""
+    n = df.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    large = [r[0] for r in n.filter(F.col("_n") > TENANT_ROWS).collect()]
+    known = F.coalesce(F.col(part).isin([k for k in large if k is not None]), F.lit(False))
+    return known | F.col(part).isNull() if None in large else known
+
+
 def _last(a: Column, k: int) -> Column:
     return F.slice(a, F.greatest(F.size(a) - F.lit(k - 1), F.lit(1)), F.lit(k))
 
 
+# Preceding rows that are read one by one; more are collected anew for each row.
+LAGS = 16
+
+
+def _preceding(w, k: int) -> Column:
+    """The ``_v`` of up to ``k`` rows before, oldest first."""
+    if k > LAGS:
+        return F.collect_list("_v").over(w.rowsBetween(-k, -1))
+    n = F.least(F.row_number().over(w) - 1, F.lit(k))
+    return F.slice(F.array(*[F.lag("_v", i).over(w) for i in range(k, 0, -1)]), k + 1 - n, n)
+
+
 def with_preceding(df: DataFrame, part: str, order_cols: list[str], values: list[str], k: int,
                    chunk: Column | None = None, out: str = "_prev") -> DataFrame:
     """Add ``out``: the ``values`` (an array of structs) of up to ``k`` rows
     that precede the row in its group's order, oldest first. ``chunk`` must
-    sort as ``order_cols`` do; the default chunks lie within months."""
-    coarse = F.date_trunc("MONTH", order_cols[0]) if chunk is None else F.lit(0)
+    sort as ``order_cols`` do; the default chunks of a large tenant lie within
+    months, and a year of any other tenant is one chunk."""
+    coarse = F.lit(0)
+    if chunk is None:
+        large, year = _large(df, part), F.date_trunc("YEAR", order_cols[0])
+        coarse = F.when(large, F.date_trunc("MONTH", order_cols[0])).otherwise(year)
+        chunk = F.when(large, time_chunk(order_cols)).otherwise(
+            F.struct(year.alias("h"), F.lit(False).alias("late"), F.lit(None).cast("long").alias("k")))
     t = (df.withColumn("_g", F.struct(part)).withColumn("_m", F.struct(coarse.alias("m")))
-         .withColumn("_c", F.struct((chunk if chunk is not None else time_chunk(order_cols)).alias("c")))
+         .withColumn("_c", F.struct(chunk.alias("c")))
          .withColumn("_v", F.struct(*values)))
     w = Window.partitionBy("_g", "_c").orderBy(*order_cols)
-    own = (t.withColumn("_own", F.collect_list("_v").over(w.rowsBetween(-k, -1)))
-           .withColumn("_more", F.lead(F.lit(True)).over(w)))
-    # The last k rows of each chunk, oldest first: what its last row has seen.
-    tails = own.filter(F.col("_more").isNull()).select(
-        "_g", "_m", "_c", _last(F.concat("_own", F.array("_v")), k).alias("_t"))
+    own = t.withColumn("_own", _preceding(w, k))
+    # The last k rows of each chunk, oldest first; a task ships no more of a chunk.
+    back = F.row_number().over(Window.partitionBy("_g", "_c").orderBy(*[F.desc(c) for c in order_cols]))
+    tails = (t.withColumn("_back", back).filter(F.col("_back") <= k).groupBy("_g", "_m", "_c")
+             .agg(F.sort_array(F.collect_list(F.struct("_back", "_v")), asc=False).alias("_t"))
+             .select("_g", "_m", "_c", F.col("_t")["_v"].alias("_t")))
     before = lambda w: _last(F.flatten(F.collect_list("_t").over(w.rowsBetween(-k, -1))), k)
     month = Window.partitionBy("_g", "_m").orderBy("_c")
     inner = tails.select("_g", "_m", "_c", "_t", before(month).alias("_in"), F.lead(F.lit(True)).over(month).alias("_more"))
@@ -68,7 +100,7 @@ def with_preceding(df: DataFrame, part: str, order_cols: list[str], values: list
     halo = inner.join(above, ["_g", "_m"]).select("_g", "_c", _last(F.concat("_before", "_in"), k).alias("_halo"))
     return (own.join(halo, ["_g", "_c"])
             .withColumn(out, _last(F.concat("_halo", "_own"), k))
-            .drop("_g", "_m", "_c", "_v", "_own", "_more", "_halo"))
+            .drop("_g", "_m", "_c", "_v", "_own", "_halo"))
 
 
 def size_growth(stats: DataFrame, order_cols: list[str] | None = None,
@@ -99,8 +131,7 @@ def rolling_connections(stats: DataFrame, rows: int = 7, order_cols: list[str] |
         raise ValueError("rows must be at least 2")
     order_cols = stats_order(stats, order_cols)
     t = with_preceding(stats, "database_id", order_cols, ["active_connections"], rows - 1, chunk)
-    t = t.withColumn("_all", F.concat(F.transform("_prev", lambda x: x["active_connections"]),
-                                      F.array("active_connections")))
+    t = t.withColumn("_all", F.concat(F.col("_prev")["active_connections"], F.array("active_connections")))
     known = F.filter("_all", lambda x: x.isNotNull())
     total = F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x)
     return t.select("database_id", *[c for c in order_cols if c != "database_id"], "active_connections",

@@ -67,6 +67,21 @@ def test_size_growth_and_rolling_equal_plain_windows(spark):
         assert rc == {k: (v[1], v[2]) for k, v in want.items()}
 
 
+def test_windows_of_small_and_large_tenants(spark, monkeypatch):
+    """A small tenant's years are its chunks: a year of daily samples leaves
+    one tail, not one a day. Large tenants, a null one too, are cut by the hour."""
+    df = _skewed_stats(spark)
+    df = df.unionByName(df.where("database_id = 1").withColumn("database_id", F.lit(None).cast("long")))
+    w = Window.partitionBy("database_id").orderBy(*W.STATS_ORDER)
+    want = {tuple(r) for r in df.select("database_id", "total_queries", F.lag("size_bytes").over(w)).collect()}
+    for rows in (0, 300, 1 << 18):
+        monkeypatch.setattr(W, "TENANT_ROWS", rows)
+        large = {r[0] for r in df.where(W._large(df, "database_id")).select("database_id").distinct().collect()}
+        assert large == {0: {None, 1, 2, 3, 4, 5, 6}, 300: {None, 1}, 1 << 18: set()}[rows]
+        got = {tuple(r) for r in W.size_growth(df).select("database_id", "total_queries", "prev_size").collect()}
+        assert got == want, rows
+
+
 def test_windows_take_null_times_tenants_and_values(spark):
     rows = [(1, 7, 10, 5, None), (2, 7, 20, None, "2024-01-01 00:00:00"), (3, 7, None, 8, "2024-01-01 00:00:00"),
             (4, 7, 50, 1, "2024-01-01 05:30:00"), (5, None, 1, 2, None), (6, None, 2, 4, "2024-03-01 00:00:00"), (7, 7, 60, None, None)]
