@@ -33,8 +33,11 @@ REJECT_DISTANCE = 0.9
 _BITS = np.uint64(40)
 #: Documents and n-grams of one slice that fit beside a count in 64 bits.
 _MAX_DOCS, _COUNT_BITS, _PLACE_BITS = 1 << 12, 24, 27
-#: Bytes that are counted at a time; a longer text is cut between words.
-_PIECE = 1 << 19
+#: Bytes that are counted at a time (about two hundred are held for each), and
+#: beyond twice how many a text is cut between words.
+_SLICE, _PIECE = 1 << 16, 1 << 19
+#: Counts that wait to be merged.
+_PENDING = 1 << 18
 
 _tables: list[np.ndarray] = []
 
@@ -88,8 +91,8 @@ def _ngrams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pieces(offsets: np.ndarray, data: np.ndarray):
-    """The documents in pieces of at most ``_PIECE`` bytes or so: (offsets,
-    bytes, document of each offset). A longer text is cut after a byte that is
+    """The documents in pieces of about ``_SLICE`` bytes: (offsets, bytes,
+    document of each offset). A text of more than twice ``_PIECE`` is cut after a byte that is
     no letter, which changes no n-gram; only a word of more than an eighth of
     a piece can be cut itself."""
     for lo, hi in _slices(offsets):
@@ -116,7 +119,7 @@ def _counts(group: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _slices(offsets: np.ndarray):
-    for lo, hi in doc_slices(offsets, _PIECE):
+    for lo, hi in doc_slices(offsets, min(_SLICE, _PIECE)):
         for a in range(lo, hi, _MAX_DOCS):
             yield a, min(hi, a + _MAX_DOCS)
 
@@ -132,6 +135,18 @@ def _merge(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return group[order][at], gram[order][at], np.add.reduceat(n[order], at) if len(at) else n
 
 
+def _batch_counts(offsets: np.ndarray, data: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Counts of each (code, n-gram) over all documents, merged now and then."""
+    found, pending = [], 0
+    for cuts, part, doc in _pieces(offsets, data):
+        gram, piece, _ = _ngrams(cuts, part)
+        found.append(_counts(code[doc][piece], gram))
+        pending += len(found[-1][2])
+        if pending > _PENDING:
+            found, pending = [_merge(found)], 0
+    return _merge(found) if found else None
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """``lang, gram, n``: n-gram counts of each language over all of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +154,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             offsets, data = text_buffer(b.column(0))
             codes = b.column(1).dictionary_encode()
             code = codes.indices.to_numpy(zero_copy_only=False)
-            found = []
-            for cuts, part, doc in _pieces(offsets, data):
-                gram, piece, _ = _ngrams(cuts, part)
-                found.append(_counts(code[doc][piece], gram))
-            if found:
-                lang, gram, n = _merge(found)
+            counts = _batch_counts(offsets, data, code)
+            if counts:
+                lang, gram, n = counts
                 yield pa.record_batch([codes.dictionary.take(pa.array(lang)), pa.array(gram.astype(np.int64)),
                                        pa.array(n)], names=["lang", "gram", "n"])
 

@@ -44,6 +44,8 @@ CHUNK_TOKENS = 1 << 19
 CELL_VISITORS = 4096
 #: Members of a subgroup, a column of the token-group matrix.
 SUBGROUP = 32
+#: Bytes of a cell whose memory a worker may keep for the next one.
+KEEP_BYTES = 1 << 20
 _RECORD = ("<u4", "u1", "<u4")  # a token's hash (40 bits in two fields), sets that hold it
 _SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("mark", pa.int64()),
                    ("home", pa.int64()), ("home_sets", pa.int64()), ("shared", pa.list_(pa.int64())), ("tokens", pa.binary())])
@@ -84,7 +86,10 @@ def _count(table: pa.Table) -> pa.Table:
     total = np.minimum(np.add.reduceat(n[order].astype(np.int64), at), (1 << 32) - 1)
     answer = np.zeros(len(t), np.uint32)
     answer[order] = np.repeat(np.where(total > 1, total, 0), np.diff(np.append(at, len(t))))
-    return replies_to(table, row, answer)
+    del token, order, t, at, total, high, low, n
+    out = replies_to(table, row, answer)
+    give_back()
+    return out
 
 
 def _set_rows(docs: DataFrame, words: int, num: int, den: int, part_bytes: int | None) -> DataFrame:
@@ -200,6 +205,9 @@ def _cell(num: int, den: int):
                 if len(roots) > 1:
                     root[np.isin(root, roots)] = roots[0]
         used = np.flatnonzero(links)
+        if table.nbytes > KEEP_BYTES:
+            del matrix, sets
+            give_back()
         return pa.table([mark[used], mark[root[used]], links[used]], schema=_STARS)
     return run
 

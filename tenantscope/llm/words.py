@@ -24,6 +24,10 @@ ALNUM = _table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61)
 #: for some pairs of different strings of 1,024 bytes and more.
 LONG = 64
 
+#: Bytes of documents that are read at a time: a task holds some thirty bytes for
+#: each, and its worker keeps the powers of the rolling hash for as many.
+SLICE = 1 << 18
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -71,7 +75,7 @@ def _words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[n
     return h, first
 
 
-def doc_slices(offsets: np.ndarray, limit: int = 1 << 20):
+def doc_slices(offsets: np.ndarray, limit: int = SLICE):
     """Cut a batch into (from, to) document ranges of about ``limit`` bytes; a
     longer document makes a range of its own."""
     d, n = 0, len(offsets) - 1

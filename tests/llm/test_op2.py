@@ -2,13 +2,17 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tenantscope.llm.blobs import text_buffer
 from tenantscope.llm.components import connected_components
 from tenantscope.llm.ngram_jaccard import TokenGroupMatrix, jaccard_classes, op2_ngram_jaccard_join
+from tenantscope.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,3 +144,20 @@ def test_cells_are_bounded_by_their_visitors(spark, tmp_path):
         size = [r["count"] for r in cells.groupBy("chunk", "block").count().collect()]
         assert cells.where("not member").select("mark").distinct().count() == 400
         assert max(size) <= 2 * 50 and len(size) >= 8
+
+
+def test_shingles_of_a_part_take_little_memory():
+    """Texts of a part are read in slices of a few hundred KB."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=350)) for _ in range(2000)]
+    off, data = text_buffer(pa.array(texts))
+    assert len(data) > 3 << 20
+    shingle_sets(off, data, 5)
+    tracemalloc.start()
+    sets = shingle_sets(off, data, 5)
+    peak = tracemalloc.get_traced_memory()[1] - sum(s.nbytes for s in sets)
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    for i in (0, 999, 1999):
+        assert (shingle_sets(*text_buffer(pa.array([texts[i]])), 5)[0] == sets[i]).all()

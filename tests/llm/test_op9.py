@@ -1,6 +1,7 @@
 """Language ID: the distance against a plain version, accuracy on held-out documents."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -80,3 +81,24 @@ def test_held_out_accuracy_and_odd_rows(spark):
                                 "doc_id long, text string, lang string, score double")
     assert {(r.lang_pred, r.score, r.held_out) for r in L.op9_language_id(odd).collect()} <= {("und", 0.0, False), ("und", 0.0, True)}
     assert not L.op9_language_id(docs.limit(0)).collect()
+
+
+def test_a_batch_is_counted_in_little_memory():
+    """A worker holds arrays for a small slice of a batch at a time, and its
+    counts are merged before they pile up."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=300)) for _ in range(1500)]
+    off, data = text_buffer(pa.array(texts))
+    code = np.arange(len(texts)) % 3
+    assert len(data) > 2 << 20
+    L._letters()
+    assert max(len(d) for _, d, _ in L._pieces(off, data)) <= 1 << 16
+    tracemalloc.start()
+    group, gram, n = L._batch_counts(off, data, code)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    whole, doc, _ = L._ngrams(off, data)
+    expect = L._counts(code[doc], whole)
+    assert all((a == b).all() for a, b in zip((group, gram, n), expect, strict=True))
