@@ -278,7 +278,8 @@ def _ratio(threshold: float) -> tuple[int, int]:
 
 def _result(pairs: DataFrame, a_id: str, b_id: str, num: int, den: int) -> DataFrame:
     union = F.col("_an") + F.col("_bn") - F.col("shared")
-    sim = F.col("shared") / union
+    # Rounded half up in integers, which is what round() does with the ratio, only faster.
+    sim = F.expr("(2000000 * shared + (_an + _bn - shared)) DIV (2 * (_an + _bn - shared)) / 1000000D")
     same = a_id == b_id
     return (pairs.filter((union > 0) & (F.col("shared") * F.lit(den) >= union * F.lit(num)))
             .select(F.col("_a").alias(f"a_{a_id}" if same else a_id),
@@ -286,82 +287,214 @@ def _result(pairs: DataFrame, a_id: str, b_id: str, num: int, den: int) -> DataF
                     F.col("shared").cast("bigint").alias("shared"),
                     F.col("_an").cast("bigint").alias("a_grams"),
                     F.col("_bn").cast("bigint").alias("b_grams"),
-                    F.round(sim, 6).alias("similarity")))
-
-
-# Records and grams in a block, at most (expected: records are dealt by hash),
-# columns of grams that are multiplied at a time, and size bands of a factor 1 / threshold.
-BLOCK_RECORDS, BLOCK_GRAMS, BLOCK_COLUMNS, BANDS = 2048, 1 << 21, 8192, 4
-
-
-def _blocks(sets: DataFrame, threshold: float) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """The records in blocks, one row a block, and (band, parts, smallest,
-    largest size) of each band. A band holds records of like size, its parts
-    are dealt by a hash of the id; one block holds them all if they are few."""
-    band = F.floor(F.log("_n") * F.lit(BANDS) / F.log(F.lit(1 / threshold))) if threshold < 1 else F.col("_n").cast("long")
-    bands = sets.groupBy(band.alias("k")).agg(F.count(F.lit(1)).alias("r"), F.sum("_n").alias("g"), F.min("_n").alias("lo"), F.max("_n").alias("hi")).collect()
-    records, grams = sum(b["r"] for b in bands), sum(b["g"] for b in bands)
-    if records <= BLOCK_RECORDS and grams <= BLOCK_GRAMS:
-        dealt = sets.withColumn("_band", F.lit(0).cast("long")).withColumn("_part", F.lit(0))
-        bands = [(0, 1, min(b["lo"] for b in bands), max(b["hi"] for b in bands))] if bands else []
-    else:
-        bands = [(b["k"], max(-(-b["r"] // BLOCK_RECORDS), -(-b["g"] // BLOCK_GRAMS)), b["lo"], b["hi"]) for b in bands]
-        parts = F.broadcast(sets.sparkSession.createDataFrame([b[:2] for b in bands], "_band long, _parts int"))
-        dealt = sets.withColumn("_band", band).join(parts, "_band") \
-            .withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).drop("_parts")
+                    sim.alias("similarity")))
+
+
+# Records and grams in a block, at most (expected: records are dealt by hash), blocks
+# of a table of fewer records, and records of the smallest of those.
+BLOCK_RECORDS, BLOCK_GRAMS, BLOCKS, BLOCK_LEAST = 4096, 1 << 21, 128, 512
+# Blocks of a group that stay and that come to them, rows of a tile of these and those,
+# and columns of grams that are multiplied at a time.
+STAY, COME, TILE, BLOCK_COLUMNS = 2, 8, (1024, 512), 8192
+# A column that more than one in so many records have is kept as bits, and leaders of a group.
+BITS, LEADERS = 16, 8
+# Listing a pair of records that share a gram costs as much as so many cells of a product of
+# matrices; pairs that are listed at a time.
+LIST, LISTED = 350, 1 << 22
+# Pairs found in a batch of rows.
+FOUND = 1 << 16
+
+
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+class _Blocks(NamedTuple):
+    packed: DataFrame
+    sizes: list[tuple[int, int]]  # the smallest and largest gram count of each block
+    grams: int
+
+
+def _blocks(sets: DataFrame, merge: bool) -> _Blocks:
+    """The records in blocks of like size, one row a block. A size of more
+    records than a block holds is dealt by a hash of the id. With ``merge``, rows
+    of one id and size are a record and their grams count as often as they come.
+
+    A block is packed by gram, the most frequent first: bits of the records that
+    have it, or their places if they are few."""
+    found = sets.groupBy("_n").agg(F.count(F.lit(1)).alias("r")).orderBy("_n").collect()
+    most = min(BLOCK_RECORDS, max(BLOCK_LEAST, -(-sum(r for _, r in found) // BLOCKS)))
+    dealt: list[tuple[int, int, int]] = []
+    sizes: list[tuple[int, int]] = []
+    first = parts = records = grams = 0
+    for n, r in found:
+        if not sizes or records + r > most or grams + n * r > BLOCK_GRAMS:
+            first, parts, records, grams = len(sizes), max(-(-r // most), -(-n * r // BLOCK_GRAMS)), 0, 0
+            sizes += [(n, n)] * parts
+        dealt.append((n, first, parts))
+        sizes[first:] = [(low, n) for low, _ in sizes[first:]]
+        records, grams = records + r, grams + n * r
+    to = F.broadcast(sets.sparkSession.createDataFrame(dealt, "_n int, _first int, _parts int"))
+    t = sets.join(to, "_n").select("_id", "_n", "_g", (F.col("_first") + F.pmod(F.xxhash64("_id"), F.col("_parts"))).cast("int").alias("_block"))
     key = sets.schema["_id"].dataType.simpleString()
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
+        ids, size = t["_id"].combine_chunks(), t["_n"].to_numpy().astype(np.int64)
         grams = t["_g"].combine_chunks().flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(size)), size)
+        if merge:
+            code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+            _, one, of = np.unique(code * (int(size.max()) + 1) + size, return_index=True, return_inverse=True)
+            ids, size, row = ids.take(pa.array(one)), size[one], of[row]
+        gram, n = grams.indices.to_numpy(), len(size)
+        many = np.bincount(gram, minlength=len(grams.dictionary))
+        rank = np.argsort(-many, kind="stable")
+        column = np.empty(len(rank), np.int64)
+        column[rank] = np.arange(len(rank))
+        cell = np.sort(column[gram] * n + row)
+        wide = int((many * BITS > n).sum())
+        in_bits = (cell < wide * n) & np.append(True, cell[1:] != cell[:-1])
+        m = np.zeros((wide, n), bool)
+        m.ravel()[cell[in_bits]] = True
+        at, row = np.divmod(cell[~in_bits], n)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.table([t["_band"].slice(0, 1), t["_part"].slice(0, 1), one(t["_id"].combine_chunks()), one(t["_n"].combine_chunks()),
-                         one(grams.dictionary), one(grams.indices)], names=["_band", "_part", "ids", "sizes", "vocabulary", "at"])
+        return pa.table([t["_block"].slice(0, 1), one(ids), one(pa.array(size.astype(np.int32))), one(grams.dictionary.take(pa.array(rank))),
+                         pa.array([np.packbits(m, axis=1).tobytes()], pa.binary()),
+                         one(pa.array(np.bincount(at, minlength=len(rank)).astype(np.int32))),
+                         pa.array([row.astype(np.uint16 if n <= 1 << 16 else np.uint32).tobytes()], pa.binary())],
+                        names=["_block", "ids", "sizes", "vocabulary", "bits", "counts", "rows"])
 
-    return dealt.groupBy("_band", "_part").applyInArrow(
-        pack, f"_band long, _part int, ids array<{key}>, sizes array<int>, vocabulary array<long>, at array<int>"), bands
+    return _Blocks(t.groupBy("_block").applyInArrow(
+        pack, f"_block int, ids array<{key}>, sizes array<int>, vocabulary array<long>, bits binary, counts array<int>, rows binary"),
+        sizes, sum(n * r for n, r in found))
 
 
-class _Side(NamedTuple):
+class _Block(NamedTuple):
+    number: int
     ids: pa.Array
     size: np.ndarray
-    row: np.ndarray               # of each gram of each record
-    gram: np.ndarray
     vocabulary: pa.Array
+    start: np.ndarray             # of the rows of each gram, and the end of the last
+    row: np.ndarray
+
+
+def _unpack(t: pa.Table) -> Iterator[_Block]:
+    for k in range(len(t)):
+        ids, size, vocabulary, counts = (t[c][k].values for c in ("ids", "sizes", "vocabulary", "counts"))
+        size, counts, n = size.to_numpy().astype(np.int64), counts.to_numpy(), len(ids)
+        bits, rows = (t[c][k].as_buffer() for c in ("bits", "rows"))
+        m = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, -(-n // 8)), axis=1, count=n)
+        column, row = np.divmod(np.flatnonzero(m), n)
+        column = np.append(column, np.repeat(np.arange(len(counts)), counts))
+        row = np.append(row, np.frombuffer(rows, np.uint16 if n <= 1 << 16 else np.uint32))
+        if counts[:len(m)].any():
+            order = np.argsort(column, kind="stable")
+            column, row = column[order], row[order]
+        start = np.append(0, np.cumsum(np.bincount(column, minlength=len(counts))))
+        yield _Block(t["_block"][k].as_py(), ids, size, vocabulary, start, row)
+
+
+class _Leaders(NamedTuple):
+    vocabulary: pa.Array
+    has: np.ndarray               # by gram and leader
+    size: np.ndarray
 
 
-def _side(t: pa.Table, merge: bool) -> _Side:
-    """The one block of a table; with ``merge``, rows of one id and size are a
-    record and their grams count as often as they come."""
-    ids, size, vocabulary, at = (t[c].combine_chunks().flatten() for c in ("ids", "sizes", "vocabulary", "at"))
-    size = size.to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(size)), size)
-    if merge:
-        code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
-        _, first, of = np.unique(code * (int(size.max()) + 1) + size, return_index=True, return_inverse=True)
-        ids, size, row = ids.take(pa.array(first)), size[first], of[row]
-    return _Side(ids, size, row, at.to_numpy(), vocabulary)
-
-
-def _overlap(a: _Side, b: _Side) -> np.ndarray:
-    """Shared grams of every record of ``a`` with every one of ``b``: 0/1 rows
-    multiplied over the grams that both blocks have."""
-    to_a = pc.index_in(b.vocabulary, value_set=a.vocabulary)
-    both = np.flatnonzero(to_a.is_valid().to_numpy(zero_copy_only=False))
-    column_a, column_b = np.full(len(a.vocabulary), -1), np.full(len(b.vocabulary), -1)
-    column_a[to_a.take(pa.array(both)).to_numpy()] = column_b[both] = np.arange(len(both))
-    out = np.zeros((len(a.size), len(b.size)), np.float32)
-
-    def rows(s: _Side, column: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        at = column[s.gram]
-        here = (at >= lo) & (at < hi)
-        m = np.zeros((len(s.size), hi - lo), np.float32)
-        np.add.at(m, (s.row[here], at[here] - lo), np.float32(1))
+def _leaders(b: _Block, threshold: float) -> _Leaders:
+    """Records of the block that between them are near most of it."""
+    n = len(b.size)
+    at = np.unique(np.linspace(0, n - 1, min(n, 8 * LEADERS)).astype(np.int64))
+    place = np.full(n, -1)
+    place[at] = np.arange(len(at))
+    to = place[b.row]
+    m = np.zeros((len(b.vocabulary), len(at)), np.float32)
+    m[np.repeat(np.arange(len(b.vocabulary)), np.diff(b.start))[to >= 0], to[to >= 0]] = 1
+    shared = m.T @ m
+    near = shared / (b.size[at][:, None] + b.size[at][None, :] - shared) >= threshold / 2
+    chosen, left = [], np.ones(len(at), bool)
+    while left.any() and len(chosen) < LEADERS:
+        chosen.append(int((near & left).sum(1).argmax()))
+        left &= ~near[chosen[-1]]
+    return _Leaders(b.vocabulary, m[:, chosen] > 0, b.size[at[chosen]])
+
+
+class _Part(NamedTuple):
+    at: np.ndarray                # the places in the block of its records
+    size: np.ndarray
+    far: np.ndarray               # Jaccard distance of each to each leader
+    start: np.ndarray             # as in a block
+    row: np.ndarray
+
+
+def _parts(b: _Block, leaders: _Leaders | None, most: int) -> list[_Part]:
+    """The records by their nearest leader, at most ``most`` in a part."""
+    n, width = len(b.size), len(b.vocabulary)
+    column = np.repeat(np.arange(width), np.diff(b.start))
+    if leaders:
+        to = pc.index_in(b.vocabulary, value_set=leaders.vocabulary)
+        has = leaders.has[to.fill_null(0).to_numpy()] & to.is_valid().to_numpy(zero_copy_only=False)[:, None]
+        shared = np.stack([np.bincount(b.row[has[column, k]], minlength=n) for k in range(len(leaders.size))], 1)
+        far = 1 - shared / (b.size[:, None] + leaders.size - shared)
+        nearest = far.argmin(1)
+        order = np.lexsort((far.min(1), nearest))
+        cuts = np.flatnonzero(np.diff(nearest[order])) + 1
+    else:
+        far, order, cuts = np.zeros((n, 0)), np.arange(n), np.zeros(0, np.int64)
+    ends = np.unique(np.concatenate([np.arange(lo, hi, most) for lo, hi in zip([0, *cuts], [*cuts, n], strict=True)] + [[n]])).astype(np.int64)
+    of, place = np.empty(n, np.int64), np.empty(n, np.int64)
+    of[order] = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    place[order] = np.arange(n) - np.repeat(ends[:-1], np.diff(ends))
+    part = of[b.row]
+    by = np.argsort(part.astype(np.uint16) if len(ends) <= 1 << 16 else part, kind="stable")
+    many = np.bincount(part * width + column, minlength=(len(ends) - 1) * width).reshape(-1, width)
+    row, end = place[b.row[by]], np.append(0, np.cumsum(many.sum(1)))
+    return [_Part(order[ends[k]:ends[k + 1]], b.size[order[ends[k]:ends[k + 1]]], far[order[ends[k]:ends[k + 1]]],
+                  np.append(0, np.cumsum(many[k])), row[end[k]:end[k + 1]]) for k in range(len(ends) - 1)]
+
+
+def _near(p: _Part, q: _Part, num: int, den: int) -> _Part | None:
+    """The records of ``p`` that can reach the threshold with one of ``q``: by
+    their size, and by the triangle inequality of the Jaccard distance."""
+    most = 1 - num / den + 1e-9
+    keep = (p.size * den >= q.size.min() * num) & (p.size * num <= q.size.max() * den) \
+        & ((p.far >= q.far.min(0) - most) & (p.far <= q.far.max(0) + most)).all(1)
+    if keep.sum() > 0.8 * len(keep):
+        return p
+    if not keep.any():
+        return None
+    here, place = keep[p.row], np.cumsum(keep) - 1
+    return _Part(p.at[keep], p.size[keep], p.far[keep], np.append(0, np.cumsum(here))[p.start], place[p.row[here]])
+
+
+def _overlap(p: _Part, q: _Part, in_p: np.ndarray, in_q: np.ndarray, merge: bool) -> np.ndarray:
+    """Shared grams of every record of ``p`` with every one of ``q``. The grams
+    that both have are columns ``in_p`` and ``in_q``; 0/1 rows are multiplied over
+    the frequent ones, for others the pairs that share one are listed."""
+    out = np.zeros((len(p.at), len(q.at)), np.float32)
+    n_p, n_q = np.diff(p.start)[in_p], np.diff(q.start)[in_q]
+    pairs = n_p * n_q
+    frequent = pairs * LIST >= out.size
+
+    def matrix(s: _Part, columns: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at, row = np.repeat(np.arange(len(columns)), n), s.row[_runs(s.start[columns], n)]
+        if merge:
+            return np.bincount(at * len(s.at) + row, minlength=len(columns) * len(s.at)).astype(np.float32).reshape(len(columns), -1)
+        m = np.zeros((len(columns), len(s.at)), np.float32)
+        m[at, row] = 1
         return m
 
+    both = np.flatnonzero(frequent & (pairs > 0))
     for lo in range(0, len(both), BLOCK_COLUMNS):
-        hi = min(len(both), lo + BLOCK_COLUMNS)
-        out += rows(a, column_a, lo, hi) @ rows(b, column_b, lo, hi).T
+        k = both[lo:lo + BLOCK_COLUMNS]
+        out += matrix(p, in_p[k], n_p[k]).T @ matrix(q, in_q[k], n_q[k])
+    rare = np.flatnonzero(~frequent & (pairs > 0))
+    for k in np.split(rare, np.flatnonzero(np.diff(np.cumsum(pairs[rare]) // LISTED)) + 1):
+        column, j = np.repeat(k, n_q[k]), q.row[_runs(q.start[in_q[k]], n_q[k])]
+        i = p.row[_runs(p.start[in_p[column]], n_p[column])]
+        if len(i):
+            out += np.bincount(i * len(q.at) + np.repeat(j, n_p[column]), minlength=out.size).reshape(out.shape)
     return out
 
 
@@ -374,10 +507,12 @@ def trigram_join(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str,
     Records are put in blocks of like size, and blocks meet whose sizes can
     reach the threshold. The shared grams of two blocks are a product of 0/1
     matrices, so a pair costs no row before it is known to reach the threshold,
-    however common its grams. A task holds two blocks. Where ``a`` is
+    however common its grams. A group holds ``STAY`` blocks of the larger side
+    and ``COME`` of the other, so a block is copied to few groups. Where ``a`` is
     a query set of one block, the work grows with ``b``; a self-join looks at
-    every pair of like size. With ``self_join`` (a is b) pairs are reported
-    once with a < b.
+    every pair of like size that is not too far apart by its distances to the
+    group's leaders (above a threshold of a half). With ``self_join`` (a is b)
+    pairs are reported once with a < b.
 
     The methods differ where an id repeats or is null. ``probe`` (default when
     ``a`` is a query set, e.g. passages or search strings): rows of one id and
@@ -400,45 +535,95 @@ def trigram_join(a: DataFrame, b: DataFrame, a_id: str, a_text: str, b_id: str,
         t = df.select(id_col, text_col) if id_col != text_col else df.select(id_col)
         if not merge:
             t = t.filter(F.col(id_col).isNotNull())
-        # Dealt out first: a small file is one task, and texts are dear to cut.
-        t = t.repartition(2 * spark.sparkContext.defaultParallelism)
+        # Dealt out first if files are few: a file can be one task, and texts are dear to cut.
+        if len(t.inputFiles()) < spark.sparkContext.defaultParallelism:
+            t = t.repartition(2 * spark.sparkContext.defaultParallelism)
         _gram_sets(t, id_col, text_col).write.parquet(path)
         return spark.read.parquet(path).filter(F.col("_n") > 0)
 
-    blocks_a, bands_a = _blocks(stored(a, a_id, a_text), threshold)
-    blocks_b, bands_b = (blocks_a, bands_a) if self_join else _blocks(stored(b, b_id, b_text), threshold)
-    pairs = [(ka, pa_, kb, pb) for ka, pa_, la, ha in bands_a for kb, pb, lb, hb in bands_b
-             if hb * den >= la * num and lb * num <= ha * den and (not self_join or ka <= kb)]
-    meet = F.broadcast(spark.createDataFrame(pairs, "ka long, na int, kb long, nb int"))
-    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = blocks_a.join(meet, blocks_a["_band"] == meet["ka"]).withColumn("pa", F.col("_part")).withColumn("pb", other("nb"))
-    right = blocks_b.join(meet, blocks_b["_band"] == meet["kb"]).withColumn("pb", F.col("_part")).withColumn("pa", other("na"))
-    if self_join:
-        left, right = (t.filter((F.col("ka") < F.col("kb")) | (F.col("pa") <= F.col("pb"))) for t in (left, right))
-    block = ["ids", "sizes", "vocabulary", "at"]
-    key = ["ka", "pa", "kb", "pb"]
-    a_type, b_type = (t.schema["ids"].dataType.elementType for t in (blocks_a, blocks_b))
-    names = ["_a", "_b", "_an", "_bn", "shared"]
+    blocks_a = _blocks(stored(a, a_id, a_text), merge)
+    blocks_b = blocks_a if self_join else _blocks(stored(b, b_id, b_text), merge)
+    # The larger side stays: it goes to few groups, the other one to many.
+    swap = blocks_b.grams > blocks_a.grams
+    large, small = (blocks_b, blocks_a) if swap else (blocks_a, blocks_b)
+    stay, come, group = [], [], 0
+    for first in range(0, len(large.sizes), STAY):
+        home = large.sizes[first:first + STAY]
+        meet = [k for k, (lo, hi) in enumerate(small.sizes) if (not self_join or k >= first)
+                and hi * den >= home[0][0] * num and lo * num <= home[-1][1] * den]
+        for k in range(0, len(meet), COME):
+            stay += [(first + x, group) for x in range(len(home))]
+            come += [(x, group) for x in meet[k:k + COME]]
+            group += 1
+    # New column ids on each side, as both may come from one table.
+    left, right = (t.packed.join(F.broadcast(spark.createDataFrame(to, "_block int, _group int")), "_block")
+                   .select(F.col("_group").alias("_group"), *(F.col(c).alias(c) for c in t.packed.columns)).groupBy("_group")
+                   for t, to in ((large, stay), (small, come)))
+    close = not merge and 2 * num > den
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not len(x) or not len(y):
-            return empty
-        p, q = _side(x, merge), _side(y, merge)
-        m = _overlap(p, q)
-        least = (p.size[:, None] + q.size[None, :]) * (num / (num + den)) - 0.5
-        i, j = np.nonzero((m > 0) & (m >= least))
-        shared, na, nb = m[i, j].astype(np.int64), p.size[i], q.size[j]
-        ok = (shared * (num + den) >= (na + nb) * num) & (nb * den >= na * num) & (nb * num <= na * den)
-        if self_join and [x[k][0] for k in ("ka", "pa")] == [x[k][0] for k in ("kb", "pb")]:
-            ok &= i < j
-        i, j = i[ok], j[ok]
-        return pa.table([p.ids.take(pa.array(i)), q.ids.take(pa.array(j)), na[ok], nb[ok], shared[ok]], names=names)
-
-    schema = f"_a {a_type.simpleString()}, _b {b_type.simpleString()}, _an long, _bn long, shared long"
-    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-    # New column ids on each side, as both may come from one table.
-    left, right = (t.select(*(F.col(c).alias(c) for c in [*key, *block])).groupBy(*key) for t in (left, right))
-    found = left.cogroup(right).applyInArrow(compare, schema)
+        """A row for each tile that has pairs: the records of its rows and
+        columns, bits of the pairs that reach the threshold, and their shared grams."""
+        out: list[pa.RecordBatch] = []
+        homes, leaders = list(_unpack(x)), None
+        if close and homes:
+            leaders = _leaders(max(homes, key=lambda h: len(h.ids)), num / den)
+        homes = [(h, _parts(h, leaders, TILE[0])) for h in homes]
+        for c in _unpack(y) if homes else ():
+            parts = _parts(c, leaders, TILE[1])
+            for h, own in homes:
+                if self_join and h.number > c.number:
+                    continue
+                to_h = pc.index_in(c.vocabulary, value_set=h.vocabulary)
+                in_c = np.flatnonzero(to_h.is_valid().to_numpy(zero_copy_only=False))
+                in_h = to_h.take(pa.array(in_c)).to_numpy()
+                for p, q in ((p, q) for p in own for q in parts):
+                    if (p := _near(p, q, num, den)) is None or (q := _near(q, p, num, den)) is None:
+                        continue
+                    m = _overlap(p, q, in_h, in_c, merge)
+                    hit = (m > 0) & (m >= np.add.outer(p.size * (num / (num + den)), q.size * (num / (num + den)) - 0.5))
+                    if self_join and h.number == c.number:
+                        hit &= p.at[:, None] < q.at[None, :]
+                    i, j = np.nonzero(hit)
+                    shared, np_, nq = m[i, j].astype(np.int64), p.size[i], q.size[j]
+                    ok = (shared * (num + den) >= (np_ + nq) * num) & (nq * den >= np_ * num) & (nq * num <= np_ * den)
+                    if not ok.any():
+                        continue
+                    hit[i[~ok], j[~ok]] = False
+                    i, j = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+                    out.append(pa.record_batch([
+                        *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for b, s, at in ((h, p, i), (c, q, j))
+                          for v in (b.ids.take(pa.array(s.at[at])), pa.array(s.size[at].astype(np.int32)))),
+                        pa.array([np.packbits(hit[np.ix_(i, j)]).tobytes()], pa.binary()),
+                        pa.array([(shared := shared[ok]).astype(np.uint16 if shared.max() < 1 << 16 else np.int64).tobytes()], pa.binary())], schema=tiles))
+        return pa.Table.from_batches(out, tiles)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: list[list]) -> pa.RecordBatch:
+            return pa.record_batch([pa.concat_arrays(x) for x in zip(*found, strict=True)], schema=found_as)
+
+        found, held = [], 0
+        for batch in batches:
+            for k in range(len(batch)):
+                ids, n, other_ids, other_n = (batch.column(c)[k].values for c in range(4))
+                bits, shared = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8) for c in (4, 5))
+                i, j = np.divmod(np.flatnonzero(np.unpackbits(bits, count=len(ids) * len(other_ids))), len(other_ids))
+                i, j, shared = pa.array(i), pa.array(j), shared.view(np.uint16 if len(shared) == 2 * len(i) else np.int64)
+                x, y = (ids.take(i), n.take(i)), (other_ids.take(j), other_n.take(j))
+                (a_, an), (b_, bn) = (y, x) if swap else (x, y)
+                found.append([a_, b_, an, bn, pa.array(shared.astype(np.int64))])
+                held += len(i)
+                if held >= FOUND:
+                    yield rows(found)
+                    found, held = [], 0
+        if found:
+            yield rows(found)
+
+    kinds = [t.packed.schema["ids"].dataType.elementType.simpleString() for t in (large, small)]
+    tile = f"_x array<{kinds[0]}>, _xn array<int>, _y array<{kinds[1]}>, _yn array<int>, _bits binary, _shared binary"
+    pair = "_a {}, _b {}, _an int, _bn int, shared long".format(*(kinds[::-1] if swap else kinds))
+    tiles, found_as = (to_arrow_schema(StructType.fromDDL(x)) for x in (tile, pair))
+    found = left.cogroup(right).applyInArrow(compare, tile).mapInArrow(pairs, pair)
     if self_join:
         up = F.col("_a") < F.col("_b")
         found = found.filter(F.col("_a") != F.col("_b")).select(

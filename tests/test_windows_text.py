@@ -243,3 +243,26 @@ def test_chat_history(spark, fleet):
     arr = W.chat_history_arrays(conv, 2).first()["history"]
     assert [x["turn"] for x in arr] == sorted(x["turn"] for x in arr)
     assert math.isfinite(len(arr))
+
+
+def _shuffled(plan):
+    """Bytes of the rows that the exchanges of a plan that ran have dealt out."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _shuffled(plan.executedPlan())
+    if "QueryStage" in name:
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if name == "Exchange" else 0
+    return own + sum(_shuffled(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_trigram_self_join_copies_little(spark):
+    """Every record is like every other in size, so that all blocks meet."""
+    rnd = random.Random(5)
+    pool = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(400)]
+    rows = [(i, " ".join(rnd.sample(pool, 60))) for i in range(9000)] + [(9000 + i, " ".join(pool[:60])) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    out = TV.trigram_join(df, df, "id", "text", "id", "text", 0.8, self_join=True)
+    assert {(9000, 9001), (9000, 9002), (9001, 9002)} <= {(r.a_id, r.b_id) for r in out.collect()}
+    sets = TV._gram_sets(df, "id", "text").agg({"_n": "sum"}).first()[0]
+    assert _shuffled(out._jdf.queryExecution().executedPlan()) < 20 * sets, sets
