@@ -340,7 +340,9 @@ def _blocks(sets: DataFrame, merge: bool) -> _Blocks:
     key = sets.schema["_id"].dataType.simpleString()
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
+        # By id: a block is packed more than once, from rows that come in any order,
+        # and its pairs with itself go by the places of its records.
+        t = t.sort_by("_id").combine_chunks()
         ids, size = t["_id"].combine_chunks(), t["_n"].to_numpy().astype(np.int64)
         grams = t["_g"].combine_chunks().flatten().dictionary_encode()
         row = np.repeat(np.arange(len(size)), size)

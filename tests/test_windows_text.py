@@ -266,3 +266,12 @@ def test_trigram_self_join_copies_little(spark):
     assert {(9000, 9001), (9000, 9002), (9001, 9002)} <= {(r.a_id, r.b_id) for r in out.collect()}
     sets = TV._gram_sets(df, "id", "text").agg({"_n": "sum"}).first()[0]
     assert _shuffled(out._jdf.queryExecution().executedPlan()) < 20 * sets, sets
+
+
+def test_trigram_blocks_do_not_depend_on_the_order_of_rows(spark):
+    """A block that meets itself is packed twice, from rows in any order."""
+    df = spark.createDataFrame([(i, f"word{i % 7} other") for i in range(60)], "id long, text string").coalesce(1)
+    sets = TV._gram_sets(df, "id", "text")
+    one, two = ([(r["_block"], r["ids"], bytes(r["bits"]), bytes(r["rows"])) for r in TV._blocks(t, False).packed.orderBy("_block").collect()]
+                for t in (sets.sort("_id"), sets.sort(F.desc("_id"))))
+    assert one == two and one[0][1] == sorted(one[0][1])
